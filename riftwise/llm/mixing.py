@@ -122,7 +122,8 @@ def _pieces(sized: DataFrame, plan: DataFrame) -> DataFrame:
     put = put.withColumn("lo", F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("start"))).withColumn(
         "hi", F.least("size", (F.col("block") + 1) * BLOCK - F.col("start")))
     taken = slots(plan).select(F.col("source").alias("s"), F.col("block").alias("b"), "pass")
-    return put.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(
+    # Both sides grow with the data, and index rows shrink so much in a shuffle that its size misleads.
+    return put.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(
         "doc_id", "key", "source", "pass", "lo", "hi")
 
 
@@ -144,7 +145,7 @@ def mix(docs: DataFrame) -> DataFrame:
         F.sum(F.col("hi") - F.col("lo")).alias("words")).select(
         F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("source").alias("s"), "words")
     same = sized.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("rows"))
-    same = same.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
+    same = same.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
                      & F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     goals = plan.select(F.col("source").alias("s"), "source_size", "target")
     return same.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(
