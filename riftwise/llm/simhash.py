@@ -4,10 +4,10 @@ Every 23-bit word lies within three errors of exactly one word of the perfect bi
 decoding maps it to one of 4096 codeword indices. Words one error apart may decode to different
 indices, but the indices of all words within one error of x (one to six of them) always hold the index
 of each of those neighbours. A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. Of up to
-four differing bits the segment with most holds at least two whenever the other two share two, so some
-pair of segments shares at most two errors. Split as 1+1 they meet in (index, index) keys; as 2+0 or
-0+2 in (index, exact segment) keys, because words two errors apart have a common neighbour. Meeting
-fingerprints are verified by their exact distance.
+four differing bits, if one segment is free of them, another has two at most: such pairs meet in (index,
+exact segment) keys of 33 bits, because words two errors apart have a common neighbour. Otherwise two
+segments have one each, the third one or two, and a third of the third none: such pairs meet in (index,
+index, exact third) keys of 31 bits. Meeting fingerprints are verified by their exact distance.
 """
 
 from __future__ import annotations
@@ -104,17 +104,21 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = [_near(table, s, n) for s, (_, n) in zip(segs, SEGMENTS)]
     rows, keys = [], []
 
-    def emit(indices: np.ndarray, rest: np.ndarray, kind: int, swap: bool) -> None:
+    def emit(kind: int, indices: np.ndarray, rest: np.ndarray, shift: int = 0) -> None:
+        """Keys of kind, rest above 12 bits, and each index moved up by shift."""
         r, c = np.nonzero(indices >= 0)
-        one, two = indices[r, c], rest[r]
         rows.append(r)
-        keys.append((kind << 40) | ((two << 12 | one) if swap else (one << 24 | two)))
-
-    for p, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        emit(near[a], own[b], 3 * p, False)
-        emit(near[b], own[a] << 12, 3 * p, True)
-        emit(near[a], segs[b], 3 * p + 1, False)
-        emit(near[b], segs[a], 3 * p + 2, True)
+        keys.append(kind << 48 | rest[r] << 12 | indices[r, c] << shift)
+
+    for p, (a, b, c) in enumerate(((0, 1, 2), (0, 2, 1), (1, 2, 0))):
+        emit(2 * p, near[a], segs[b])
+        emit(2 * p + 1, near[b], segs[a])
+        for t in range(3):
+            at, n = 7 * t, SEGMENTS[c][1] - 14 if t == 2 else 7
+            third = segs[c] >> at & ((1 << n) - 1)
+            emit(6 + 3 * p + t, near[a], third << 12 | own[b])
+            emit(6 + 3 * p + t, near[b], third << 12, 12)
+            keys[-1] |= own[a][rows[-1]]
     row, key = np.concatenate(rows), np.concatenate(keys)
     pairs = np.unique(np.stack((row, key), axis=1), axis=0)
     return pairs[:, 0], pairs[:, 1]
@@ -172,18 +176,19 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     bucket, which gives no more edges than members. Fingerprints of larger buckets are linked exactly
     through their common midpoints, in rows proportional to their number: no pairs of a group are made.
     """
-    keys = fps.mapInArrow(_key_rows, "key long, fp long")
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    cold = shared.where(F.col("n") <= HOT_KEY).select("key")
-    hot = shared.where(F.col("n") > HOT_KEY).select("key")
-    buckets = keys.join(cold, "key").groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fingerprint makes some 120 keys
+    keys = fps.repartition(tasks, "fp").mapInArrow(_key_rows, "key long, fp long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Merge joins: keys shrink so much in a shuffle that its size is no ground for a broadcast.
+    members = materialize(keys.join(shared.hint("merge"), "key"), "members")
+    buckets = members.where(F.col("n") <= HOT_KEY).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     edges = buckets.mapInArrow(_bucket_edges, "a long, b long")
+    hot = materialize(members.where(F.col("n") > HOT_KEY).select("fp").distinct(), "hot")
     if hot.limit(1).count():
-        members = materialize(keys.join(hot, "key", "left_semi").select("fp").distinct(), "hot")
-        mids = members.mapInArrow(_midpoints, "mid long, fp long")
+        mids = hot.repartition(tasks, "fp").mapInArrow(_midpoints, "mid long, fp long")
         least = mids.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-        edges = edges.unionByName(
-            mids.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
+        edges = edges.unionByName(mids.join(least.hint("merge"), "mid").where("fp <> b").select(
+            F.col("fp").alias("a"), "b").distinct())
     return edges
 
 
@@ -203,8 +208,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "named")
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(roots, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
+    by_fp = named.join(roots.hint("merge"), "component").select("fp", "component_id")
+    return rows.join(by_fp.hint("merge"), "fp").select(
         "doc_id", F.col("key").alias("text_key"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
