@@ -9,6 +9,8 @@ first; beyond that the words of every document are joined to it by a shuffle.
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -18,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 
-#: Bounds of a word table that is sent to every executor: 12 bytes a word and 4 an id, 140 MB at most.
-WORDS, IDS = 6_000_000, 16_000_000
-#: The splitting pattern of byte-level BPE (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bounds of a word table that is sent to every executor: 14 bytes a word and 4 an id, 150 MB at most.
+WORDS, IDS = 5_000_000, 20_000_000
+#: Words that a task keeps at hand.
+KNOWN = 250_000
 #: Python's and the tokenizer's Unicode tables agree below this; other texts are split by the tokenizer itself.
 AGREED = 0x530
 
@@ -32,20 +34,27 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pattern() -> str:
+    """The splitting pattern of byte-level BPE, its letters, numbers and spaces written out below AGREED."""
+    kinds = {k: "".join(f"\\u{c:04x}" for c in range(AGREED) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    letter, number, space = kinds["L"], kinds["N"], "\\t-\\r \\x85\\xa0"
+    return (f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
+            f"|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Splitter:
     """Splits texts into words and special tokens, as the tokenizer does before its merges."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.find = regex.compile(PATTERN).findall
-        self.newer = regex.compile(f"[{chr(AGREED)}-{chr(0x10FFFF)}]").search
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.find = re.compile(pattern()).findall
+        self.newer = re.compile(f"[{chr(AGREED)}-{chr(0x10FFFF)}]").search
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _words(self, text: str) -> list[str]:
         if text.isascii() or not self.newer(text):
@@ -61,7 +70,8 @@ class Splitter:
         return out
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        encode = self.tokenizer.encode  # one by one: a batch of short words costs more
+        return [encode(w, add_special_tokens=False).ids for w in words]
 
     def pieces(self) -> list[bytes]:
         """Bytes of each id. Printable bytes stand for themselves, the others for characters from U+0100 on."""
@@ -87,7 +97,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(word, ids): each distinct word of all texts, encoded once. Tasks send each word on once a batch."""
+    """(word, h, ids): each distinct word of all texts, encoded once, with a 64-bit hash."""
+    from xxhash import xxh64_intdigest
     path = path or default_path()
 
     def split(batches):
@@ -103,12 +114,15 @@ def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     def encode(batches):
         s = splitter(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("word"), pa.array(s.encode(b.column("word").to_pylist()), pa.list_(pa.int32()))],
-                ["word", "ids"])
+            for at in range(0, len(b), 2000):
+                words = b.column("word").slice(at, 2000)
+                texts = words.to_pylist()
+                h = np.array([xxh64_intdigest(w) for w in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [words, pa.array(h), pa.array(s.encode(texts), pa.list_(pa.int32()))], ["word", "h", "ids"])
 
     words = _texts(docs).select("text").mapInArrow(split, "word string").distinct()
-    return materialize(words.mapInArrow(encode, "word string, ids array<int>"), "words")
+    return materialize(words.mapInArrow(encode, "word string, h long, ids array<int>"), "words")
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -126,55 +140,58 @@ def encode(docs: DataFrame, path: str | None = None, words: int = WORDS, ids: in
     """
     path = path or default_path()
     table = word_table(docs, path)
+    if not _fits(table, words, ids):
+        return encode_shuffled(docs, table, path)
+
+    def rows(values):
+        flat = pa.array(np.frombuffer(b"".join(x for v in values for x in v), np.int32))
+        offsets = np.cumsum([0] + [sum(map(len, v)) // 4 for v in values])
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+
+    return _map_side(docs, table, path, lambda p: np.ndarray.tobytes, rows, "ids array<int>")
+
+
+def _fits(table: DataFrame, words: int, ids: int) -> bool:
+    """Whether a word table is within the bounds and its hashes tell all words apart."""
     size = table.agg(F.count("*").alias("w"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("i")).first()
-    if size["w"] <= words and size["i"] <= ids:
-        return _encode_map_side(docs, table, path)
-    return encode_shuffled(docs, table, path)
+    return size["w"] <= words and size["i"] <= ids and table.select("h").distinct().count() == size["w"]
 
 
-def _encode_map_side(docs: DataFrame, table: DataFrame, path: str) -> DataFrame:
-    import xxhash
+def _map_side(docs: DataFrame, table: DataFrame, path: str, value, finish, schema: str) -> DataFrame:
+    """Join a word table to the documents' words by position, in the tasks that split the texts.
 
-    def hashed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([xxhash.xxh64_intdigest(w) for w in b.column("word").to_pylist()],
-                                   np.uint64).view(np.int64)), b.column("ids")], ["h", "ids"])
+    value(pieces) gives what makes a value of a word's ids, once while the task keeps it; finish makes columns
+    of schema of the texts' lists of values.
+    """
+    from xxhash import xxh64_intdigest
 
-    got = table.mapInArrow(hashed, "h long, ids array<int>").toArrow()  # its size has been checked
+    got = table.select("h", "ids").toArrow()  # its size has been checked
     hashes = got["h"].to_numpy().view(np.uint64)
     lists = got["ids"].combine_chunks()
-    order = np.argsort(hashes, kind="stable")
-    if (np.diff(hashes[order]) == 0).any():  # two words of one hash: not to be told apart this way
-        return encode_shuffled(docs, table, path)
-    starts = lists.offsets.to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    starts = lists.offsets.to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(
-        (hashes[order], starts[:-1][order].astype(np.uint32), np.diff(starts)[order].astype(np.uint32),
-         lists.values.to_numpy().astype(np.int32)))
+        (hashes[order], starts[:-1][order], np.diff(starts)[order].astype(np.uint16 if len(starts) > 1 and np.diff(
+            starts).max() < 65536 else np.int32), lists.values.to_numpy().astype(np.int32)))
+    names = ["doc_id", "text_key", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches):
         s, known = splitter(path), {}
-        keys, begins, sizes, values = shared.value
+        keys, begins, sizes, ids = shared.value
+        make = value(s.pieces())
         for b in batches:
-            out, offsets = [], [0]
-            n = 0
-            for text in b.column("text").to_pylist():
-                for w in s.words(text):
-                    x = known.get(w)
-                    if x is None:
-                        at = int(np.searchsorted(keys, np.uint64(xxhash.xxh64_intdigest(w))))
-                        x = known[w] = values[begins[at]:begins[at] + sizes[at]].tobytes()
-                    out.append(x)
-                    n += len(x)
-                offsets.append(n // 4)
-            if len(known) > 300_000:
-                known.clear()
-            flat = pa.array(np.frombuffer(b"".join(out), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
-                ["doc_id", "text_key", "ids"])
+            for part in (b.slice(at, 500) for at in range(0, len(b), 500)):
+                texts = [s.words(t) for t in part.column("text").to_pylist()]
+                new = list({w for t in texts for w in t} - known.keys())
+                if len(known) + len(new) > KNOWN:
+                    known, new = {}, list({w for t in texts for w in t})
+                at = np.searchsorted(keys, np.array([xxh64_intdigest(w) for w in new], np.uint64))
+                for w, start, n in zip(new, begins[at].tolist(), sizes[at].tolist()):
+                    known[w] = make(ids[start:start + n])
+                out = [[known[w] for w in t] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *finish(out)], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, ids array<int>")
+    return _texts(docs).mapInArrow(run, f"doc_id long, text_key long, {schema}")
 
 
 def encode_shuffled(docs: DataFrame, table: DataFrame, path: str | None = None) -> DataFrame:
@@ -219,27 +236,31 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.drop("decoded").mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs: texts encoded, then decoded from ids."""
-    path = path or default_path()
-    encoded = encode(docs, path)
+def digests(docs: DataFrame, path: str | None = None, words: int = WORDS, ids: int = IDS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs: texts encoded, then decoded from ids.
 
-    def run(batches):
-        pieces = splitter(path).pieces()
-        text = [str(i) for i in range(len(pieces))]
-        for b in batches:
-            lists = b.column("ids")
-            flat, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            n, one, two = [], [], []
-            for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                ids = flat[s:e].tolist()
-                n.append(e - s)
-                one.append(hashlib.sha256(",".join([text[i] for i in ids]).encode()).hexdigest())
-                whole = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
-                two.append(hashlib.sha256(whole.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    Where the word table joins map-side, so does the table of pieces, word by word; else ids are decoded whole.
+    """
+    path = path or default_path()
+    table = word_table(docs, path)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def decoded(pieces):
+        names = [str(i) for i in range(len(pieces))]
+        return lambda x: (len(x), ",".join([names[i] for i in x.tolist()]), b"".join([pieces[i] for i in x.tolist()]))
+
+    def rows(values):
+        n, one, two = [], [], []
+        for v in values:
+            count, text, piece = zip(*v) if v else ((), (), ())
+            n.append(sum(count))
+            one.append(hashlib.sha256(",".join(text).encode()).hexdigest())
+            two.append(hashlib.sha256(b"".join(piece).decode("utf-8", "replace").encode()).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+
+    if _fits(table, words, ids):
+        return _map_side(docs, table, path, decoded, rows, schema).drop("text_key")
+    whole = decode(encode_shuffled(docs, table, path), path)
+    return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
