@@ -205,23 +205,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     found = rows.where(F.octet_length("text") >= WIDTH).mapInArrow(
         _context_rows, "o long, k long, loc long, gram long, whole long")
-    wholes = found.groupBy("gram", "whole").agg(F.count("*").alias("n"))
-    shared = materialize(wholes.groupBy("gram").agg(
-        F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("n").alias("most")).where("all > 1"), "grams")
-    # Only contexts of shared grams go on; of each kind all if it repeats in whole, and one for the collection.
-    hits = found.join(shared.select("gram", "kinds"), "gram")
-    kinds = hits.groupBy("gram", "whole").agg(
-        F.count("*").alias("n"), F.max("kinds").alias("kinds"), F.min(F.struct("o", "k", "loc")).alias("one"))
-    kinds = materialize(kinds, "kinds")
-    full = hits.select("gram", "whole", "o", "k", "loc").join(
-        kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select(
+    # first() takes all three from one row; any row of a kind will do, and the result is written once.
+    wholes = found.groupBy("gram", "whole").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("o", "k", "loc")])
+    shared = wholes.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    kinds = materialize(wholes.join(shared.select("gram", "kinds").hint("merge"), "gram"), "kinds")
+    full = found.select("gram", "whole", "o", "k", "loc").join(
+        kinds.where("n > 1").select("gram", "whole").hint("merge"), ["gram", "whole"]).select(
         "o", "k", F.shiftright("loc", 20).alias("s"),
         (F.shiftright("loc", 20) + F.col("loc").bitwiseAND(F.lit(1023)) + WIDTH).alias("e"))
-    asked = kinds.where("kinds > 1").select("gram", "kinds", "one.*")
+    asked = kinds.where("kinds > 1").select("gram", "o", "k", "loc")
     locs = asked.groupBy("o", "k").agg(F.collect_list(F.struct("loc", "gram")).alias("locs"))
     data = materialize(rows.dropDuplicates(["o", "k"]).join(locs, ["o", "k"]).mapInArrow(
         _fetch, "gram long, o long, k long, p0 long, anchor int, data binary"), "contexts")
-    hot = materialize(shared.where(F.col("kinds") > HOT).select("gram"), "hot")
+    hot = materialize(kinds.where(F.col("kinds") > HOT).select("gram").distinct(), "hot")
     cold = data.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     spans = full.unionByName(cold.mapInArrow(_collections, "o long, k long, s long, e long"))
     if hot.limit(1).count():
