@@ -15,15 +15,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 
-#: Bounds of a word table that is sent to every executor: 14 bytes a word and 4 an id, 150 MB at most.
+#: Bounds of a word table that is sent to every executor: 14 bytes a word and 2 to 4 an id, 150 MB at most.
 WORDS, IDS = 5_000_000, 20_000_000
 #: Words that a task keeps at hand.
-KNOWN = 250_000
+KNOWN = 100_000
 #: Python's and the tokenizer's Unicode tables agree below this; other texts are split by the tokenizer itself.
 AGREED = 0x530
 
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, path: str | None = None, words: int = WORDS, ids: in
         offsets = np.cumsum([0] + [sum(map(len, v)) // 4 for v in values])
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
 
-    return _map_side(docs, table, path, lambda p: np.ndarray.tobytes, rows, "ids array<int>")
+    return _map_side(docs, table, path, lambda p: lambda x: x.astype(np.int32).tobytes(), rows, "ids array<int>")
 
 
 def _fits(table: DataFrame, words: int, ids: int) -> bool:
@@ -172,7 +173,8 @@ def _map_side(docs: DataFrame, table: DataFrame, path: str, value, finish, schem
     starts = lists.offsets.to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(
         (hashes[order], starts[:-1][order], np.diff(starts)[order].astype(np.uint16 if len(starts) > 1 and np.diff(
-            starts).max() < 65536 else np.int32), lists.values.to_numpy().astype(np.int32)))
+            starts).max() < 65536 else np.int32), lists.values.to_numpy().astype(
+            np.uint16 if (pc.max(lists.values).as_py() or 0) < 65536 else np.int32)))
     names = ["doc_id", "text_key", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches):

@@ -14,6 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalM
     # At most `sample` rows are broadcast.
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
     got = rows.mapInArrow(run, "doc_id long, grade int, bins array<int>, vals array<double>").toArrow()
-    got = got.take(pa.compute.sort_indices(
-        got.append_column("n", pa.compute.list_value_length(got["bins"])),
+    got = got.take(pc.sort_indices(
+        got.append_column("n", pc.list_value_length(got["bins"])),
         [("doc_id", "ascending"), ("grade", "ascending"), ("n", "ascending")]))
     pairs = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(got["bins"], got["vals"])]
     found = np.bincount(np.concatenate([b for b, _ in pairs] + [np.zeros(0, np.int32)]), minlength=BINS) >= MIN_DOCS
@@ -133,7 +134,7 @@ def scores(texts, weights: np.ndarray, known: dict[bytes, float]) -> np.ndarray:
             s += v * x
             q += v * v
         out.append(s / (2 * q) ** 0.5 if q else 0.0)
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     return np.array(out)
 

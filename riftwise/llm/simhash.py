@@ -41,7 +41,7 @@ def golay_table() -> np.ndarray:
     for bit in range(22, 10, -1):
         code = np.where(code >> bit & 1, code ^ (GOLAY << (bit - 11)), code)
     code |= data << 11
-    table = np.zeros(1 << 23, dtype=np.int64)
+    table = np.zeros(1 << 23, dtype=np.int16)
     for n in range(4):
         for flips in combinations(range(23), n):
             table[code ^ sum(1 << f for f in flips)] = data
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _near(table: np.ndarray, seg: np.ndarray, bits: int) -> np.ndarray:
     """Codeword indices of each word and of its neighbours, sorted, repeats as -1."""
     flips = np.concatenate(([0], 1 << np.arange(bits)))
-    found = np.sort(table[seg[:, None] ^ flips], axis=1)
+    found = np.sort(table[seg[:, None] ^ flips], axis=1).astype(np.int64)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
     return found
 
@@ -100,7 +100,7 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) pairs such that any two fingerprints within four bits share a key."""
     table, u = golay_table(), fps.view(np.uint64)
     segs = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    own = [table[s] for s in segs]
+    own = [table[s].astype(np.int64) for s in segs]
     near = [_near(table, s, n) for s, (_, n) in zip(segs, SEGMENTS)]
     rows, keys = [], []
 
@@ -127,8 +127,8 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _key_rows(batches):
     for b in batches:
         fps = b.column("fp").to_numpy(zero_copy_only=False)
-        for at in range(0, len(fps), 5000):
-            part = fps[at:at + 5000]
+        for at in range(0, len(fps), 1000):
+            part = fps[at:at + 1000]
             row, key = fuzzy_keys(part)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
 
@@ -141,8 +141,8 @@ def _bucket_edges(batches):
         values, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
         for s in np.unique(sizes).tolist():
             at = starts[sizes == s]
-            for k in range(0, len(at), max(1, 2_000_000 // (s * s))):
-                part = np.sort(values[at[k:k + max(1, 2_000_000 // (s * s)), None] + np.arange(s)], axis=1)
+            for k in range(0, len(at), max(1, 400_000 // (s * s))):
+                part = np.sort(values[at[k:k + max(1, 400_000 // (s * s)), None] + np.arange(s)], axis=1)
                 link = np.bitwise_count((part[:, :, None] ^ part[:, None, :]).view(np.uint64)) <= DISTANCE
                 lab = np.broadcast_to(np.arange(s), part.shape)
                 while True:
