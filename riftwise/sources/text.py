@@ -13,7 +13,7 @@ KINDS = ("SYSCALL", "LOCKCALL", "EXPCALL", "FREQCALL")
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line): files are read whole, so that lines keep their order; carriage returns go."""
-    x = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return x.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
 
 
@@ -31,9 +31,10 @@ def compile_patch(lines: DataFrame) -> DataFrame:
     head = F.col("line").rlike(r"^--- ") & F.lead("line").over(w).rlike(r"^\+\+\+ ")
     x = lines.withColumn("chapter", F.coalesce(head.cast("int"), F.lit(0)))
     x = x.withColumn("chapter", F.sum("chapter").over(w)).where("chapter > 0")
-    name = F.regexp_extract("line", r"^\+\+\+ ([^\t]+?)(?:\t.*)?$", 1)
+    stamp = r"([^\t]+?)(?:\t.*|\s+\d{4,}-\d\d-\d\d.*)?$"  # a timestamp follows a tab, or spaces
+    name = F.regexp_extract("line", r"^\+\+\+ " + stamp, 1)
     x = x.withColumn("name", F.when(F.col("line").rlike(r"^\+\+\+ "), name))
-    old = F.when(F.col("line").rlike("^--- "), F.regexp_extract("line", r"^--- ([^\t]+?)(?:\t.*)?$", 1))
+    old = F.when(F.col("line").rlike("^--- "), F.regexp_extract("line", "^--- " + stamp, 1))
     by = W.partitionBy("file", "chapter")
     x = x.withColumn("name", F.first("name", True).over(by)).withColumn("old", F.first(old, True).over(by))
     x = x.withColumn("name", F.when(F.col("name") == "/dev/null", F.col("old")).otherwise(F.col("name")))
