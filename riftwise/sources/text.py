@@ -61,6 +61,11 @@ def compile_patch(lines: DataFrame) -> DataFrame:
               .when((F.col("f.c") == 0) & (F.col("f.d") == 0), "deleted")
               .when(~issource(F.col("name")), "non-source").otherwise("source"))
     zero = lambda line, n: F.col(line) + (F.col(n) == 0).cast("int")
+    # Context that a cut-off hunk lacks at its end, on both sides alike, was blank lines.
+    size = lambda skip: F.length(F.translate("ctrlseq", skip, ""))
+    lacks = F.least(F.col("b") - size("+"), F.col("d") - size("-"))
+    seqs = seqs.join(heads, ["file", "chapter", "hunk"]).select(
+        "file", "chapter", "hunk", F.concat("ctrlseq", F.repeat(F.lit("~"), F.greatest(lacks, F.lit(0)))).alias("ctrlseq"))
     return heads.join(seqs, ["file", "chapter", "hunk"]).select(
         "file", "chapter", "name", status.alias("status"), "hunk", zero("a", "b").alias("start_line"),
         zero("c", "d").alias("rep_start_line"), "ctrlseq")
