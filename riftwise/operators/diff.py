@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Local names, block labels and numbers of metadata nodes in instructions.
+LOCAL, LABEL, NUMBER = re.compile(r"%[-\w.$]+"), re.compile(r"label %([-\w.$]+)"), re.compile(r"!\d+")
+
 
 def module_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): names that only one module has."""
@@ -31,3 +36,63 @@ def block_diff(pairs: DataFrame) -> DataFrame:
 
     return pairs.select("id", "before", "after").mapInPandas(
         run, "id long, matched long, left_only long, right_only long")
+
+
+def _walk(left, right) -> tuple[int, int]:
+    """Matched and differing instructions of two functions, blocks paired from the entries along the branches.
+
+    left and right map a block to its instructions (result, text), entry first. Local names correspond one to one.
+    """
+    to, back, matched, differ = {}, {}, 0, 0
+
+    def same(a, b):
+        if to.setdefault(a, b) == b and back.setdefault(b, a) == a:
+            return True
+        return False
+
+    todo, seen = [(next(iter(left)), next(iter(right)))], set()
+    while todo:
+        pair = todo.pop(0)
+        if pair in seen:
+            continue
+        seen.add(pair)
+        xs, ys = left.get(pair[0], []), right.get(pair[1], [])
+        differ += abs(len(xs) - len(ys))
+        for (r, x), (s, y) in zip(xs, ys):
+            a, b = LOCAL.findall(x), LOCAL.findall(y)
+            equal = NUMBER.sub("!", LOCAL.sub("%", x)) == NUMBER.sub("!", LOCAL.sub("%", y)) and (r is None) == (s is None)
+            equal = equal and all([same(p, q) for p, q in zip(a, b)]) and (r is None or same(r, s))
+            matched, differ = matched + equal, differ + (not equal)
+            todo += zip(LABEL.findall(x), LABEL.findall(y))
+    return matched, differ
+
+
+def function_diff(left: DataFrame, right: DataFrame, left_functions: DataFrame, right_functions: DataFrame) -> DataFrame:
+    """(func, status, matched, differ): status same, changed, left (only there) or right.
+
+    Functions are paired by name and compared block by block; two that are only declared are the same, and one
+    that is defined on one side only, or whose parameters differ in number, has changed. instructions as
+    riftwise.sources.ir has them; a task holds the two bodies of one name.
+    """
+    names = ["func", "ord", "bb", "result", "text"]
+    cut = lambda d: d.select(*names).toDF(*names)
+
+    def apply(key, l, r):
+        def blocks(d):
+            out: dict = {}
+            for t in d.sort_values("ord").itertuples(index=False):
+                out.setdefault(t.bb, []).append((t.result, t.text))
+            return out
+
+        m, d = _walk(blocks(l), blocks(r)) if len(l) and len(r) else (0, len(l) + len(r))
+        return pd.DataFrame([(*key, m, d)], columns=["func", "matched", "differ"])
+
+    walked = cut(left).groupBy("func").cogroup(cut(right).groupBy("func")).applyInPandas(
+        apply, "func string, matched long, differ long")
+    of = lambda d, p: d.select("func", F.col("defined").alias(f"{p}_defined"), F.size("params").alias(f"{p}_params"))
+    both = of(left_functions, "l").join(of(right_functions, "r"), "func", "full_outer").join(walked, "func", "left")
+    n = F.coalesce("differ", F.lit(0))
+    changed = (F.col("l_defined") != F.col("r_defined")) | (F.col("l_defined") & ((F.col("l_params") != F.col("r_params")) | (n > 0)))
+    return both.select("func", F.when(F.col("l_defined").isNull(), "right").when(F.col("r_defined").isNull(), "left")
+                       .when(changed, "changed").otherwise("same").alias("status"),
+                       F.coalesce("matched", F.lit(0)).alias("matched"), n.alias("differ"))

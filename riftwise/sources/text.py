@@ -13,8 +13,12 @@ KINDS = ("SYSCALL", "LOCKCALL", "EXPCALL", "FREQCALL")
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line): files are read whole, so that lines keep their order; carriage returns go."""
-    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return x.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
+    return split_lines(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def split_lines(texts: DataFrame) -> DataFrame:
+    """(file, pos, line) of whole texts (file, value)."""
+    return texts.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
 
 
 def _w(*keys):
