@@ -17,68 +17,64 @@ CASTS = ("trunc", "zext", "sext", "fptoui", "fptosi", "uitofp", "sitofp", "fptru
 ELEMENTS = ("extractelement", "insertelement")
 #: Vector operations that the target lacks: done an element at a time (fixed values).
 SCALAR_ONLY = ("udiv", "sdiv", "urem", "srem", "frem")
-#: Levels of cost, and intrinsics without any (fixed values).
+#: Levels of cost (fixed values).
 FREE, BASIC, EXPENSIVE = 0, 1, 4
-FREE_INTRINSICS = ("llvm.dbg.declare", "llvm.dbg.value", "llvm.invariant.start", "llvm.invariant.end", "llvm.lifetime.start",
-                   "llvm.lifetime.end", "llvm.objectsize.i32", "llvm.objectsize.i64", "llvm.ptr.annotation")
 UNKNOWN = -1
 
 
-def lanes(kind: Column) -> Column:
-    """Elements of a vector type, 1 for scalars."""
-    return F.coalesce(F.nullif(F.regexp_extract(kind, r"^<(\d+) x", 1), F.lit("")).cast("int"), F.lit(1))
+def _size(kind: Column) -> Column:
+    """(lanes, bits, vector, real, kind) of a type: elements, bits of each (null if unknown; pointers have 64)."""
+    n = F.nullif(F.regexp_extract(kind, r"^<(\d+) x", 1), F.lit("")).cast("int")
+    e = F.regexp_extract(kind, r"^(?:<\d+ x )?([^>]*)", 1)
+    bits = (F.when(e.endswith("*"), 64).when(e == "float", 32).when(e == "double", 64).when(e == "x86_fp80", 80)
+            .when(e == "fp128", 128).otherwise(F.nullif(F.regexp_extract(e, r"^i(\d+)$", 1), F.lit("")).cast("int")))
+    return F.struct(F.coalesce(n, F.lit(1)).alias("lanes"), bits.alias("bits"), n.isNotNull().alias("vector"),
+                    e.isin("float", "double").alias("real"), e.isin("x86_fp80", "fp128").alias("long"))
 
 
-def element_bits(kind: Column) -> Column:
-    """Bits of a scalar type or of a vector's elements; 64 for pointers, null for others."""
-    e = F.regexp_replace(kind, r"^<\d+ x |>$", "")
-    digits = F.regexp_extract(e, r"^i(\d+)$", 1)
-    return (F.when(e.endswith("*"), 64).when(digits != "", F.nullif(digits, F.lit("")).cast("int")).when(e == "float", 32)
-            .when(e == "double", 64).when(e == "x86_fp80", 80).when(e == "fp128", 128))
+def _parts(s: Column) -> Column:
+    """Registers that a value takes: 64 bits each for scalars, 128 for vectors; 1 if the type is unknown."""
+    room = F.when(s["vector"], 128).otherwise(64)
+    return F.when(s["long"], 1).otherwise(F.greatest(F.lit(1), F.ceil(s["lanes"] * s["bits"] / room))).cast("int")
 
 
-def parts(kind: Column) -> Column:
-    """Registers that a value takes: 64 bits each for scalars, 128 for vectors."""
-    n, bits = lanes(kind), element_bits(kind)
-    floating = kind.isin("x86_fp80", "fp128")
-    return F.when(floating, 1).otherwise(F.greatest(F.lit(1), F.ceil(n * bits / F.when(n > 1, 128).otherwise(64)))).cast("int")
-
-
-def scalarised(kind: Column) -> Column:
+def _scalarised(s: Column) -> Column:
     """Extracts and inserts of all elements; the first of a vector of floats is free both times."""
-    real = kind.rlike(r"(float|double)>$")
-    return 2 * (lanes(kind) - real.cast("int"))
-
-
-def instruction_cost(opcode: Column, kind: Column, to_kind: Column, args: Column) -> Column:
-    """Cost of an instruction; -1 if unknown. Calls cost their arguments and one more."""
-    n, vector = lanes(kind), kind.startswith("<")
-    whole = parts(kind)
-    arithmetic = F.when(vector & opcode.isin(*SCALAR_ONLY), scalarised(kind) + n).otherwise(F.coalesce(whole, F.lit(1)))
-    src, dst = element_bits(kind), element_bits(to_kind)
-    wide = F.greatest(src, dst) > 64
-    cast = (F.when((opcode == "bitcast") & (vector == to_kind.startswith("<")), FREE)
-            .when(opcode == "bitcast", scalarised(F.when(vector, kind).otherwise(to_kind)) / 2)
-            .when(vector & (n * src == lanes(to_kind) * dst) & (opcode == "trunc"), FREE)
-            .when(vector & (parts(kind) == parts(to_kind)), F.when(opcode == "sext", 2).otherwise(1))
-            .when(vector, scalarised(to_kind) + n)
-            .when((opcode == "trunc") & (dst < src), FREE)
-            .when((opcode == "zext") & (src == 32) & (dst == 64), FREE)
-            .when(wide | (opcode.isin("uitofp", "fptoui") & (F.least(src, dst) > 32)), EXPENSIVE).otherwise(BASIC))
-    return (F.when(opcode.isin(*FLOW), BASIC).when(opcode == "alloca", FREE)
-            .when(opcode.isin(*ARITHMETIC), arithmetic)
-            .when(opcode.isin(*COMPARE), F.coalesce(whole, F.lit(1)))
-            .when(opcode == "store", F.coalesce(whole, F.lit(1))).when(opcode == "load", F.coalesce(whole, F.lit(1)))
-            .when(opcode.isin(*CASTS), cast).when(opcode.isin(*ELEMENTS), BASIC)
-            .when(opcode == "call", F.coalesce(F.size(args), F.lit(0)) + 1)
+    return 2 * (s["lanes"] - s["real"].cast("int"))
+
+
+def with_raw_cost(df: DataFrame) -> DataFrame:
+    """df (opcode, type, to_type, args) with cost, -1 if unknown. Calls cost their arguments and one more.
+
+    Sizes of types are columns first, as cost names them often: one expression would outgrow a compiled method.
+    """
+    x = df.withColumn("_a", _size(F.col("type"))).withColumn("_b", _size(F.col("to_type")))
+    x = x.withColumn("_m", F.struct(_parts(F.col("_a")).alias("a"), _parts(F.col("_b")).alias("b"),
+                                    _scalarised(F.col("_a")).alias("sa"), _scalarised(F.col("_b")).alias("sb")))
+    a, b, m, op = F.col("_a"), F.col("_b"), F.col("_m"), F.col("opcode")
+    cast = (F.when((op == "bitcast") & (a["vector"] == b["vector"]), FREE)
+            .when(op == "bitcast", F.greatest(m["sa"], m["sb"]) / 2)
+            .when(a["vector"] & (op == "trunc") & (a["lanes"] * a["bits"] == b["lanes"] * b["bits"]), FREE)
+            .when(a["vector"] & (m["a"] == m["b"]), F.when(op == "sext", 2).otherwise(1))
+            .when(a["vector"], m["sb"] + a["lanes"])
+            .when((op == "trunc") & (b["bits"] < a["bits"]), FREE)
+            .when((op == "zext") & (a["bits"] == 32) & (b["bits"] == 64), FREE)
+            .when(F.greatest(a["bits"], b["bits"]) > 64, EXPENSIVE)
+            .when(op.isin("uitofp", "fptoui") & (F.least(a["bits"], b["bits"]) > 32), EXPENSIVE).otherwise(BASIC))
+    cost = (F.when(op.isin(*FLOW, *ELEMENTS), BASIC).when(op == "alloca", FREE)
+            .when(a["vector"] & op.isin(*SCALAR_ONLY), m["sa"] + a["lanes"])
+            .when(op.isin(*ARITHMETIC, *COMPARE, "load", "store"), F.coalesce(m["a"], F.lit(1)))
+            .when(op.isin(*CASTS), cast)
+            .when(op == "call", F.coalesce(F.size("args"), F.lit(0)) + 1)
             .otherwise(UNKNOWN).cast("int"))
+    return x.withColumn("cost", cost).drop("_a", "_b", "_m")
 
 
 def with_cost(instructions: DataFrame) -> DataFrame:
     """instructions with cost; intrinsics are free, unknown costs null, so that sums pass over them."""
-    c = instruction_cost(F.col("opcode"), F.col("type"), F.col("to_type"), F.col("args"))
-    return instructions.withColumn("cost", F.when(F.col("callee").startswith("llvm."), FREE).otherwise(
-        F.nullif(c, F.lit(UNKNOWN))))
+    x = with_raw_cost(instructions)
+    return x.withColumn("cost", F.when(F.col("callee").startswith("llvm."), FREE).otherwise(
+        F.nullif(F.col("cost"), F.lit(UNKNOWN))))
 
 
 def block_cost(instructions: DataFrame) -> DataFrame:

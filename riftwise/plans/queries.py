@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riftwise.functions import paths as P
-from riftwise.operators import diff, graph, match, reduce, risk
+from riftwise.functions.names import demangle
+from riftwise.operators import cost, diff, graph, match, reduce, risk
+from riftwise.plans import patches
+from riftwise.sources import ir, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -432,3 +435,57 @@ def q44(t, spark):
 def q45(t, spark):
     x = t("pages").groupBy(F.regexp_extract("url", "://([^/]*)", 1).alias("host")).agg(F.min("url").alias("lo"), F.max("url").alias("hi"))
     return x.select("host", P.countchr(P.common_prefix(F.col("lo"), F.col("hi")), "/").alias("strips"))
+
+
+@query("q46_demangle", """
+SELECT p_partkey, split_part(p_name, ' ', 1) || '::' || split_part(p_brand, '#', 1) || '(int, char const*)' AS name FROM part""")
+def q46(t, spark):
+    word = lambda c: F.concat(F.length(c).cast("string"), c)
+    mangled = F.concat(F.lit("_ZN"), word(F.split_part("p_name", F.lit(" "), F.lit(1))),
+                       word(F.split_part("p_brand", F.lit("#"), F.lit(1))), F.lit("EiPKc"))
+    return t("part").select("p_partkey", demangle(mangled).alias("name"))
+
+
+@query("q47_instruction_cost", """
+SELECT opcode, type, count(*) AS n, CAST(sum(CASE
+    WHEN opcode = 'br' THEN 1 WHEN opcode = 'alloca' THEN 0 WHEN opcode = 'getelementptr' THEN -1
+    WHEN opcode = 'sdiv' AND type = '<8 x i32>' THEN 24
+    WHEN type = 'i128' THEN 2 WHEN type = '<8 x i32>' THEN 2 ELSE 1 END) AS BIGINT) AS cost
+FROM (SELECT ['add', 'sdiv', 'icmp', 'load', 'br', 'alloca', 'getelementptr'][CAST(l_partkey % 7 AS INT) + 1] AS opcode,
+             ['i32', 'i128', '<4 x float>', '<8 x i32>'][CAST(l_suppkey % 4 AS INT) + 1] AS type FROM lineitem
+      WHERE NOT (l_partkey % 7 = 1 AND l_suppkey % 4 = 2)) GROUP BY 1, 2""")
+def q47(t, spark):
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names)).cast("int") + 1)
+    ops = t("lineitem").where("not (l_partkey % 7 = 1 and l_suppkey % 4 = 2)").select(
+        pick(("add", "sdiv", "icmp", "load", "br", "alloca", "getelementptr"), "l_partkey").alias("opcode"),
+        pick(("i32", "i128", "<4 x float>", "<8 x i32>"), "l_suppkey").alias("type"))
+    costed = cost.with_raw_cost(ops.withColumns({"to_type": F.lit(None).cast("string"), "args": F.array()}))
+    return costed.groupBy("opcode", "type").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+
+
+def modules(t) -> DataFrame:
+    """A module for each customer with orders, as IR text: a function that calls one of five for each order."""
+    callee = F.concat(F.lit("@prio_"), F.substring("o_orderpriority", 1, 1))
+    x = t("orders").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.concat(F.lit("  call void "), callee, F.lit("(i32 "), "o_orderkey", F.lit(")")))).alias("calls"),
+        F.array_sort(F.collect_set(F.concat(F.lit("declare void "), callee, F.lit("(i32)")))).alias("known"))
+    return x.select(F.col("o_custkey").cast("string").alias("file"), F.concat(
+        F.lit("define void @f_"), "o_custkey", F.lit("() {\nentry:\n"), F.array_join("calls", "\n"),
+        F.lit("\n  ret void\n}\n"), F.array_join("known", "\n")).alias("value"))
+
+
+@query("q48_ir_call_sites", """
+SELECT 'prio_' || substr(o_orderpriority, 1, 1) AS used, count(*) AS sites, count(DISTINCT o_custkey) AS callers
+FROM orders GROUP BY 1""")
+def q48(t, spark):
+    sites = ir.call_sites(ir.read_ir(text.split_lines(modules(t))))
+    return sites.groupBy("used").agg(F.count("*").alias("sites"), F.countDistinct("caller").alias("callers"))
+
+
+@query("q49_ir_static_profile", """
+SELECT CAST(o_custkey AS VARCHAR) AS module, 'f_' || o_custkey AS func, 2 * count(*) + 1 AS cost, CAST(0 AS BIGINT) AS sites
+FROM orders GROUP BY o_custkey
+UNION ALL
+SELECT CAST(o_custkey AS VARCHAR), 'prio_' || substr(o_orderpriority, 1, 1), 0, count(*) FROM orders GROUP BY 1, 2""")
+def q49(t, spark):
+    return patches.static_profile(ir.read_ir(text.split_lines(modules(t))))

@@ -77,7 +77,7 @@ def test_costs(spark):
             ("bitcast", "i8*", "i32*", 0), ("load", "<8 x i32>", None, 2), ("alloca", "i32", None, 0), ("getelementptr", "i32*", None, -1),
             ("ret", None, None, 1), ("store", "%struct.x", None, 1)]
     df = spark.createDataFrame(rows, "opcode string, type string, to_type string, want int")
-    got = df.withColumn("cost", cost.instruction_cost(F.col("opcode"), F.col("type"), F.col("to_type"), F.array()))
+    got = cost.with_raw_cost(df.withColumn("args", F.array()))
     assert [(r["opcode"], r["cost"]) for r in got.collect()] == [(r[0], r[3]) for r in rows]
 
 
