@@ -155,3 +155,28 @@ def function_cost(instructions: DataFrame, edges: DataFrame) -> DataFrame:
         return [(total,)]
 
     return _per_function(instructions, edges, run, "total long")
+
+
+def control_dependences(instructions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, func, bb, decider): blocks that run or not by the branch at the end of decider.
+
+    These are the post-dominance frontiers (Ferrante, Ottenstein and Warren, 1987). Blocks that never reach an
+    exit have none.
+    """
+
+    def run(b, e):
+        entry, after = _graph(b, e)
+        order, before, end = _order(entry, after), {}, "\0"  # end stands behind all exits
+        for x in order:
+            for y in after.get(x) or (end,):
+                before.setdefault(y, []).append(x)
+        over = immediate_dominators(end, before)
+        out = set()
+        for x in order:
+            for y in after.get(x, ()):
+                while x in over and y in over and y != over[x] and y != end:
+                    out.add((y, x))
+                    y = over[y]
+        return sorted(out)
+
+    return _per_function(instructions, edges, run, "bb string, decider string")

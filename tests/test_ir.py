@@ -60,6 +60,14 @@ def test_dominators(load):
     assert got == {"entry": (None, 0), "if.then": ("entry", 1), "if.else": ("entry", 1), "if.end": ("entry", 1)}
 
 
+def test_control_dependences(load):
+    m = load("loop.1.new.s")
+    rows = cfg.control_dependences(m.instructions, m.edges).collect()
+    got = lambda f: {(r["bb"], r["decider"]) for r in rows if r["func"] == f}
+    assert got("bar") == {("if.then", "entry"), ("if.else", "entry")}
+    assert got("mul") == {(b, "for.cond") for b in ("for.cond", "for.body", "for.inc")} and got("main") == set()
+
+
 @pytest.mark.parametrize("patch,module,profile,want", [
     ("loop.1.diff.id", "loop.1.new.s", [], {("main", 0): 1, ("main", 2): 1}),
     ("ptest.diff.id", "ptest.new.s", [], {("routine", 3): 2}),
