@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SOURCE = ("c", "h", "cc", "cpp", "C", "hpp", "cs")
 IGNORED = ("hpp", "cs")
 COMPILED = ("c", "cc", "cpp", "C", "hpp")
+#: Files known by another name in the modules (fixed values).
+RENAMED = {"src/backend/port/sysv_shmem.c": "src/backend/port/pg_shmem.c"}
 
 
 def canonpath(path: Column) -> Column:
@@ -107,3 +109,58 @@ def prefix_components(path: Column) -> Column:
 def squeeze(text: Column) -> Column:
     """For comparing lines whatever their white space."""
     return F.btrim(F.regexp_replace(text, r"[ \t]+", " "))
+
+
+def renamed(path: Column) -> Column:
+    """The name by which modules know a file."""
+    out = path
+    for old, new in RENAMED.items():
+        out = F.when(path == old, new).otherwise(out)
+    return out
+
+
+def count_strips(root: Column) -> Column:
+    """Leading components of absolute paths under root, the common prefix of all directories.
+
+    A root that is a known subdirectory of its project counts as the project's own.
+    """
+    n = countchr(root, "/") + (~root.endswith("/")).cast("int")
+    return n - F.when(root.endswith("innodb_plugin"), 2).when(root.endswith("src/"), 1).otherwise(0)
+
+
+def best_name(names: Column) -> Column:
+    """Of an array of names the one with the fewest directories, then the shortest base name, then the shortest.
+
+    The first of those that tie; nulls are passed over, and without any name it is null.
+    """
+    ranked = F.transform(names, lambda x, i: F.struct(
+        prefix_components(x).alias("n"), F.length(stripname(x, -1)).alias("base"), F.length(x).alias("length"),
+        i.alias("i"), x.alias("name")))
+    return F.array_min(F.filter(ranked, lambda s: s["name"].isNotNull()))["name"]
+
+
+def ed_command(line: Column) -> Column:
+    """Letter of an ed command (a, c, d, i or s/.//), null for other lines. a and i take one line number."""
+    letter = F.regexp_extract(line, r"^(?:(?:\d+)?([ai])|(?:\d+(?:,\d+)?)?(?:([cd])|(s)/\.//))[ \t]*$", 0)
+    return F.nullif(F.regexp_extract(letter, "[a-z]", 0), F.lit(""))
+
+
+def _offset(stamp: Column) -> Column:
+    """A header's time with at most six decimals and its offset as +hh:mm, right after the seconds."""
+    text = F.regexp_replace(F.btrim(stamp), r"(\.\d{6})\d+", "$1")
+    return F.regexp_replace(text, r" ?([-+]\d\d)(\d\d)$", "$1:$2")
+
+
+def patch_time(stamp: Column) -> Column:
+    """Time of a file in a patch's header, by its own offset or as UTC; null if it cannot be read."""
+    text = _offset(stamp)
+    return F.try_to_timestamp(F.when(text.rlike(r"[-+]\d\d:\d\d$"), text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+def is_epoch(stamp: Column) -> Column:
+    """Whether a header's time stands for a file that does not exist: the epoch, up to 51 hours later.
+
+    A time without an offset counts as one 25 hours west, so that the epoch of every zone is in the range.
+    """
+    local = F.when(_offset(stamp).rlike(r"[-+]\d\d:\d\d$"), 0).otherwise(25 * 3600)
+    return F.coalesce((F.unix_timestamp(patch_time(stamp)) + local).between(0, 51 * 3600 - 1), F.lit(False))

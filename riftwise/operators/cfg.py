@@ -5,10 +5,14 @@ Each task holds the blocks of one function, whose size the source bounds, not th
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riftwise.sources.ir import TERMINATORS
+
 KEYS = ["module", "func"]
 
 
@@ -157,6 +161,112 @@ def function_cost(instructions: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_function(instructions, edges, run, "total long")
 
 
+#: Comparison that holds where another does not (fixed values).
+OPPOSITE = {"eq": "ne", "ne": "eq", "lt": "ge", "ge": "lt", "gt": "le", "le": "gt"}
+PHI = re.compile(r"\[ (\S+), %([-\w.$]+) \]")
+STEP = re.compile(r"^(add|sub) (?:nsw |nuw )*i\d+ (\S+), (\S+)$")
+TEST = re.compile(r"^icmp [su]?(eq|ne|lt|le|gt|ge) i\d+ (\S+), (\S+)$")
+BRANCH = re.compile(r"^br i1 (\S+), label %([-\w.$]+), label %([-\w.$]+)$")
+
+
+def rounds(start: int, step: int, stay: str, bound: int) -> int | None:
+    """How often start, start + step, ... satisfies `stay` bound before it fails first; None if it never fails."""
+    if stay == "eq":
+        return 0 if start != bound else 1 if step else None
+    if stay == "ne":
+        if start == bound:
+            return 0
+        return (bound - start) // step if step and (bound - start) % step == 0 and (bound - start) // step > 0 else None
+    if stay in ("gt", "ge"):
+        start, step, bound, stay = -start, -step, -bound, "lt" if stay == "gt" else "le"
+    if stay == "le":
+        bound += 1
+    if start >= bound:
+        return 0
+    return -(-(bound - start) // step) if step > 0 else None
+
+
+def _trips(header, body, after, dom, lines) -> int:
+    """The largest constant trip count over the exits of a loop; zero where none is known.
+
+    lines map a block to its (result, text). A count is known for an exit that every round passes, by comparing a
+    counter with a constant: a value that starts constant in the header and goes up or down by a constant.
+    """
+    made = {r: t for b in body for r, t in lines.get(b, ()) if r}
+    latches = [b for b in body if header in after.get(b, ())]
+    number = lambda t: int(t) if t.lstrip("-").isdigit() else None
+
+    def stepped(name):
+        """(base, step) if name is base plus a constant."""
+        m = STEP.match(made.get(name, ""))
+        if m:
+            op, a, b = m.groups()
+            if op == "add" and number(a) is not None:
+                a, b = b, a
+            if number(b) is not None:
+                return a, number(b) if op == "add" else -number(b)
+        return None
+
+    counters = {}
+    for r, t in lines.get(header, ()):
+        ways = PHI.findall(t) if r and t.startswith("phi i") else []
+        starts = {v for v, b in ways if b not in body}
+        nexts = {v for v, b in ways if b in body}
+        if len(starts) == 1 and len(nexts) == 1 and number(*starts) is not None:
+            at = stepped(*nexts)
+            if at and at[0] == r:
+                counters[r] = (number(*starts), at[1])
+    best = 0
+    for b in body:
+        m = BRANCH.match(lines[b][-1][1]) if lines.get(b) else None
+        if not m or (m[2] in body) == (m[3] in body):
+            continue
+        passed = True
+        for x in latches:
+            while x != b and x != dom[x]:
+                x = dom[x]
+            passed = passed and x == b
+        test = TEST.match(made.get(m[1], ""))
+        if not passed or not test:
+            continue
+        how, x, bound = test.groups()
+        if number(x) is not None:
+            x, bound, how = bound, x, {"lt": "gt", "gt": "lt", "le": "ge", "ge": "le"}.get(how, how)
+        at = stepped(x)
+        start, step = counters.get(x) or ((counters[at[0]][0] + at[1], counters[at[0]][1]) if at and at[0] in counters else (None, 0))
+        if start is None or number(bound) is None:
+            continue
+        n = rounds(start, step, how if m[2] in body else OPPOSITE[how], number(bound))
+        if n is not None and n + 1 < 1 << 32:
+            best = max(best, n + 1)
+    return best
+
+
+def trip_counts(instructions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, func, header, trip): how often each loop's header runs, zero where that is not a known constant.
+
+    instructions carry ord, result, opcode and text. Values of a counter are taken as unbounded integers.
+    """
+    parts = instructions.where(F.col("opcode").isin("phi", "add", "sub", "icmp", *TERMINATORS)).select(
+        *KEYS, "bb", "bb_ord", "ord", "result", "text")
+    out = "module string, func string, header string, trip long"
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def apply(key, i, e):
+        if i.empty or e.empty:
+            return pd.DataFrame({c: [] for c in names})
+        entry, after = _graph(i, e)
+        lines: dict = {}
+        for t in i.sort_values("ord").itertuples(index=False):
+            lines.setdefault(t.bb, []).append((t.result, t.text))
+        dom = immediate_dominators(entry, after)
+        return pd.DataFrame([(*key, h, _trips(h, body, after, dom, lines)) for h, body in natural_loops(entry, after).items()],
+                            columns=names)
+
+    edges = edges.toDF(*edges.columns)
+    return parts.groupBy(*KEYS).cogroup(edges.groupBy(*KEYS)).applyInPandas(apply, out)
+
+
 def control_dependences(instructions: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, func, bb, decider): blocks that run or not by the branch at the end of decider.
 

@@ -30,6 +30,25 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
 
 
+def strong_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, component): the smallest node that each node reaches and is reached from; itself if alone.
+
+    From the closure, whose size is that of all reachable pairs: for call graphs of single modules.
+    """
+    edges = edges.select("src", "dst").distinct()
+    far = closure(edges, max_rounds)
+    back = far.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    cycles = far.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
+    return nodes.join(cycles, "node", "left").select("node", F.least("node", "least").alias("component"))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(node): sources that nothing leads to."""
+    return edges.select(F.col("src").alias("node")).distinct().join(
+        edges.where("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
+
+
 def bounded_reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, level): nodes within depth edges of seeds (node), at their least level."""
     found = seeds.select("node", F.lit(0).alias("level")).distinct()

@@ -52,14 +52,18 @@ def match_functions(scopes: DataFrame, sps: DataFrame, file: list[str], scope_ke
     return hit.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def match_in_order(insts: DataFrame, keys: list[str], begin: Column, end: Column) -> DataFrame:
+def match_in_order(insts: DataFrame, keys: list[str], begin: Column, end: Column, after: Column | None = None) -> DataFrame:
     """Instructions (keys, ord, line) that a forward scan for lines begin..end accepts.
 
     The scan stops at the first line beyond end; it accepts lines in the range that do not fall below an
-    accepted one. Unknown lines are passed over.
+    accepted one. Unknown lines are passed over. A scan that follows one for lines up to `after` starts where
+    that one stopped, at the first line beyond; a null `after` starts at the first instruction.
     """
     w = W.partitionBy(*keys).orderBy("ord")
     x = insts.where("line is not null")
+    if after is not None:
+        x = x.withColumn("begun", F.max((after.isNull() | (F.col("line") > after)).cast("int")).over(w)).where(
+            "begun = 1").drop("begun")
     x = x.withColumn("cut", F.max((F.col("line") > end).cast("int")).over(w))
     ranged = F.when(F.col("line").between(begin, end), F.col("line"))
     top = F.max(ranged).over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -67,6 +71,37 @@ def match_in_order(insts: DataFrame, keys: list[str], begin: Column, end: Column
         F.col("line").between(begin, end) & (F.col("line") >= F.col("top"))).drop("cut", "top")
 
 
+def loop_scopes(insts: DataFrame, nest: DataFrame) -> DataFrame:
+    """(module, func, header, parent, depth, b, e): line range of each loop; parent is null at the outside.
+
+    insts (module, func, bb, ord, line) and nest (module, func, bb, headers). A block reaches from its first
+    instruction's line to its last's and has no range if one of them is unknown; a loop begins with its
+    header and ends with the block that ends last. Loops without a range are left out.
+    """
+    at = ["module", "func"]
+    blocks = insts.groupBy(*at, "bb").agg(F.min_by("line", "ord").alias("first"), F.max_by("line", "ord").alias("last"))
+    blocks = blocks.where("first is not null and last is not null")
+    held = nest.select(*at, "bb", F.posexplode("headers").alias("depth", "header"),
+                       F.col("headers")).withColumn("parent", F.expr("get(headers, depth - 1)")).drop("headers")
+    ends = held.join(blocks, [*at, "bb"]).groupBy(*at, "header", "depth", "parent").agg(
+        F.max("last").alias("e"), F.max(F.when(F.col("bb") == F.col("header"), F.col("first"))).alias("b"))
+    return ends.where("b is not null").select(*at, "header", "parent", "depth", "b", "e")
+
+
+def match_loops(scopes: DataFrame, loops: DataFrame, key: list[str]) -> DataFrame:
+    """(key, module, func, header): of each scope (key, module, func, begin, end) the loop that it touches.
+
+    The first outermost loop that meets the scope, or the last loop right inside it that does.
+    """
+    at = ["module", "func"]
+    hit = scopes.select(*key, *at, "begin", "end").join(loops, at).where(
+        intersects(F.col("b"), F.col("e"), F.col("begin"), F.col("end")))
+    top = hit.where("depth = 0").groupBy(*key, *at).agg(F.min_by("header", F.struct("b", "header")).alias("top"))
+    sub = hit.where("depth = 1").groupBy(*key, *at, F.col("parent").alias("top")).agg(
+        F.max_by("header", F.struct("b", "header")).alias("sub"))
+    return top.join(sub, [*key, *at, "top"], "left").select(*key, *at, F.coalesce("sub", "top").alias("header"))
+
+
 def innermost(pairs: DataFrame, key: list[str], begin: str, end: str) -> DataFrame:
     """Of the scopes around each key the one that begins last and ends first."""
     w = W.partitionBy(*key).orderBy(F.col(begin).desc(), F.col(end), *[c for c in pairs.columns if c not in (begin, end, *key)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -60,3 +60,8 @@ def enclosing(mods: DataFrame, keys: list[str]) -> DataFrame:
     return mods.groupBy(*keys).agg(
         F.min_by("scope_begin", "mod_idx").alias("scope_begin"), F.max_by("scope_end", "mod_idx").alias("scope_end"),
         F.min_by("rep_begin", "mod_idx").alias("rep_begin"), F.max_by("rep_end", "mod_idx").alias("rep_end"))
+
+
+def well_formed(seq: Column) -> Column:
+    """Whether no addition of a reduced sequence comes before a replaced line."""
+    return ~seq.rlike(r"(?s)\+.*\^")

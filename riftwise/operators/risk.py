@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riftwise.functions.names import demangle
+
 #: Thresholds and labels of the levels (fixed values).
 TIGHT_LOOP = EXPENSIVE = HOT_CALLERS = 10
-RISKS = ("no risk", "low", "moderate", "high", "extreme")
+RISKS = ("no risk", "low risk", "moderate risk", "high risk", "extreme risk")
 HOTNESS = ("cold", "regular", "hot")
 EXPENSIVENESS = ("minor", "normal", "expensive")
 
@@ -17,6 +19,11 @@ def risk_level(hot: Column, exp: Column, intrinsic: Column) -> Column:
     return F.when(intrinsic, 0).otherwise(F.greatest(F.lit(1), hot + exp))
 
 
+def named(level: Column, names: tuple[str, ...]) -> Column:
+    """Name of a level; UNKNOWN outside the scale."""
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), level.cast("int")), F.lit("UNKNOWN"))
+
+
 def expensiveness(cost: Column) -> Column:
     return F.when(F.coalesce(cost, F.lit(0)) == 0, 0).when(cost > EXPENSIVE, 2).otherwise(1)
 
@@ -35,6 +42,18 @@ def histogram(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.count_if(F.col("risk") == k).alias(f"risk_{k}") for k in range(5)])
 
 
+def summary(counts: DataFrame, title: Column) -> DataFrame:
+    """(value): a text block for each row of a histogram, a line with the title and one for each level."""
+    lines = [F.concat(F.lit(f"{name}:\t"), F.col(f"risk_{k}")) for k, name in enumerate(RISKS)]
+    return counts.select(F.concat_ws("\n", F.concat(F.lit("===="), title, F.lit("====")), *lines).alias("value"))
+
+
+def summaries(df: DataFrame, func: str) -> DataFrame:
+    """(value): the summary of each function, named as written in its source, and the one over all, which comes last."""
+    by = summary(histogram(df, func), F.concat(F.lit("'"), demangle(F.col(func)), F.lit("' risk summary"))).orderBy("value")
+    return by.unionByName(summary(histogram(df), F.lit("Overall risk summary")))
+
+
 def caller_hotness(calls: DataFrame, frequent: DataFrame) -> DataFrame:
     """(callee, hot) from calls (caller, callee, in_loop) and frequent (func).
 

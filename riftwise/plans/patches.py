@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from riftwise.functions import paths as P
 from riftwise.operators import cfg, cost, match, reduce, risk
@@ -18,8 +19,8 @@ def instruction_levels(m: Module, profile: DataFrame) -> DataFrame:
 
     exp: callees in SYSCALL, LOCKCALL or EXPCALL are expensive, other named ones normal, indirect ones minor; other
     instructions go by cost. Conditional branches of which some successors only hold expensive instructions are
-    expensive. hot: 2 in hot functions, else 1 in functions without loops, else by the outermost loop. Trip
-    counts are not derived, so that every loop counts as hot.
+    expensive. hot: 2 in hot functions, else 1 in functions without loops, else by the outermost loop, which is
+    hot unless its trip count is known and small.
     """
     dear = profile.where("segment <> 'FREQCALL'").select(F.col("func").alias("callee"), F.lit(True).alias("dear")).distinct()
     x = cost.with_cost(m.instructions).join(dear, "callee", "left")
@@ -45,20 +46,18 @@ def instruction_levels(m: Module, profile: DataFrame) -> DataFrame:
         often.select(F.col("func").alias("callee"), F.lit(True).alias("hot"))).distinct().select(
         F.split("callee", "\n")[0].alias("module"), F.split("callee", "\n")[1].alias("func"), F.lit(True).alias("hot_func"))
     looped = nest.select("module", "func", F.lit(True).alias("looped")).distinct()
-    x = x.join(nest, ["module", "func", "bb"], "left").join(hot, ["module", "func"], "left").join(
+    outer = nest.select("module", "func", "bb", F.col("headers")[0].alias("header")).join(
+        cfg.trip_counts(m.instructions, m.edges), ["module", "func", "header"], "left")
+    x = x.join(outer, ["module", "func", "bb"], "left").join(hot, ["module", "func"], "left").join(
         looped, ["module", "func"], "left")
-    own = risk.loop_hotness(F.lit(None).cast("int"), F.col("headers").isNotNull())
+    own = risk.loop_hotness(F.col("trip"), F.col("header").isNotNull())
     return x.withColumn("hot", F.when(F.col("hot_func"), 2).when(F.col("looped").isNull(), 1).otherwise(own)).drop(
-        "hot_func", "looped", "headers")
+        "hot_func", "looped", "header", "trip")
 
 
-def patched_instructions(hunks: DataFrame, m: Module, strips: int) -> DataFrame:
-    """(patchname, chapter, name, module, func, ord): instructions that a patch's new lines touch, each once.
-
-    A chapter belongs to the first module with its path, strips leading components off; hunks go to the first
-    function they touch, and modifications to its instructions in order. Headers and deletions are passed over.
-    """
-    hunks = hunks.where(P.src2obj(F.col("name")).isNotNull())
+def _touched(hunks: DataFrame, m: Module, strips: int) -> tuple[DataFrame, DataFrame]:
+    """Modifications of hunks, and (patchname, chapter, hunk, module, func, linenumber, lastline) they touch."""
+    hunks = hunks.where(P.src2obj(F.col("name")).isNotNull()).withColumn("name", P.renamed(F.col("name")))
     keys = [*HUNK, "start_line", "rep_start_line"]
     mods = reduce.modifications(reduce.pair_changes(reduce.explode_sequence(hunks, keys, "ctrlseq"), keys), keys,
                                 "start_line", "rep_start_line")
@@ -70,13 +69,33 @@ def patched_instructions(hunks: DataFrame, m: Module, strips: int) -> DataFrame:
     sps = sps.join(first, ["file_name", "module"])
     hit = match.match_functions(scopes.withColumn("file_name", F.col("name")).withColumnRenamed("name", "chapter_name"),
                                 sps, ["file_name"], ["patchname", "chapter", "hunk"])
-    hit = hit.select("patchname", "chapter", "hunk", "module", F.col("func"), "linenumber", "lastline")
+    return mods, hit.select("patchname", "chapter", "hunk", "module", "func", "linenumber", "lastline")
+
+
+def touched_functions(hunks: DataFrame, m: Module, strips: int) -> DataFrame:
+    """(patchname, chapter, hunk, module, func, linenumber, lastline): the first function that each hunk touches.
+
+    A chapter belongs to the first module with its path, strips leading components off; headers are passed over.
+    """
+    return _touched(hunks, m, strips)[1]
+
+
+def patched_instructions(hunks: DataFrame, m: Module, strips: int) -> DataFrame:
+    """(patchname, chapter, name, module, func, ord): instructions that a patch's new lines touch, each once.
+
+    Modifications go in order to the instructions of the function that their hunk touches; deletions are
+    passed over.
+    """
+    mods, hit = _touched(hunks, m, strips)
     changed = mods.where("type <> 'DEL'").join(hit, ["patchname", "chapter", "hunk"]).where("rep_end >= linenumber")
     changed = changed.select(*HUNK, "mod_idx", "module", "func",
                              F.greatest("rep_begin", "linenumber").alias("begin"),
                              F.least("rep_end", F.coalesce("lastline", "rep_end")).alias("end"))
+    # A function's modifications are scanned for in order, each from where the one before it stopped.
+    order = W.partitionBy("patchname", "chapter", "module", "func").orderBy("hunk", "mod_idx")
+    changed = changed.where("begin <= end").withColumn("after", F.lag("end").over(order))
     lined = m.instructions.select(*INST, "line").join(changed, ["module", "func"])
-    got = match.match_in_order(lined, [*HUNK, "mod_idx", "module", "func"], F.col("begin"), F.col("end"))
+    got = match.match_in_order(lined, [*HUNK, "mod_idx", "module", "func"], F.col("begin"), F.col("end"), F.col("after"))
     return got.select("patchname", "chapter", "name", *INST).distinct()
 
 
@@ -86,6 +105,11 @@ def assess(hunks: DataFrame, m: Module, profile: DataFrame, strips: int) -> Data
     return patched_instructions(hunks, m, strips).join(levels.select(*INST, "risk"), INST)
 
 
+def is_trivial(hunks: DataFrame, m: Module, strips: int) -> bool:
+    """Whether patches touch no function of the module."""
+    return touched_functions(hunks, m, strips).isEmpty()
+
+
 def static_profile(m: Module) -> DataFrame:
     """(module, func, cost, sites): the cost of each defined function's dearest path, and its call sites."""
     total = cfg.function_cost(cost.with_cost(m.instructions), m.edges)

@@ -108,6 +108,47 @@ def write_id(hunks: DataFrame, path: str) -> None:
     patches.select(F.concat(F.lit("****\n"), F.substring_index("file", "/", -1), F.lit("\n"), F.col("t")).alias("value")).write.text(path)
 
 
+def log_lines(hunks: DataFrame) -> DataFrame:
+    """(file, value): a text for each patch that names what was created (+), deleted (-) or no source ($), and counts."""
+    chapters = hunks.groupBy("file", "chapter").agg(F.first("name").alias("name"), F.first("status").alias("status"))
+    sign = F.when(F.col("status") == "created", "+ ").when(F.col("status") == "deleted", "- ").when(
+        F.col("status") == "non-source", "$ ")
+    named = F.when(sign.isNotNull(), F.struct("chapter", F.concat(sign, "name").alias("line")))
+    count = lambda s: F.count_if(F.col("status") == s).cast("string")
+    counts = F.concat(F.lit("Scanned total: "), F.count("*").cast("string"), F.lit("; Non-source: "), count("non-source"),
+                      F.lit("; Delete: "), count("deleted"), F.lit("; Create: "), count("created"))
+    return chapters.groupBy("file").agg(F.array_sort(F.collect_list(named)).alias("lines"), counts.alias("counts")).select(
+        "file", F.array_join(F.concat("lines.line", F.array("counts")), "\n").alias("value"))
+
+
+def source_lines(hunks: DataFrame) -> DataFrame:
+    """(file, value): the source files of each patch in order, a line each, created ones included."""
+    chapters = hunks.where((F.col("status") == "source") | ((F.col("status") == "created") & issource(F.col("name")))).groupBy(
+        "file", "chapter").agg(F.first("name").alias("name"))
+    return chapters.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("chapter", "name"))).alias("all")).select(
+        "file", F.array_join("all.name", "\n").alias("value"))
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Texts (value) to a folder of text files, as tasks hold them."""
+    texts.select("value").write.text(path)
+
+
+def profile_lines(profile: DataFrame, top: int | None = 50, detail: bool = False) -> DataFrame:
+    """(value): a static profile (func, cost, sites) as a text that read_profile reads.
+
+    EXPCALL lists the `top` functions of the highest cost, FREQCALL those of the most call sites, ties by name; all
+    of them without top. detail appends the figures, for people to read.
+    """
+    def segment(kind: str, n: str) -> DataFrame:
+        rows = profile.orderBy(F.desc(n), "func").limit(top) if top and top > 0 else profile
+        name = F.concat("func", F.lit(": "), n) if detail else F.col("func")
+        listed = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("n"), "func", name.alias("line"))))
+        return rows.agg(F.array_join(F.concat(F.array(F.lit("===="), F.lit(kind), F.lit("====")), listed["line"]), "\n").alias("value"))
+
+    return segment("EXPCALL", "cost").unionByName(segment("FREQCALL", "sites"))
+
+
 def read_profile(lines: DataFrame) -> DataFrame:
     """(file, segment, func) from segments headed by ====, a kind and ====; an unknown kind is an error."""
     w = _w("file")
