@@ -103,7 +103,7 @@ def _per_function(instructions: DataFrame, edges: DataFrame, run, schema: str) -
 
     def apply(key, b, e):
         if b.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in out.split(", ")})
+            return pd.DataFrame([], columns=[c.split()[0] for c in out.split(", ")])
         rows = run(b, e)
         return pd.DataFrame([(*key, *r) for r in rows], columns=[c.split()[0] for c in out.split(", ")])
 
@@ -254,7 +254,7 @@ def trip_counts(instructions: DataFrame, edges: DataFrame) -> DataFrame:
 
     def apply(key, i, e):
         if i.empty or e.empty:
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame([], columns=names)
         entry, after = _graph(i, e)
         lines: dict = {}
         for t in i.sort_values("ord").itertuples(index=False):
