@@ -125,9 +125,11 @@ def rules(m: Module, assigned: DataFrame) -> DataFrame:
     return made.unionByName(sites).distinct()
 
 
-def _solve(found: DataFrame) -> DataFrame:
+def _solve(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Points-to sets of rules, from what fewer rules gave."""
     of = {k: found.where(F.col("kind") == k).select("lval", "rval") for k in KINDS}
-    return graph.points_to(of["address"], of["copy"], of["load"], of["store"])
+    start = of["address"] if known is None else of["address"].unionByName(known.toDF("lval", "rval"))
+    return graph.points_to(start, of["copy"], of["load"], of["store"])
 
 
 def points_to(m: Module, max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -139,13 +141,14 @@ def points_to(m: Module, max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
         "module", "func", "ord", _var(F.col("module"), F.col("func"), _operand(
             r"^\w+ [^%]*(?:%[-\w.$]+\** )*?(%[-\w.$]+)\(")).alias("ptr")).where("ptr is not null")
     functions = m.functions.select(F.concat_ws("\n", "module", F.concat(F.lit("@"), "func")).alias("loc"), F.col("func").alias("callee"))
-    assigned, known = materialize(assignments(m), "assignments"), None
+    assigned, known = materialize(assignments(m), "assignments"), 0
+    pts = None
     for _ in range(max_rounds):
-        pts = _solve(materialize(rules(m, assigned), "rules"))
+        pts = _solve(materialize(rules(m, assigned), "rules"), pts)
         targets = materialize(indirect.join(pts, "ptr").join(functions.distinct(), "loc").select(
             "module", "func", "ord", "callee").distinct(), "targets")
         n = targets.count()
-        if n == (known or 0):
+        if n == known:
             return pts, targets
         known, assigned = n, materialize(assigned.unionByName(passed(m, targets)).distinct(), "assignments")
     raise RuntimeError(f"targets of calls did not settle in {max_rounds} rounds")

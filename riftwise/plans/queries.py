@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from riftwise.functions import paths as P
 from riftwise.functions.names import demangle
-from riftwise.operators import cost, diff, graph, match, reduce, risk
+from riftwise.operators import cfg, cost, diff, graph, match, pointers, reduce, risk
 from riftwise.plans import patches
 from riftwise.sources import ir, text
 
@@ -489,3 +489,96 @@ UNION ALL
 SELECT CAST(o_custkey AS VARCHAR), 'prio_' || substr(o_orderpriority, 1, 1), 0, count(*) FROM orders GROUP BY 1, 2""")
 def q49(t, spark):
     return patches.static_profile(ir.read_ir(text.split_lines(modules(t))))
+
+
+@query("q50_strong_components", f"""WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+  c AS (SELECT a.src AS node, min(a.dst) AS low FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+  SELECT node, least(node, coalesce(low, node)) AS component FROM n LEFT JOIN c USING (node)""")
+def q50(t, spark):
+    return graph.strong_components(edges(t))
+
+
+LEVELS = " || ".join(f"chr(10) || '{name}:' || chr(9) || risk_{k}" for k, name in enumerate(risk.RISKS))
+
+
+@query("q51_risk_summary", f"""WITH {RISKED}, h AS (
+  SELECT '''' || c_mktsegment || ''' risk summary' AS title, {COUNTS} FROM risked GROUP BY c_mktsegment
+  UNION ALL SELECT 'Overall risk summary', {COUNTS} FROM risked)
+  SELECT '====' || title || '====' || {LEVELS} AS value FROM h""")
+def q51(t, spark):
+    return risk.summaries(risked(t), "c_mktsegment")
+
+
+@query("q52_ir_trip_counts", """SELECT s_suppkey::VARCHAR AS module, 'f_' || s_suppkey AS func, 'loop' AS header,
+  (greatest(0, ceil((s_suppkey - s_nationkey - 1 - s_suppkey % 7) / (1 + s_suppkey % 7)::DOUBLE)) + 1)::BIGINT AS trip FROM supplier""")
+def q52(t, spark):
+    """A module for each supplier: a loop that counts from its nation to its key."""
+    code = F.concat(F.lit("define void @f_"), "s_suppkey", F.lit("() {\nentry:\n  br label %loop\n\nloop:\n  %i = phi i64 [ "),
+                    "s_nationkey", F.lit(", %entry ], [ %n, %loop ]\n  %n = add i64 %i, "), (F.col("s_suppkey") % 7 + 1).cast("string"),
+                    F.lit("\n  %c = icmp slt i64 %n, "), "s_suppkey",
+                    F.lit("\n  br i1 %c, label %loop, label %end\n\nend:\n  ret void\n}"))
+    m = ir.read_ir(text.split_lines(t("supplier").select(F.col("s_suppkey").cast("string").alias("file"), code.alias("value"))))
+    return cfg.trip_counts(m.instructions, m.edges)
+
+
+@query("q53_ir_call_targets", """SELECT n_name AS module, 'g_' || n_regionkey AS callee FROM nation
+  UNION SELECT n_name, 'g_' || n_nationkey % 5 FROM nation WHERE n_nationkey % 2 = 0""")
+def q53(t, spark):
+    """A module for each nation: a slot that holds one function or two of five, and a call through it."""
+    put = lambda k: F.concat(F.lit("  store void ()* @g_"), k.cast("string"), F.lit(", void ()** %s, align 8\n"))
+    code = F.concat(F.lit("".join(f"define void @g_{k}() {{\n  ret void\n}}\n\n" for k in range(5))),
+                    F.lit("define void @f() {\nentry:\n  %s = alloca void ()*\n"), put(F.col("n_regionkey")),
+                    F.when(F.col("n_nationkey") % 2 == 0, put(F.col("n_nationkey") % 5)).otherwise(""),
+                    F.lit("  %v = load void ()** %s, align 8\n  call void %v()\n  ret void\n}"))
+    m = ir.read_ir(text.split_lines(t("nation").select(F.col("n_name").alias("file"), code.alias("value"))))
+    return pointers.points_to(m)[1].select("module", "callee").distinct()
+
+
+@query("q54_header_times", f"SELECT event_id, {SECONDS} - 7200 AS at, false AS gone FROM events")
+def q54(t, spark):
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(".000000000 +0200"))
+    return t("events").select("event_id", F.unix_timestamp(P.patch_time(stamp)).alias("at"), P.is_epoch(stamp).alias("gone"))
+
+
+@query("q55_best_name", """SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN p_name || '.c'
+  WHEN length(p_name) + 2 < length(p_brand) THEN 'src/' || p_name || '.c' ELSE 'a/' || p_brand END AS name FROM part""")
+def q55(t, spark):
+    first = F.concat(F.when(F.col("p_size") % 2 == 1, "").otherwise("src/"), "p_name", F.lit(".c"))
+    names = F.array(first, F.lit(None).cast("string"), F.concat(F.lit("a/"), "p_brand"))
+    return t("part").select("p_partkey", P.best_name(names).alias("name"))
+
+
+@query("q56_ed_commands", """SELECT letter, count(*) AS n FROM (SELECT CASE
+    WHEN substr(o_orderpriority, 1, 1) IN ('2', '3') THEN ['c', 'd'][substr(o_orderpriority, 1, 1)::INT - 1]
+    WHEN o_orderkey % 2 = 0 AND substr(o_orderpriority, 1, 1) IN ('1', '4') THEN ['a', 'i'][substr(o_orderpriority, 1, 1)::INT // 3 + 1]
+  END AS letter FROM orders) GROUP BY 1""")
+def q56(t, spark):
+    letter = F.translate(F.substring("o_orderpriority", 1, 1), "12345", "acdix")
+    line = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 1, ",99999999").otherwise(""), letter, F.lit(" "))
+    return t("orders").groupBy(P.ed_command(line).alias("letter")).agg(F.count("*").alias("n"))
+
+
+def _segment_sql(kind: str, n: str) -> str:
+    return (f"SELECT '====' || chr(10) || '{kind}' || chr(10) || '====' || chr(10) || string_agg(func, chr(10) ORDER BY {n} DESC, func) AS value "
+            f"FROM (SELECT * FROM p ORDER BY {n} DESC, func LIMIT 50)")
+
+
+@query("q57_profile_text", f"""WITH p AS (SELECT l_partkey::VARCHAR AS func, sum(l_quantity::BIGINT)::BIGINT AS cost, count(*) AS sites
+  FROM lineitem GROUP BY 1) {_segment_sql("EXPCALL", "cost")} UNION ALL {_segment_sql("FREQCALL", "sites")}""")
+def q57(t, spark):
+    return text.profile_lines(t("lineitem").groupBy(F.col("l_partkey").cast("string").alias("func")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("cost"), F.count("*").alias("sites")))
+
+
+@query("q58_continued_scan", """
+WITH x AS (SELECT event_id, user_id, round(value)::BIGINT % 50 AS line FROM events),
+v AS (SELECT *, max((line > 10)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS begun FROM x WHERE line IS NOT NULL),
+y AS (SELECT *, max((line > 40)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS cut,
+  max(CASE WHEN line BETWEEN 3 AND 40 THEN line END) OVER
+  (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v WHERE begun = 1)
+SELECT event_id, user_id, line FROM y WHERE cut = 0 AND line BETWEEN 3 AND 40 AND line >= coalesce(top, 3)""")
+def q58(t, spark):
+    x = t("events").select("event_id", "user_id", F.col("event_id").alias("ord"),
+                           (F.round("value").cast("long") % 50).alias("line"))
+    return match.match_in_order(x, ["user_id"], F.lit(3), F.lit(40), F.lit(10)).select("event_id", "user_id", "line")
