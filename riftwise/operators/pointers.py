@@ -136,6 +136,7 @@ def points_to(m: Module, max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
     """(ptr, loc) of all pointers, and the calls (module, func, ord, callee) that go through pointers.
 
     The targets of indirect calls pass arguments too, so both are found in turn until no call gets a new target.
+    m is read many times: riftwise.sources.ir.settled saves parsing it anew.
     """
     indirect = m.instructions.where("opcode in ('call', 'invoke') and callee is null").select(
         "module", "func", "ord", _var(F.col("module"), F.col("func"), _operand(

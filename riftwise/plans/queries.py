@@ -531,7 +531,7 @@ def q53(t, spark):
                     F.lit("define void @f() {\nentry:\n  %s = alloca void ()*\n"), put(F.col("n_regionkey")),
                     F.when(F.col("n_nationkey") % 2 == 0, put(F.col("n_nationkey") % 5)).otherwise(""),
                     F.lit("  %v = load void ()** %s, align 8\n  call void %v()\n  ret void\n}"))
-    m = ir.read_ir(text.split_lines(t("nation").select(F.col("n_name").alias("file"), code.alias("value"))))
+    m = ir.settled(ir.read_ir(text.split_lines(t("nation").select(F.col("n_name").alias("file"), code.alias("value")))))
     return pointers.points_to(m)[1].select("module", "callee").distinct()
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riftwise.functions.paths import canonpath
+from riftwise.sources.shared import materialize
 
 #: Tags of the debug metadata (fixed values).
 COMPILE_UNIT, SUBPROGRAM, FILE = 720913, 720942, 720937
@@ -129,6 +130,11 @@ def read_ir(lines: DataFrame) -> Module:
     return Module(functions, instructions, edges, units, subprograms)
 
 
+def settled(m: Module) -> Module:
+    """The tables written once, for analyses that read them many times over."""
+    return Module(*[materialize(table, "ir") for table in m])
+
+
 def call_sites(m: Module) -> DataFrame:
     """(module, used, caller, bb, ord): functions named anywhere in a call, as callee or as an argument."""
     used = m.instructions.where("opcode = 'call'").select(

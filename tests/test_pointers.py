@@ -51,7 +51,7 @@ def module(spark, code=CODE):
 
 
 def test_points_to_and_modified(spark):
-    m = module(spark)
+    m = ir.settled(module(spark))
     pts, targets = pointers.points_to(m)
     got = {}
     for r in pts.collect():
