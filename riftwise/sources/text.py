@@ -153,8 +153,9 @@ def read_profile(lines: DataFrame) -> DataFrame:
     """(file, segment, func) from segments headed by ====, a kind and ====; an unknown kind is an error."""
     w = _w("file")
     bar = F.col("line") == "===="
-    head = (F.lag("line").over(w) == "====") & (F.lead("line").over(w) == "====")
-    x = lines.where(F.btrim("line") != "").withColumn("kind", F.when(head & ~bar, F.col("line")))
+    # Bars open and close the heads in turn.
+    x = lines.where(F.btrim("line") != "").withColumn("bars", F.sum(bar.cast("int")).over(w))
+    x = x.withColumn("kind", F.when((F.col("bars") % 2 == 1) & ~bar, F.col("line")))
     x = x.withColumn("kind", F.when(F.col("kind").isNull() | F.col("kind").isin(*KINDS), F.col("kind")).otherwise(
         F.raise_error(F.concat(F.lit("unknown segment "), F.col("kind"))).cast("string")))
     x = x.withColumn("segment", F.last("kind", True).over(w)).where(~bar & F.col("kind").isNull())
