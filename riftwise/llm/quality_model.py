@@ -2,8 +2,10 @@
 
 Graded ratings y in 0..K-1 follow P(y <= k) = sigmoid(theta_k - s), with ordered thresholds theta and one
 score s = w . x shared by all of them. x holds a hashed entry for each distinct word and one for its last
-three bytes, valued log(1 + count) and scaled to length one. The model yields the expected grade and the
-tail probability P(y >= k) by which documents are selected.
+three bytes, valued log(1 + count) times a power of its rarity among the fitted documents, so that the
+few words of a toxic passage count beside the many common ones, and is scaled to length one. The model
+yields the expected grade and the tail probabilities P(y >= k). Both tails rise with s, so documents are
+selected by s: the highest cutoff that keeps nearly all sound documents of a fold held out from fitting.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from .common import text_key
 BINS = 1 << 18
 #: Bins found in fewer documents of the sample than this get no weight.
 MIN_DOCS = 4
-#: A document stays if P(y >= 1) and P(y >= 2) reach these.
+#: A document stays if P(y >= 1) and P(y >= 2) reach these and its score the fitted cutoff.
 LEAST_TAILS = (0.5, 0.3)
+#: One rated row of so many is held out from fitting, and this share of its sound ones may be rejected.
+FOLDS, LOSS = 4, 0.01
+#: Powers of rarity, of which the one is taken that rejects most of the poor and toxic rows held out.
+POWERS = (0, 2)
 #: The model is fitted on at most this many labelled rows, chosen by a hash of their doc_id.
 SAMPLE = 6000
 GRADES = 3
@@ -34,6 +40,10 @@ GRADES = 3
 class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
+    #: Power of each bin's rarity, zero for bins without weight.
+    rarity: np.ndarray | None = None
+    #: The least score that is accepted.
+    least: float = -np.inf
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(y >= k) for k = 1..K-1, a column each."""
@@ -44,15 +54,25 @@ def _bins(word: bytes) -> tuple[int, int]:
     return crc32(word) % BINS, crc32(word[-3:], 7) % BINS
 
 
-def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(bins, values) of a text, bins sorted and distinct; none for a text without words."""
+def features(text: bytes | None, known: dict[bytes, tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bins, values) of a text, bins sorted and distinct; none for a text without words. known keeps bins of words."""
     counts = Counter((text or b"").lower().split())
     if not counts:
         return np.zeros(0, np.int32), np.zeros(0)
-    at = np.array([b for w in counts for b in _bins(w)], dtype=np.int64)
+    known = {} if known is None else known
+    for w in counts.keys() - known.keys():
+        known[w] = _bins(w)
+    at = np.array([known[w] for w in counts], dtype=np.int64).ravel()
     value = np.repeat(np.log1p(np.fromiter(counts.values(), float, len(counts))), 2)
     bins, where = np.unique(at, return_inverse=True)
-    return bins.astype(np.int32), np.bincount(where, value) / np.sqrt(2 * (value[::2] ** 2).sum())
+    return bins.astype(np.int32), np.bincount(where, value)
+
+
+def weighted(bins: np.ndarray, values: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of bins with weight, times their rarity and scaled to length one."""
+    values = values * rarity[bins]
+    there = values > 0
+    return bins[there], values[there] / max(np.sqrt((values ** 2).sum()), 1e-12)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: int = 150,
@@ -115,34 +135,45 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalM
         got.append_column("n", pc.list_value_length(got["bins"])),
         [("doc_id", "ascending"), ("grade", "ascending"), ("n", "ascending")]))
     pairs = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(got["bins"], got["vals"])]
-    found = np.bincount(np.concatenate([b for b, _ in pairs] + [np.zeros(0, np.int32)]), minlength=BINS) >= MIN_DOCS
-    pairs = [(b[found[b]], v[found[b]]) for b, v in pairs]
-    return fit(pairs, got["grade"].to_numpy().astype(int))
-
-
-def scores(texts, weights: np.ndarray, known: dict[bytes, float]) -> np.ndarray:
-    """Score of each text; known keeps the weights of words already met."""
-    logs, out = np.log1p(np.arange(4096)).tolist(), []
+    grades = got["grade"].to_numpy().astype(int)
+    held = np.array([crc32(b"%d" % d) % FOLDS == 0 for d in got["doc_id"].to_pylist()], dtype=bool)
+    fitted = [pairs[i] for i in np.flatnonzero(~held)]
+    found = np.bincount(np.concatenate([b for b, _ in fitted] + [np.zeros(0, np.int32)]), minlength=BINS)
+    rare = np.log((len(fitted) + 1) / (found + 1))
+    best = None
+    for power in POWERS:
+        rarity = np.where(found >= MIN_DOCS, rare ** power, 0)
+        model = fit([weighted(b, v, rarity) for b, v in fitted], grades[~held])
+        model.weights, model.rarity = model.weights.astype(np.float32), rarity
+        tried = np.array([score(*pairs[i], model) for i in np.flatnonzero(held)])
+        sound = np.sort(tried[grades[held] == GRADES - 1])
+        if len(sound):
+            model.least = float(sound[int(LOSS * len(sound))])
+        gone = (~accepted(tried[grades[held] < GRADES - 1], model)).sum()
+        if best is None or gone > best[0]:
+            best = gone, model
+    return best[1]
+
+
+def score(bins: np.ndarray, values: np.ndarray, model: OrdinalModel) -> float:
+    bins, values = weighted(bins, values, model.rarity)
+    return float((model.weights[bins] * values).sum())
+
+
+def accepted(found: np.ndarray, model: OrdinalModel) -> np.ndarray:
+    return (found >= model.least) & (model.tails(found) >= LEAST_TAILS).all(axis=1)
+
+
+def scores(texts, model: OrdinalModel, known: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Score of each text; known keeps the bins of words already met."""
+    out = []
     for text in texts:
-        s = q = 0.0
-        for w, n in Counter((text or b"").lower().split()).items():
-            x = known.get(w)
-            if x is None:
-                one, two = _bins(w)
-                x = known[w] = float(weights[one]) + float(weights[two])
-            v = logs[n] if n < 4096 else float(np.log1p(n))
-            s += v * x
-            q += v * v
-        out.append(s / (2 * q) ** 0.5 if q else 0.0)
-    if len(known) > 200_000:
-        known.clear()
+        out.append(score(*features(text, known), model))
+        if len(known) > 200_000:
+            known.clear()
     return np.array(out)
 
 
-def accepted(tails: np.ndarray) -> np.ndarray:
-    return (tails >= LEAST_TAILS).all(axis=1)
-
-
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text_key, expected_grade, tail_1, tail_2, kept) per row of docs (doc_id, text).
 
@@ -150,15 +181,15 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     ratings of a document each counts. Rows that repeat a doc_id are scored one by one.
     """
     model = train(docs, graded(labels), sample)
-    weights = model.weights.astype(np.float32)
 
     def run(batches):
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[int, int]] = {}
         for b in batches:
-            tails = model.tails(scores(b.column("text").to_pylist(), weights, known))
+            found = scores(b.column("text").to_pylist(), model, known)
+            tails = model.tails(found)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("key"), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]),
-                 pa.array(tails[:, 1]), pa.array(accepted(tails))],
+                 pa.array(tails[:, 1]), pa.array(accepted(found, model))],
                 ["doc_id", "text_key", "expected_grade", "tail_1", "tail_2", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
@@ -170,12 +201,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 def keep_accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier accepts, all columns unchanged, without a shuffle of texts."""
     model = train(docs, graded(labels), sample)
-    weights, at = model.weights.astype(np.float32), docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             texts = b.column(at).cast(pa.binary()).to_pylist()
-            yield b.filter(pa.array(accepted(model.tails(scores(texts, weights, known)))))
+            yield b.filter(pa.array(accepted(scores(texts, model, known), model)))
 
     return docs.mapInArrow(run, docs.schema)

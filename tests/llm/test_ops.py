@@ -146,6 +146,19 @@ def test_quality_model(spark):
     assert all(x["kept"] for x in quality_model.classify(frame(spark), labels(spark)).collect())
 
 
+def test_toxic_documents_go(spark):
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
+    rated, docs = read("labels").where("quality is not null"), read("documents").join(read("labels").select("doc_id"), "doc_id")
+    got = quality_model.classify(docs, rated.where("doc_id % 2 = 0")).select("doc_id", "kept")
+    unseen = got.join(rated.where("doc_id % 2 = 1 and quality = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    gone = {}
+    for r in unseen:
+        gone.setdefault(("toxic" if r["toxic"] else "sound", r["lang"]), []).append(not r["kept"])
+    print({k: (len(v), round(sum(v) / len(v), 3)) for k, v in gone.items()})
+    assert np.mean(gone["toxic", "en"]) >= 0.5
+    assert np.mean([x for k, v in gone.items() if k[0] == "sound" for x in v]) <= 0.025
+
+
 def test_suffix_dedup(spark, monkeypatch):
     texts = [(t or "").encode() for _, t in ROWS]
     seen = Counter(t[i:i + 400] for t in texts for i in range(len(t) - 399))
