@@ -1,8 +1,10 @@
 """Line deduplication by pairwise patience alignment.
 
-Documents that share a line are paired with the first document that holds it: a star per line, so pairs
-grow with the rows that share lines and not with their square, for rare and frequent lines alike. Each
-pair is aligned by patience diff over line hashes, and blocks of aligned lines go from the later one.
+Documents that share a line are paired with the first document that holds it, and so are those that share
+two lines with text that follow each other but for the same blank lines: every block of two such lines has
+one. A star per line and per couple of lines, so pairs grow with the rows that share them and not with
+their square, for rare and frequent lines alike. Each pair is aligned by patience diff over line hashes, and
+blocks of aligned lines go from the later one.
 """
 
 from __future__ import annotations
@@ -82,13 +84,20 @@ def line_table(docs: DataFrame) -> DataFrame:
         F.transform(bare, F.length).alias("chars"))
 
 
+def couples(full: str):
+    """A hash of each two lines with text, (x, i) in full, that follow each other and of the distance between them."""
+    return F.expr(f"""zip_with(slice({full}, 1, greatest(size({full}) - 1, 0)), slice({full}, 2, greatest(size({full}) - 1, 0)),
+        (s, t) -> xxhash64(s.x, t.i - s.i, t.x))""")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(o, k, gone): positions of the lines to delete, for documents that have any.
 
     Rows that agree in doc_id and text count as one document; identical texts are aligned in whole.
     """
     table = materialize(line_table(docs).dropDuplicates(["o", "k"]), "lines")
-    held = table.select("o", "k", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    full = F.expr("filter(transform(lines, (x, i) -> struct(x, i)), s -> s.x <> 0)")
+    held = table.withColumn("full", full).select("o", "k", F.explode(F.array_distinct(F.concat("lines", couples("full")))).alias("line")).where("line <> 0")
     me = F.struct("o", "k")
     owners = held.groupBy("line").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1")
     owners = materialize(owners, "owners")

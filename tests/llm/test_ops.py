@@ -122,6 +122,16 @@ def test_line_dedup(spark):
     assert {k if k is not None else 1 << 63: r["n_removed"] for k, r in by_id.items()} == brute
 
 
+def test_blocks_whose_lines_come_apart_first(spark):
+    one, two = "first line", "second line"
+    texts = {1: [one, "a"], 2: ["b", two], 3: ["c", one, "", two, "d"], 5: [one, "e"], 6: ["f", two], 7: ["g", one, "", two, "h"]}
+    for more in ((), range(20, 60)):  # rare and frequent lines
+        far = {i: [(one, two)[i % 2], f"end {i}"] for i in more} | {99: ["i", one, "", two]}
+        data = [(i, "\n".join(t)) for i, t in (texts | far).items()]
+        got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(frame(spark, data)).collect()}
+        assert {i: n for i, n in got.items() if n} == {7: 2, 99: 2}
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([1, 1], [1, 1]) == [(0, 0), (1, 1)]
