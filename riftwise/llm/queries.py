@@ -68,15 +68,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _op6_sql() -> str:
+    m = mixing
     bits = lambda *x: f"(('0x' || substr(md5(concat_ws(':', {', '.join(x)})), 1, 8))::BIGINT & 2147483647)"
-    prime = "coalesce(" + ", ".join(f"case when n % {p} <> 0 then {p} end" for p in mixing.PRIMES) + ", 1)"
+    name = "coalesce(source, '~')"
+    steps = []
+    for r in range(1, m.ROUNDS + 1):  # each round by itself, so that its columns are computed once
+        y = f"(({bits(name, 'pass', str(r), "'k'")} % blocks) - v + blocks) % blocks"
+        h = f"((greatest(v, y) % {m.PRIME} + {bits(name, 'pass', str(r), "'a'")}) % {m.PRIME})"
+        steps.append(f"""
+y{r} AS MATERIALIZED (SELECT *, {y} AS y FROM v{r - 1}),
+v{r} AS MATERIALIZED (SELECT sid, source, blocks, pass, CASE WHEN ({h} * {h} % {m.PRIME} * 48271 % {m.PRIME}) >> 16 & 1 = 1
+  THEN y ELSE v END AS v FROM y{r}),""")
     return f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
          {bits("doc_id::VARCHAR")} AS d FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM sized GROUP BY source),
 ranked AS (
-  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight,
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS sid,
+         [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight,
          source_size * 2.0::DOUBLE AS cap FROM src),
 filled AS (
   SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS all_words,
@@ -85,25 +95,42 @@ filled AS (
   FROM ranked WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT max((all_words - filled) / open) AS l FROM filled WHERE (all_words - filled) / open <= ratio),
 plan AS (
-  SELECT source, source_size, docs, least(cap, coalesce(l, 'inf'::DOUBLE) * weight) AS target,
-         ceil(source_size / {mixing.BLOCK})::BIGINT AS n FROM filled, level),
+  SELECT sid, source, source_size, docs, least(cap, coalesce(l, 'inf'::DOUBLE) * weight) AS target,
+         ceil(source_size / {m.BLOCK})::BIGINT AS blocks FROM filled, level),
+shares AS (SELECT *, floor(target * blocks / source_size * {m.PARTS} + 0.5)::BIGINT AS share FROM plan WHERE source_size > 0),
+wholes AS (SELECT sum(share)::BIGINT AS whole, (sum(share)::BIGINT + {m.PARTS // 2}) // {m.PARTS} AS slots FROM shares),
+shards AS (SELECT unnest(range((slots + {m.SHARD - 1}) // {m.SHARD})) AS shard, whole, slots FROM wholes),
+shard_sizes AS (SELECT shard, whole, least({m.SHARD}, slots - shard * {m.SHARD})::BIGINT AS n FROM shards),
+parts AS (
+  SELECT shard, n, sid, n * share // whole AS given, floor((n * share % whole) / whole::DOUBLE * {m.FINE})::BIGINT AS part
+  FROM shard_sizes, shares),
+bounds AS (SELECT *, (sum(part) OVER (PARTITION BY shard ORDER BY sid))::BIGINT AS hi, (sum(part) OVER (PARTITION BY shard))::BIGINT AS total,
+                  (n - sum(given) OVER (PARTITION BY shard))::BIGINT AS open FROM parts),
+draws AS (SELECT shard, total, unnest(range(1, open + 1)) AS i FROM (SELECT DISTINCT shard, total, open FROM bounds)),
+drawn AS (SELECT shard, {bits("'shard'", "shard", "i")} % total AS v FROM draws),
+counts AS (
+  SELECT shard, sid, sum(n)::BIGINT AS n FROM (
+    SELECT shard, sid, given AS n FROM bounds UNION ALL
+    SELECT shard, sid, 1 FROM drawn d JOIN bounds b USING (shard) WHERE v < hi AND v >= hi - part) GROUP BY shard, sid),
+slots AS (
+  SELECT sid, unnest(range(f, f + n)) AS q FROM (
+    SELECT *, (sum(n) OVER (PARTITION BY sid ORDER BY shard) - n)::BIGINT AS f FROM counts)),
+v0 AS MATERIALIZED (
+  SELECT sid, source, blocks, q // blocks AS pass, q % blocks AS v FROM slots JOIN plan USING (sid)
+  WHERE q < {int(m.MOST)} * blocks),{"".join(steps)}
+uses AS (SELECT sid, v AS block, count(*) AS uses FROM v{m.ROUNDS} GROUP BY ALL),
 placed AS (
-  SELECT s.doc_id, s.source, s.size, coalesce(sum(s.size) OVER (
-           PARTITION BY s.source ORDER BY s.d % greatest(1, ceil(p.docs / {mixing.RUN})::BIGINT), s.d, s.doc_id
+  SELECT s.doc_id, p.sid, s.size, coalesce(sum(s.size) OVER (
+           PARTITION BY p.sid ORDER BY s.d % ceil(sqrt(p.docs))::BIGINT, s.d, s.doc_id
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-slots AS (
-  SELECT source, n, {prime} AS prime, {bits("coalesce(source, '~')", "'shift'")} % n AS shift, unnest(range(
-    least(floor(target * n / source_size + 0.5), n * 2)::BIGINT)) AS slot FROM plan WHERE source_size > 0),
-uses AS (
-  SELECT source, (slot % n * prime + shift) % n AS block, count(*) AS uses FROM slots GROUP BY ALL),
-parts AS (
-  SELECT *, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block
+cuts AS (
+  SELECT *, unnest(range(start // {m.BLOCK}, (start + size - 1) // {m.BLOCK} + 1)) AS block
   FROM placed WHERE size > 0),
 taken AS (
-  SELECT doc_id, sum(uses * (least(p.size, (p.block + 1) * {mixing.BLOCK} - start)
-                             - greatest(0, p.block * {mixing.BLOCK} - start)))::BIGINT AS taken
-  FROM parts p JOIN uses u ON p.source IS NOT DISTINCT FROM u.source AND p.block = u.block GROUP BY doc_id)
+  SELECT doc_id, sum(uses * (least(c.size, (c.block + 1) * {m.BLOCK} - start)
+                             - greatest(0, c.block * {m.BLOCK} - start)))::BIGINT AS taken
+  FROM cuts c JOIN uses u ON c.sid = u.sid AND c.block = u.block GROUP BY doc_id)
 SELECT s.doc_id, s.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken
 FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN taken t USING (doc_id)"""
 
