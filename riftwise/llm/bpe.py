@@ -1,9 +1,11 @@
 """Byte-level BPE over a distinct-word table.
 
-Documents are split into the tokenizer's words; each distinct word is encoded once; the ids come back to
-the documents by the words' positions. Ids decode through a join with the table of pieces, which the
-vocabulary bounds. The word table is joined map-side while it is within WORDS and IDS, which is counted
-first; beyond that the words of every document are joined to it by a shuffle.
+Texts are split once, in chunks: runs of documents of one task whose distinct words are numbered. A document
+becomes the numbers of its words by position, a chunk one row for each distinct word, so that no word is
+hot however often it occurs. The chunks' words are sorted by word, where each distinct one is encoded once, and
+its ids go back to the chunks that hold it. Ids decode through a join with the table of pieces: the ids
+that a chunk holds are joined to it, and go to the chunk. The same plan runs at every size; nothing is
+sent to all tasks but the pieces, which the vocabulary bounds.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 
-#: Bounds of a word table that is sent to every executor: 14 bytes a word and 2 to 4 an id, 150 MB at most.
-WORDS, IDS = 5_000_000, 20_000_000
-#: Words that a task keeps at hand.
-KNOWN = 100_000
+#: Distinct words at which a chunk ends, after the document that reaches it.
+CHUNK = 300_000
+#: Words whose ids a task gathers before it sends them to their chunks.
+SENT = 200_000
 #: Python's and the tokenizer's Unicode tables agree below this; other texts are split by the tokenizer itself.
 AGREED = 0x530
 
@@ -97,172 +99,224 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
-def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(word, h, ids): each distinct word of all texts, encoded once, with a 64-bit hash."""
-    from xxhash import xxh64_intdigest
-    path = path or default_path()
+def _chunks(docs: DataFrame, path: str, bound: int) -> DataFrame:
+    """A row (chunk, at, word) for each distinct word of a chunk, (chunk, doc_id, key, seq) for each document.
 
+    seq holds the numbers of the document's words by position, 32 bits each.
+    """
     def split(batches):
-        s, seen = splitter(path), set()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                seen.update(s.words(text))
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
-                seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
+        s, task, n, number, seqs = splitter(path), TaskContext.get().partitionId(), 0, {}, []
+
+        def rows():
+            chunk = task << 24 | n
+            words = sorted(number)  # they compress better
+            for at in range(0, len(words), 10_000):
+                some = words[at:at + 10_000]
+                yield batch(chunk, at=pa.array([number[w] for w in some], pa.int32()), word=pa.array(some, pa.string()))
+            for at in range(0, len(seqs), 500):
+                ids, keys, seq = zip(*seqs[at:at + 500])
+                yield batch(chunk, doc_id=pa.array(ids, pa.int64()), key=pa.array(keys, pa.int64()), seq=pa.array(seq, pa.binary()))
 
-    def encode(batches):
-        s = splitter(path)
         for b in batches:
-            for at in range(0, len(b), 2000):
-                words = b.column("word").slice(at, 2000)
-                texts = words.to_pylist()
-                h = np.array([xxh64_intdigest(w) for w in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [words, pa.array(h), pa.array(s.encode(texts), pa.list_(pa.int32()))], ["word", "h", "ids"])
+            for doc, key, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text")]):
+                words = s.words(text)
+                for w in set(words).difference(number):
+                    number[w] = len(number)
+                seqs.append((doc, key, np.fromiter(map(number.__getitem__, words), np.uint32, len(words)).tobytes()))
+                if len(number) > bound:
+                    yield from rows()
+                    n, number, seqs = n + 1, {}, []
+        yield from rows()
 
-    words = _texts(docs).select("text").mapInArrow(split, "word string").distinct()
-    return materialize(words.mapInArrow(encode, "word string, h long, ids array<int>"), "words")
+    kinds = {"at": pa.int32(), "word": pa.string(), "doc_id": pa.int64(), "key": pa.int64(), "seq": pa.binary()}
 
+    def batch(chunk, **columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, chunk)), *[columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()]], ["chunk", *kinds])
 
-def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(id, piece): the bytes of each id; its size is the vocabulary's."""
-    rows = splitter(path or default_path()).pieces()
-    return spark.createDataFrame(pa.table({"id": pa.array(range(len(rows)), pa.int32()),
-                                           "piece": pa.array(rows, pa.binary())}))
+    found = _texts(docs).mapInArrow(split, "chunk long, at int, word string, doc_id long, key long, seq binary")
+    return materialize(found, "chunks")
 
 
-def encode(docs: DataFrame, path: str | None = None, words: int = WORDS, ids: int = IDS) -> DataFrame:
-    """(doc_id, text_key, ids) per row of docs (doc_id, text); null and empty texts have no ids.
+def _encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(chunk, ats, sizes, ids, used): ids of a chunk's words, some words a row, from (chunk, at, word).
 
-    As the tokenizer encodes whole texts without adding special tokens; the special token's own string
-    in a text becomes its id. Rows that repeat a doc_id are encoded one by one.
+    ats and sizes are 32-bit numbers of words and of their ids, used the distinct ids.
     """
-    path = path or default_path()
-    table = word_table(docs, path)
-    if not _fits(table, words, ids):
-        return encode_shuffled(docs, table, path)
+    def encode(batches):
+        s, word, ids, held, count = splitter(path), None, None, {}, 0
+        for b in batches:
+            for chunk, at, w in zip(*[b.column(c).to_pylist() for c in ("chunk", "at", "word")]):
+                if w != word:  # sorted: each word is encoded once
+                    word, ids = w, s.encode([w])[0]
+                ats, sizes, all_ids = held.setdefault(chunk, ([], [], []))
+                ats.append(at), sizes.append(len(ids)), all_ids.extend(ids)
+                count += 1
+            if count > SENT:
+                yield rows(held)
+                held, count = {}, 0
+        if held:
+            yield rows(held)
+
+    def rows(held):
+        blob = lambda k, t: pa.array([np.array(x[k], t).tobytes() for x in held.values()], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int64()), blob(0, np.uint32), blob(1, np.uint32), blob(2, np.uint32),
+             pa.array([np.unique(np.array(x[2], np.int32)) for x in held.values()], pa.list_(pa.int32()))],
+            ["chunk", "ats", "sizes", "ids", "used"])
+
+    by_word = words.repartition("word").sortWithinPartitions("word")
+    return by_word.mapInArrow(encode, "chunk long, ats binary, sizes binary, ids binary, used array<int>")
 
-    def rows(values):
-        flat = pa.array(np.frombuffer(b"".join(x for v in values for x in v), np.int32))
-        offsets = np.cumsum([0] + [sum(map(len, v)) // 4 for v in values])
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
 
-    return _map_side(docs, table, path, lambda p: lambda x: x.astype(np.int32).tobytes(), rows, "ids array<int>")
+def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(id, piece): the bytes of each id; its size is the vocabulary's."""
+    rows = splitter(path or default_path()).pieces()
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(rows)), pa.int32()),
+                                           "piece": pa.array(rows, pa.binary())}))
 
 
-def _fits(table: DataFrame, words: int, ids: int) -> bool:
-    """Whether a word table is within the bounds and its hashes tell all words apart."""
-    size = table.agg(F.count("*").alias("w"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("i")).first()
-    return size["w"] <= words and size["i"] <= ids and table.select("h").distinct().count() == size["w"]
+def _pieces_of(used: DataFrame, path: str) -> DataFrame:
+    """(chunk, id, piece): the ids that each chunk holds, from (chunk, used), joined to the table of pieces."""
+    ids = used.select("chunk", F.explode("used").alias("id")).distinct()
+    # The vocabulary bounds the table of pieces.
+    return ids.join(F.broadcast(piece_table(used.sparkSession, path)), "id").select("chunk", "id", "piece")
 
 
-def _map_side(docs: DataFrame, table: DataFrame, path: str, value, finish, schema: str) -> DataFrame:
-    """Join a word table to the documents' words by position, in the tasks that split the texts.
+def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool, bound: int) -> DataFrame:
+    """(doc_id, text_key, schema's columns) per row of docs: the words' ids joined back by position.
 
-    value(pieces) gives what makes a value of a word's ids, once while the task keeps it; finish makes columns
-    of schema of the texts' lists of values.
+    finish(ids, pieces) gets the ids of a chunk's words and the bytes of each id, and gives a function from
+    a list of word numbers arrays to columns. A task holds one chunk's words at a time.
     """
-    from xxhash import xxh64_intdigest
-
-    got = table.select("h", "ids").toArrow()  # its size has been checked
-    hashes = got["h"].to_numpy().view(np.uint64)
-    lists = got["ids"].combine_chunks()
-    order = np.argsort(hashes)
-    starts = lists.offsets.to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (hashes[order], starts[:-1][order], np.diff(starts)[order].astype(np.uint16 if len(starts) > 1 and np.diff(
-            starts).max() < 65536 else np.int32), lists.values.to_numpy().astype(
-            np.uint16 if (pc.max(lists.values).as_py() or 0) < 65536 else np.int32)))
+    chunks = _chunks(docs, path, bound)
+    words = _encoded_words(chunks.where("word is not null").select("chunk", "at", "word"), path)
+    if decode:
+        words = materialize(words, "encoded")
+    none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    parts = words.select("chunk", F.lit(1).alias("kind"), "ats", "sizes", "ids", *none(id="int", doc_id="long", key="long")).unionByName(
+        chunks.where("word is null").select("chunk", F.lit(2).alias("kind"), F.col("seq").alias("ats"),
+                                            *none(sizes="binary", ids="binary", id="int"), "doc_id", "key"))
+    if decode:
+        parts = parts.unionByName(_pieces_of(words.select("chunk", "used"), path).select(
+            "chunk", F.lit(0).alias("kind"), F.col("piece").alias("ats"), *none(sizes="binary", ids="binary"), "id",
+            *none(doc_id="long", key="long")))
     names = ["doc_id", "text_key", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches):
-        s, known = splitter(path), {}
-        keys, begins, sizes, ids = shared.value
-        make = value(s.pieces())
+        now, ids, pieces, ready = None, [], {}, None
         for b in batches:
-            for part in (b.slice(at, 500) for at in range(0, len(b), 500)):
-                texts = [s.words(t) for t in part.column("text").to_pylist()]
-                new = list({w for t in texts for w in t} - known.keys())
-                if len(known) + len(new) > KNOWN:
-                    known, new = {}, list({w for t in texts for w in t})
-                at = np.searchsorted(keys, np.array([xxh64_intdigest(w) for w in new], np.uint64))
-                for w, start, n in zip(new, begins[at].tolist(), sizes[at].tolist()):
-                    known[w] = make(ids[start:start + n])
-                out = [[known[w] for w in t] for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *finish(out)], names)
-
-    return _texts(docs).mapInArrow(run, f"doc_id long, text_key long, {schema}")
-
-
-def encode_shuffled(docs: DataFrame, table: DataFrame, path: str | None = None) -> DataFrame:
-    """encode() for word tables of any size: (position, word) rows of documents joined to the table."""
-    path = path or default_path()
+            out = []
+            for chunk, kind, ats, sizes, flat, i, doc, key in zip(*[b.column(c).to_pylist() for c in (
+                    "chunk", "kind", "ats", "sizes", "ids", "id", "doc_id", "key")]):
+                if chunk != now:
+                    if out:
+                        yield batch(out, ready)
+                        out = []
+                    now, ids, pieces, ready = chunk, [], {}, None
+                if kind == 0:
+                    pieces[i] = ats
+                elif kind == 1:
+                    ids.append((ats, sizes, flat))
+                else:
+                    if ready is None:
+                        ready, ids = finish(_by_number(ids), pieces), []
+                    out.append((doc, key, np.frombuffer(ats, np.uint32)))
+            if out:
+                yield batch(out, ready)
+
+    def batch(out, ready):
+        doc, key, seqs = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), *ready(seqs)], names)
+
+    dealt = parts.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return dealt.mapInArrow(run, f"doc_id long, text_key long, {schema}")
+
+
+def _by_number(parts) -> list[list[int]]:
+    """Ids of a chunk's words by their numbers."""
+    out = [[]] * sum(len(x) // 4 for x, _, _ in parts)
+    for ats, sizes, flat in parts:
+        flat, end = np.frombuffer(flat, np.uint32).tolist(), 0
+        for at, n in zip(np.frombuffer(ats, np.uint32).tolist(), np.frombuffer(sizes, np.uint32).tolist()):
+            out[at] = flat[end:end + n]
+            end += n
+    return out
+
+
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, text_key, ids) per row of docs (doc_id, text); null and empty texts have no ids.
 
-    def split(batches):
-        s = splitter(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"),
-                 pa.array([s.words(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))],
-                ["doc_id", "key", "words"])
-
-    each = _texts(docs).dropDuplicates(["doc_id", "key"])
-    rows = each.mapInArrow(split, "doc_id long, key long, words array<string>").select(
-        "doc_id", "key", F.posexplode("words").alias("pos", "word"))
-    ids = rows.join(table, "word").groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all")).select(
-        F.col("doc_id").alias("d"), F.col("key").alias("k"), F.flatten("all.ids").alias("ids"))
-    return _texts(docs).select("doc_id", "key").join(
-        ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select(
-        "doc_id", F.col("key").alias("text_key"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    As the tokenizer encodes whole texts without adding special tokens; the special token's own string
+    in a text becomes its id. Rows that repeat a doc_id are encoded one by one. An empty table gives an
+    empty result.
+    """
+    def finish(ids, pieces):
+        return lambda seqs: [pa.array([[i for w in s.tolist() for i in ids[w]] for s in seqs], pa.list_(pa.int32()))]
+
+    return _per_document(docs, path or default_path(), finish, "ids array<int>", False, chunk)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (ids, ...) with the column decoded added: the bytes of the ids' pieces, read as UTF-8.
 
-    A map-side join with the pieces, whose number is the vocabulary's. Bytes that are no UTF-8 become
-    U+FFFD. Null ids give null; an unknown id is an error.
+    The distinct ids of each partition of rows are joined to the pieces. Bytes that are no UTF-8 become
+    U+FFFD. Null ids give null; an unknown id is an error. A column named decoded is replaced.
     """
     path = path or default_path()
-    schema = encoded.drop("decoded").schema.add("decoded", "string")
+    rows = encoded.drop("decoded")
+    names, schema = rows.columns, encoded.drop("decoded").schema.add("decoded", "string")
+    held = materialize(rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                                   F.spark_partition_id().cast("long").alias("chunk")), "ids")
+    used = held.where("row.ids is not null").select("chunk", F.array_distinct("row.ids").alias("used"))
+    empty = F.lit(None).cast(held.schema["row"].dataType)
+    parts = held.select("chunk", F.lit(1).alias("kind"), "row", F.lit(None).cast("int").alias("id"), F.lit(None).cast("binary").alias("piece"))
+    parts = parts.unionByName(_pieces_of(used, path).select("chunk", F.lit(0).alias("kind"), empty.alias("row"), "id", "piece"))
 
     def run(batches):
-        pieces = splitter(path).pieces()
+        now, pieces = None, {}
         for b in batches:
-            out = [None if x is None else b"".join([pieces[i] for i in x]).decode("utf-8", "replace")
-                   for x in b.column(b.schema.names.index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
-
-    return encoded.drop("decoded").mapInArrow(run, schema)
-
-
-def digests(docs: DataFrame, path: str | None = None, words: int = WORDS, ids: int = IDS) -> DataFrame:
+            chunk, kind = b.column("chunk").to_pylist(), b.column("kind").to_pylist()
+            row, take, out = b.column("row"), [], []
+            ids = row.field("ids").to_pylist()
+            for at, (c, k) in enumerate(zip(chunk, kind)):
+                if c != now:
+                    now, pieces = c, {}
+                if k == 0:
+                    pieces[b.column("id")[at].as_py()] = b.column("piece")[at].as_py()
+                else:
+                    take.append(at)
+                    out.append(None if ids[at] is None else b"".join([pieces[i] for i in ids[at]]).decode("utf-8", "replace"))
+            if take:
+                got = row.take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*got.flatten(), pa.array(out, pa.string())], [*names, "decoded"])
+
+    return parts.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
+
+
+def digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs: texts encoded, then decoded from ids.
 
-    Where the word table joins map-side, so does the table of pieces, word by word; else ids are decoded whole.
+    Null texts are empty. Rows that repeat a doc_id are encoded one by one. An empty table gives an empty result.
     """
-    path = path or default_path()
-    table = word_table(docs, path)
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    def finish(ids, pieces):
+        sizes = np.array([len(x) for x in ids], np.int64)
+        names = {i: str(i) for i in pieces}
+        # After each id a comma, of which a text's last one goes; decoded bytes come from the ids alone.
+        listed = ["".join([names[i] + "," for i in x]) for x in ids].__getitem__
+        decoded = [b"".join([pieces[i] for i in x]) for x in ids].__getitem__
+
+        def rows(seqs):
+            n, one, two = [], [], []
+            for s in seqs:
+                n.append(int(sizes[s].sum()))
+                s = s.tolist()
+                one.append(hashlib.sha256("".join(map(listed, s))[:-1].encode()).hexdigest())
+                two.append(hashlib.sha256(b"".join(map(decoded, s)).decode("utf-8", "replace").encode()).hexdigest())
+            return [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+
+        return rows
 
-    def decoded(pieces):
-        names = [str(i) for i in range(len(pieces))]
-        return lambda x: (len(x), ",".join([names[i] for i in x.tolist()]), b"".join([pieces[i] for i in x.tolist()]))
-
-    def rows(values):
-        n, one, two = [], [], []
-        for v in values:
-            count, text, piece = zip(*v) if v else ((), (), ())
-            n.append(sum(count))
-            one.append(hashlib.sha256(",".join(text).encode()).hexdigest())
-            two.append(hashlib.sha256(b"".join(piece).decode("utf-8", "replace").encode()).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
-
-    if _fits(table, words, ids):
-        return _map_side(docs, table, path, decoded, rows, schema).drop("text_key")
-    whole = decode(encode_shuffled(docs, table, path), path)
-    return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _per_document(docs, path or default_path(), finish, schema, True, chunk).drop("text_key")
