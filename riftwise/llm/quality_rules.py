@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Each rule rejects a document whose measure lies beyond a cutoff. Candidate cutoffs are tested on labelled
-holdouts, per stratum: one is certified if the exact binomial tail P(Bin(n, RISK) <= k), for k of n good
-documents rejected, is at most ERROR over the number of all tests (Bonferroni). With probability
-1 - ERROR no certified cutoff rejects more than RISK of a stratum's good documents. Of a rule's certified
-cutoffs the strictest is used; a stratum with too few labels certifies none and rejects nothing.
+STEPS is a fixed sequence of rules with cutoffs, each of which rejects what it finds beyond its cutoff in addition
+to all steps before it. Labelled holdouts decide, per stratum, how many steps are taken: a step is certified
+if the exact binomial tail P(Bin(n, RISK) <= k), for k of n good documents rejected by it or by any step
+before it, is at most ERROR over the number of strata, and so were all steps before it. Testing in a fixed
+sequence needs no further correction within a stratum, and Bonferroni's corrects for the strata: with
+probability 1 - ERROR no stratum loses more than RISK of its good documents to all rules together. A
+stratum with too few labels certifies no step and rejects nothing.
 """
 
 from __future__ import annotations
@@ -14,16 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, materialize, text_key, words_of
 
-#: (rule, measure, sign, cutoffs): rejected if sign * measure > sign * cutoff.
-RULES = (
-    ("symbols", "n_symbols / n_words", 1, (0.1, 0.2, 0.3, 0.5)),
-    ("duplicate lines", "n_dup_lines / n_lines", 1, (0.3, 0.4, 0.5)),
-    ("repeated words", "n_repeat_words / n_words", 1, (0.1, 0.15)),
-    ("short words", "word_chars / n_words", -1, (3.0, 2.5, 2.0)),
-    ("long words", "word_chars / n_words", 1, (10.0, 12.0, 15.0)),
+_SYMBOLS, _LINES, _REPEATS, _LENGTH = ("n_symbols / n_words", "n_dup_lines / n_lines", "n_repeat_words / n_words",
+                                       "word_chars / n_words")
+#: (measure, sign, cutoff) in the order of testing: rejected if sign * measure > sign * cutoff.
+STEPS = (
+    (_SYMBOLS, 1, 0.5), (_LENGTH, -1, 2.0), (_LENGTH, 1, 15.0), (_LINES, 1, 0.5), (_REPEATS, 1, 0.15),
+    (_SYMBOLS, 1, 0.3), (_LENGTH, -1, 2.5), (_LENGTH, 1, 12.0), (_SYMBOLS, 1, 0.2), (_LINES, 1, 0.4),
+    (_SYMBOLS, 1, 0.1), (_REPEATS, 1, 0.1), (_LENGTH, -1, 3.0), (_LENGTH, 1, 10.0), (_LINES, 1, 0.3),
 )
-#: False rejections allowed to each rule in each stratum, and the chance that any bound fails.
-RISK, ERROR = 0.004, 0.05
+#: False rejections allowed in each stratum by all rules together, and the chance that any bound fails.
+RISK, ERROR = 0.02, 0.05
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
@@ -46,14 +48,12 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         "if(size(h) < 5, array(), transform(sequence(0, size(h) - 5),"
         " i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])))")).drop("h")
     x = x.withColumn("v", F.expr("if(size(array_distinct(v)) = size(v), array(), v)"))
-    # A window's hash above, its position in the low bits: sorted, equal windows stand together.
-    x = x.withColumn("b", F.expr("cast(ceil(log2(size(v) + 1)) as int)"))
-    x = x.withColumn("v", F.expr("sort_array(transform(v, (h, i) -> shiftleft(shiftright(h, b), b) | i))"))
+    # Sorted by hash, equal windows stand together; their positions follow in order.
+    x = x.withColumn("v", F.expr("sort_array(transform(v, (h, i) -> struct(h, i)))"))
     x = x.withColumn("v", F.expr(
         "sort_array(transform(filter(transform(v, (p, j) -> struct(p, j)), s ->"
-        " (s.j > 0 and shiftright(v[greatest(s.j - 1, 0)], b) = shiftright(s.p, b))"
-        " or (s.j < size(v) - 1 and shiftright(v[least(s.j + 1, size(v) - 1)], b) = shiftright(s.p, b))),"
-        " s -> s.p & (shiftleft(1L, b) - 1)))"))
+        " (s.j > 0 and v[greatest(s.j - 1, 0)].h = s.p.h)"
+        " or (s.j < size(v) - 1 and v[least(s.j + 1, size(v) - 1)].h = s.p.h)), s -> cast(s.p.i as long)))"))
     return x.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(
         "aggregate(v, named_struct('n', 0L, 'e', 0L), (a, p) -> named_struct("
         "'n', a.n + p + 5 - greatest(a.e, p), 'e', p + 5), a -> a.n)").alias("n_repeat_words"))
@@ -76,20 +76,24 @@ def tail(n: str, k: str, p: float) -> str:
             f" 's', a.s + exp(a.l + ln(({n} - i + 1) / i) + ln({p}D / (1 - {p}D))))), a -> a.s))")
 
 
+def level():
+    """The first step that rejects a document, counted from 1; null where none does."""
+    return F.coalesce(*[F.when(_measure(m) * sign > c * sign, F.lit(j)) for j, (m, sign, c) in enumerate(STEPS, 1)])
+
+
 def certified(holdout: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, c0, c1, ...): the cutoff of each rule, null where none is certified.
+    """(stratum, n, steps): documents of the holdout and how many steps they certify.
 
-    holdout: measures and stratum of documents labelled good that pass the base rules. It is summed to one row
+    holdout: stratum and level of documents labelled good that pass the base rules. It is summed to one row
     a stratum before anything else.
     """
-    tests = [(r, i, _measure(m), sign, c) for r, (_, m, sign, cs) in enumerate(RULES) for i, c in enumerate(cs)]
-    sums = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[
-        F.count_if(x * sign > c * sign).alias(f"k{r}_{i}") for r, i, x, sign, c in tests])
-    sums = materialize(sums, "holdout")
-    sums = sums.withColumn("strata", F.lit(sums.count()))
-    best = [F.coalesce(*[F.when(F.expr(tail("n", f"k{r}_{i}", risk)) <= F.lit(error) / (F.col("strata") * len(tests)), F.lit(c))
-                         for q, i, _, _, c in tests if q == r]).alias(f"c{r}") for r in range(len(RULES))]
-    return sums.select("stratum", *best)
+    steps = range(1, len(STEPS) + 1)
+    sums = materialize(holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[
+        F.count_if(F.col("level") <= j).alias(f"k{j}") for j in steps]), "holdout")
+    limit = error / max(sums.count(), 1)
+    # k rises with the steps, and so does the tail: the last step within the limit has all before it within.
+    passed = [F.when(F.expr(tail("n", f"k{j}", risk)) <= limit, j).otherwise(0) for j in steps]
+    return sums.select("stratum", "n", F.greatest(*passed).alias("steps"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -97,17 +101,14 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
     labels (doc_id, quality): documents of quality 1 are the holdout of their stratum, a column of docs; null
     strata form one. Documents with several labels count for each. Without labels only the base rules
-    reject. Rows that repeat a doc_id are judged one by one.
+    reject. Rows that repeat a doc_id are judged one by one. An empty table gives an empty result.
     """
     x = materialize(measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                                          F.coalesce(F.col(stratum).cast("string"), F.lit("?")).alias("stratum")),
-                             "doc_id", "stratum"), "measures").withColumn("base_failed", base_failed())
+                             "doc_id", "stratum").withColumn("base_failed", base_failed()).withColumn("level", level()), "measures")
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    cutoffs = materialize(certified(x.where("not base_failed").join(good, "doc_id"), risk, error), "cutoffs")
-    x = x.join(cutoffs, "stratum", "left")
-    rejects = [F.coalesce(_measure(m) * sign > F.col(f"c{r}") * sign, F.lit(False)) for r, (_, m, sign, _) in enumerate(RULES)]
-    bad = F.col("base_failed")
-    for r in rejects:
-        bad = bad | r
+    steps = materialize(certified(x.where("not base_failed").join(good, "doc_id"), risk, error), "steps")
+    x = x.join(steps, "stratum", "left")
+    rejected = F.coalesce(F.col("level") <= F.col("steps"), F.lit(False))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~bad).alias("kept"))
+                    (~(F.col("base_failed") | rejected)).alias("kept"))

@@ -148,17 +148,14 @@ FROM best"""
 
 
 def _op9_sql() -> str:
-    rules = quality_rules.RULES
-    tests = [(r, i, m, s, c) for r, (_, m, s, cs) in enumerate(rules) for i, c in enumerate(cs)]
     ratio = lambda m: f"({m.split(' / ')[0]}::DOUBLE / greatest({m.split(' / ')[1]}, 1))"
-    p, limit = quality_rules.RISK, f"{quality_rules.ERROR} / ((SELECT count(*) FROM sums) * {len(tests)})"
+    steps = list(enumerate(quality_rules.STEPS, 1))
+    p, limit = quality_rules.RISK, f"{quality_rules.ERROR} / (SELECT count(*) FROM sums)"
     tail = lambda k: (f"(CASE WHEN {k} > n * {p} THEN 1 ELSE list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(n + 1)"
                       f" - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END)")
-    cuts = ", ".join("coalesce(" + ", ".join(
-        f"CASE WHEN {tail(f'k{r}_{i}')} <= {limit} THEN {c} END" for q, i, _, _, c in tests if q == r) + f") AS c{r}"
-        for r in range(len(rules)))
-    rejected = " OR ".join(f"coalesce({ratio(m)} * {s} > c{r} * {s}, false)" for r, (_, m, s, _) in enumerate(rules))
-    sums = ", ".join(f"count(*) FILTER ({ratio(m)} * {s} > {c} * {s}) AS k{r}_{i}" for r, i, m, s, c in tests)
+    level = "coalesce(" + ", ".join(f"CASE WHEN {ratio(m)} * {s} > {c} * {s} THEN {j} END" for j, (m, s, c) in steps) + ")"
+    sums = ", ".join(f"count(*) FILTER (level <= {j}) AS k{j}" for j, _ in steps)
+    passed = ", ".join(f"CASE WHEN {tail(f'k{j}')} <= {limit} THEN {j} ELSE 0 END" for j, _ in steps)
     return f"""
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS t,
@@ -176,14 +173,14 @@ m AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM docs LEFT JOIN covered USING (doc_id)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {level} AS level FROM m),
 sums AS (
   SELECT stratum, count(*) AS n, {sums} FROM b JOIN labels USING (doc_id)
   WHERE NOT base_failed AND quality = 1 GROUP BY stratum),
-cuts AS (SELECT stratum, {cuts} FROM sums)
+certified AS (SELECT stratum, greatest({passed}) AS steps FROM sums)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR {rejected}) AS kept
-FROM b LEFT JOIN cuts USING (stratum)"""
+       NOT (base_failed OR coalesce(level <= steps, false)) AS kept
+FROM b LEFT JOIN certified USING (stratum)"""
 
 
 def _op10_sql() -> str:
