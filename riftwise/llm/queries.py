@@ -188,43 +188,46 @@ def _op10_sql() -> str:
         f"WHEN (host = '{n}' OR ends_with(host, '.{n}')) AND starts_with(path, '/{rest}') THEN '{n}/{rest}'"
         for n, _, rest in (r[1].partition("/") for r in sorted(url_filter.RULES, key=lambda r: -len(r[1]))))
     verdicts = "\n".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in url_filter.RULES)
-    u = url_filter
+    u, levels = url_filter, []
+    for d in range(u.DEPTH):
+        levels.append(f"""
+k{d} AS MATERIALIZED (
+  SELECT host, branch, segs[{d + 1}] AS seg, sum(pages)::BIGINT AS pages, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad
+  FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
+s{d} AS (SELECT host, branch, count(*) AS kids, sum(n)::BIGINT AS nn, sum(bad)::BIGINT AS bb FROM k{d} GROUP BY ALL),
+w{d} AS MATERIALIZED (
+  SELECT host, branch, seg FROM k{d} JOIN s{d} USING (host, branch)
+  WHERE kids > 1 AND (kids > {u.FANOUT} AND pages < {u.THIN} OR CASE WHEN n >= {u.LEAST} AND nn - n >= {u.LEAST} THEN
+    (bad / n - (bb - bad) / (nn - n)) * (bad / n - (bb - bad) / (nn - n))
+    <= (bb / nn) * (1 - bb / nn) * (1.0::DOUBLE / n + 1.0::DOUBLE / (nn - n)) * {u.Z * u.Z}::DOUBLE ELSE false END)),
+t{d + 1} AS MATERIALIZED (
+  SELECT t.host, t.segs, pages, n, bad, CASE WHEN len(segs) > {d}
+    THEN list_append(t.branch, CASE WHEN w.host IS NULL THEN segs[{d + 1}] ELSE '*' END) ELSE t.branch END AS branch
+  FROM t{d} t LEFT JOIN w{d} w ON t.host = w.host AND t.branch = w.branch AND t.segs[{d + 1}] = w.seg),""")
     return rf"""
 WITH parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+cut AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS whole FROM parsed),
 x AS (
-  SELECT *, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s:
-    CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)$', 1) ELSE s END) AS segs FROM parsed),
+  SELECT page_id, host, path, list_transform(
+    CASE WHEN len(whole) > {u.DEPTH} THEN list_append(whole[:{u.DEPTH - 1}], array_to_string(whole[{u.DEPTH}:], '/')) ELSE whole END,
+    lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)$', 1) ELSE s END) AS segs FROM cut),
 rated AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 counts AS (
-  SELECT host, segs, count(*) AS pages, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  SELECT host, segs, count(*) AS pages, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad
   FROM x LEFT JOIN rated ON page_id = doc_id GROUP BY host, segs),
-nodes AS (
-  SELECT host, segs, pages, n, bad, d, segs[d + 1] AS seg, array_to_string(segs[1:d], '/') AS parent
-  FROM (SELECT *, unnest(range(len(segs))) AS d FROM counts)),
-kids AS (
-  SELECT host, d, parent, seg, sum(pages) AS pages, sum(n) AS n, sum(bad) AS bad FROM nodes GROUP BY ALL),
-sums AS (
-  SELECT host, d, parent, count(*) AS kids, sum(pages) AS pages, sum(n) AS n, sum(bad) AS bad,
-         count(*) FILTER (n > 0) AS seen, sum(CASE WHEN n > 0 THEN bad * bad / n ELSE 0 END) AS sq FROM kids GROUP BY ALL),
-stats AS (SELECT *, bad / greatest(n, 1) AS p, greatest(seen - 1, 0) AS df FROM sums),
-wide AS (
-  SELECT host, d, parent FROM stats
-  WHERE (kids > 1 AND CASE WHEN p > 0 AND p < 1 THEN (sq - bad * p) / (p * (1 - p)) ELSE 0 END <= df + {u.Z} * sqrt(2.0 * df))
-     OR (kids > {u.FANOUT} AND pages < kids * {u.THIN})),
-named AS (
-  SELECT n.host, n.segs, string_agg(CASE WHEN w.host IS NOT NULL THEN '*' ELSE n.seg END, '/' ORDER BY n.d) AS template
-  FROM nodes n LEFT JOIN wide w ON n.host = w.host AND n.d = w.d AND n.parent = w.parent GROUP BY n.host, n.segs),
+t0 AS MATERIALIZED (SELECT *, []::VARCHAR[] AS branch FROM counts),{"".join(levels)}
+named AS (SELECT *, array_to_string(branch, '/') AS template FROM t{u.DEPTH}),
 base AS (SELECT coalesce(sum(bad), 0) / greatest(sum(n), 1) AS base FROM counts),
 hosts AS (
   SELECT host, (sum(bad) + any_value(base) * {u.STRENGTH}) / (sum(n) + {u.STRENGTH}) AS host_share FROM counts, base GROUP BY host),
 shares AS (
-  SELECT c.host, template, (sum(bad) + any_value(host_share) * {u.STRENGTH}) / (sum(n) + {u.STRENGTH}) AS bad_share
-  FROM counts c JOIN named USING (host, segs) JOIN hosts ON c.host = hosts.host GROUP BY c.host, template),
+  SELECT n.host, template, (sum(bad) + any_value(host_share) * {u.STRENGTH}) / (sum(n) + {u.STRENGTH}) AS bad_share
+  FROM named n JOIN hosts ON n.host = hosts.host GROUP BY n.host, template),
 ruled AS (
   SELECT page_id, x.host, path, bad_share, CASE {fits} END AS rule
   FROM x JOIN named USING (host, segs) JOIN shares ON x.host = shares.host AND named.template = shares.template)

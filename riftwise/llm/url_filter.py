@@ -1,10 +1,13 @@
 """URL filtering by rules and a tree of path templates, in DataFrame operations only.
 
-Segments of a path that hold digits become wildcards, and pages are counted by host and template at once, so
-everything after that works on templates. In each host's tree a node whose children are many and thin gets
-one wildcard child; the children of any other are merged if a chi-square test of homogeneity sees no
-difference in their labelled shares of bad pages. A template is rejected if its share of bad pages,
-smoothed towards its host's and the host's towards all, is above a half.
+Segments of a path that hold digits become wildcards, and pages are counted by host and path at once, so
+everything after that works on distinct paths. Each host's tree is generalised level by level from the root, and
+the children of branches that became one wildcard are pooled before the next level is judged. Of a node's
+children, those with few pages beside many siblings are taken for values of a variable, and those whose
+labelled share of bad pages a two-proportion test cannot tell from their siblings' for similar branches; both
+join the node's wildcard. A child with too few labels for a test stays as it is unless it is such a value. A
+template is rejected if its share of bad pages, smoothed towards its host's and the host's towards all, is
+above a half.
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ from .common import materialize
 
 #: Rules (verdict, host and path); the longest that fits wins. A list that is part of the plan, so keep it short.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: A node with more children than FANOUT and fewer than THIN pages for each is generalised.
+#: Levels of a tree; the rest of a longer path is one segment.
+DEPTH = 8
+#: A child with fewer than THIN pages, of a node with more children than FANOUT, is a value of a variable.
 FANOUT, THIN = 20, 5
-#: Standard normal quantile of the homogeneity test (5 %), weight of the smoothing, and purity of a rejected template.
-Z, STRENGTH, PURITY = 1.645, 4.0, 0.5
+#: Labels that a child and its siblings need each, and the standard normal quantile of the test (5 %, two-sided).
+LEAST, Z = 5, 1.96
+#: Weight of the smoothing, and purity of a rejected template.
+STRENGTH, PURITY = 4.0, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -45,36 +52,41 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def lexical(path: Column) -> Column:
-    """Segments of a path, those with digits generalised; a file's ending stays."""
-    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda s: F.when(
+    """Segments of a path, DEPTH at most, those with digits generalised; a file's ending stays."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH), lambda s: F.when(
         s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s))
 
 
+def generalised(kids: DataFrame) -> DataFrame:
+    """(host, branch, seg): the children that join their node's wildcard, of kids (host, branch, seg, pages, n, bad)."""
+    sums = kids.groupBy("host", "branch").agg(
+        F.count("*").alias("kids"), F.sum("n").alias("all"), F.sum("bad").alias("worse")).where("kids > 1")
+    x = kids.join(sums, ["host", "branch"]).withColumns({"rest": F.col("all") - F.col("n"), "p": F.col("worse") / F.col("all")})
+    gap = F.col("bad") / F.col("n") - (F.col("worse") - F.col("bad")) / F.col("rest")
+    tested = (F.col("n") >= LEAST) & (F.col("rest") >= LEAST)
+    like = gap * gap <= F.col("p") * (1 - F.col("p")) * (F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("rest")) * (Z * Z)
+    thin = (F.col("kids") > FANOUT) & (F.col("pages") < THIN)
+    return x.where(thin | F.when(tested, like).otherwise(False)).select("host", "branch", "seg", F.lit(True).alias("any"))
+
+
 def template_tree(counts: DataFrame) -> DataFrame:
-    """(host, segs, template, bad_share) for counts (host, segs, pages, n, bad) of distinct templates."""
-    nodes = counts.select("host", "segs", "pages", "n", "bad", F.posexplode("segs").alias("depth", "seg")).withColumn(
-        "parent", F.expr("array_join(slice(segs, 1, depth), '/')"))
-    kids = nodes.groupBy("host", "depth", "parent", "seg").agg(
-        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # With labels of n children and p over all: sum (bad - n p)^2 / (n p (1 - p)) from three sums.
-    sums = kids.groupBy("host", "depth", "parent").agg(
-        F.count("*").alias("kids"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("bad").alias("bad"),
-        F.count_if(F.col("n") > 0).alias("seen"),
-        F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n")).otherwise(0.0)).alias("sq"))
-    p = F.col("bad") / F.greatest("n", F.lit(1))
-    chi = F.when((p > 0) & (p < 1), (F.col("sq") - F.col("bad") * p) / (p * (1 - p))).otherwise(F.lit(0.0))
-    df = F.greatest(F.col("seen") - 1, F.lit(0))
-    alike = (F.col("kids") > 1) & (chi <= df + F.lit(Z) * F.sqrt(2.0 * df))
-    thin = (F.col("kids") > FANOUT) & (F.col("pages") < F.col("kids") * THIN)
-    wide = sums.where(alike | thin).select("host", "depth", "parent", F.lit(True).alias("any"))
-    named = nodes.join(wide, ["host", "depth", "parent"], "left").select(
-        "host", "segs", F.struct("depth", F.when(F.col("any"), "*").otherwise(F.col("seg")).alias("seg")).alias("s"))
-    named = named.groupBy("host", "segs").agg(F.array_join(F.expr(
-        "transform(array_sort(collect_list(s)), x -> x.seg)"), "/").alias("template"))
-    x = counts.join(named, ["host", "segs"])
-    all_ = counts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
-    base = (all_["bad"] or 0) / max(all_["n"] or 0, 1)
-    hosts = counts.groupBy("host").agg(
+    """(host, segs, template, bad_share) for counts (host, segs, pages, n, bad) of distinct paths.
+
+    A level takes one aggregation and a join of distinct paths, and its result is written out.
+    """
+    deepest = counts.agg(F.max(F.size("segs"))).first()[0] or 0
+    x = counts.withColumn("branch", F.array().cast("array<string>"))
+    for d in range(deepest):  # DEPTH times at most
+        at = x.withColumn("seg", F.get("segs", F.lit(d)))
+        kids = at.where("seg is not null").groupBy("host", "branch", "seg").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "bad")])
+        named = at.join(generalised(kids), ["host", "branch", "seg"], "left")
+        step = F.when(F.col("any"), "*").otherwise(F.col("seg"))
+        x = materialize(named.select("host", "segs", "pages", "n", "bad", F.when(
+            F.col("seg").isNull(), F.col("branch")).otherwise(F.array_append("branch", step)).alias("branch")), "level")
+    x = x.withColumn("template", F.array_join("branch", "/"))
+    total = x.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    base = (total["bad"] or 0) / max(total["n"] or 0, 1)
+    hosts = x.groupBy("host").agg(
         ((F.sum("bad") + F.lit(base * STRENGTH)) / (F.sum("n") + F.lit(STRENGTH))).alias("host_share"))
     shares = x.groupBy("host", "template").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb")).join(hosts, "host")
     shares = shares.select("host", "template", (
@@ -88,6 +100,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     labels (doc_id, quality, toxic) rate the page whose page_id is doc_id; poor or toxic is bad. Several
     labels of a page count as one, bad if any is. Null urls, and those without ://, have empty host and
     path. Without labels, what no rule blocks is allowed. Rows that repeat a page_id are judged one by one.
+    An empty table gives an empty result.
     """
     x = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"),
                      path_of(F.col("url")).alias("path"))
