@@ -1,14 +1,16 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer is a closed syncmer if its smallest inner s-mer stands at one of its ends, which depends on the k-mer
-alone: the same passage gives the same anchors wherever it occurs. Anchors with their positions match
-passages; the smallest hashes of a text's anchors are its fingerprint.
+alone: the same passage gives the same anchors wherever it occurs, and no K - S k-mers in a row are without
+one. A fingerprint holds all anchors of a text with their positions. Two fingerprints are matched by
+position: anchors of equal hash are paired, the longest chain of pairs that rises in both texts is kept,
+and the likeness is the share of the anchored bytes that the chain covers.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import text_key
 
-K, S = 24, 8
-#: Hashes in a fingerprint.
-SKETCH = 64
+K, S = 64, 8
 #: Odd multipliers for mixing (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -32,46 +32,91 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the closed syncmers of data; a text below K bytes is one anchor, an empty one none."""
+    """(positions, 32-bit hashes) of the closed syncmers of data, in order of position.
+
+    A text without any, such as one below K bytes, is one anchor as a whole; an empty one has none.
+    """
     n = len(data)
-    if n < K:
-        short = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
-        return np.zeros(min(n, 1), np.int64), np.full(min(n, 1), short, np.uint64)
-    x = np.empty(n - S + 1, np.uint64)
-    for j in range(min(S, len(x))):
-        x[j::S] = np.frombuffer(data, "<u8", (n - j) // S, j)
-    h = _mix(x)
-    w = K - S + 1
-    low, span = h, 1
-    while 2 * span <= w:
-        low, span = np.minimum(low[:-span], low[span:]), 2 * span
-    count = len(h) - w + 1
-    low = np.minimum(low[:count], low[w - span:w - span + count])
-    at = np.flatnonzero((h[:count] == low) | (h[w - 1:] == low))
-    y = h[at] ^ _mix(h[at + S] + np.uint64(1)) ^ _mix(h[at + 2 * S] + np.uint64(2))
-    return at, _mix(y)
-
-
-def sketch(data: bytes) -> np.ndarray:
-    """The SKETCH smallest distinct 32-bit hashes of the anchors, rising."""
-    found = (anchors(data)[1] >> np.uint64(32)).astype(np.uint32)
-    if len(found) > 4 * SKETCH:
-        found = np.partition(found, 2 * SKETCH)[:2 * SKETCH + 1] if len(np.unique(
-            np.partition(found, 2 * SKETCH)[:2 * SKETCH + 1])) >= SKETCH else found
-    return np.unique(found)[:SKETCH]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard estimate: the share of the smallest hashes of both that both have. Two empty ones are alike."""
-    both = np.union1d(a, b)[:SKETCH]
-    if not len(both):
+    if n >= K:
+        x = np.empty(n - S + 1, np.uint64)
+        for j in range(min(S, len(x))):
+            x[j::S] = np.frombuffer(data, "<u8", (n - j) // S, j)
+        h = _mix(x)
+        w = K - S + 1
+        low, span = h, 1
+        while 2 * span <= w:
+            low, span = np.minimum(low[:-span], low[span:]), 2 * span
+        count = len(h) - w + 1
+        low = np.minimum(low[:count], low[w - span:w - span + count])
+        at = np.flatnonzero((h[:count] == low) | (h[w - 1:] == low))
+        y = np.zeros(len(at), np.uint64)
+        for j in range(0, K, S):
+            y = _mix(y ^ (h[at + j] + np.uint64(j)))
+        if len(at):
+            return at, (y >> np.uint64(32)).astype(np.uint32)
+    short = int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little")
+    return np.zeros(min(n, 1), np.int64), np.full(min(n, 1), short, np.uint32)
+
+
+def as_text(found: tuple[np.ndarray, np.ndarray]) -> str:
+    """Ten hexadecimal digits an anchor: the distance from the one before, below K, and the hash."""
+    at, h = found
+    out = np.empty((len(at), 5), np.uint8)
+    out[:, 0] = np.diff(at, prepend=0)
+    out[:, 1:] = h.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes().hex()
+
+
+def from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors that as_text() wrote."""
+    x = np.frombuffer(bytes.fromhex(text), np.uint8).reshape(-1, 5)
+    return np.cumsum(x[:, 0], dtype=np.int64), x[:, 1:].copy().view(">u4").ravel().astype(np.uint32)
+
+
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """Each hash with how many equal ones stand before it."""
+    order = np.argsort(h, kind="stable")
+    new = np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] + np.uint32(1)))
+    nth = np.empty(len(h), np.uint64)
+    nth[order] = np.arange(len(h)) - np.repeat(new, np.diff(new, append=len(h)))
+    return h.astype(np.uint64) << np.uint64(32) | nth
+
+
+def _chain(x: np.ndarray) -> np.ndarray:
+    """Indices of a longest rising subsequence of x."""
+    if (np.diff(x) > 0).all():
+        return np.arange(len(x))
+    tops, ends, back = [], [], []
+    for i, v in enumerate(x.tolist()):
+        k = bisect_left(tops, v)
+        tops[k:k + 1], ends[k:k + 1] = [v], [i]
+        back.append(ends[k - 1] if k else -1)
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return np.array(out[::-1], np.int64)
+
+
+def _covered(at: np.ndarray) -> int:
+    """Bytes that k-mers at rising positions cover."""
+    return int(np.minimum(np.diff(at), K).sum()) + K if len(at) else 0
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of the anchored bytes of both that matched anchors cover, 0 to 1. Two empty ones are alike.
+
+    The nth anchor of a hash in one text pairs with the nth of that hash in the other; of the pairs, a longest
+    chain that rises in both counts. Takes n log n steps for n anchors.
+    """
+    every = _covered(a[0]) + _covered(b[0])
+    if not every:
         return 1.0
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, common, assume_unique=True).sum() / len(both))
-
-
-def as_text(x: np.ndarray) -> str:
-    return x.astype(">u4").tobytes().hex()
+    _, one, two = np.intersect1d(_numbered(a[1]), _numbered(b[1]), assume_unique=True, return_indices=True)
+    order = np.argsort(one)
+    one, two = one[order], two[order]
+    kept = _chain(two)
+    return (_covered(a[0][one[kept]]) + _covered(b[0][two[kept]])) / every
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -81,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("key"),
-                 pa.array([as_text(sketch(t or b"")) for t in b.column("text").to_pylist()], pa.string())],
+                 pa.array([as_text(anchors(t or b"")) for t in b.column("text").to_pylist()], pa.string())],
                 ["doc_id", "text_key", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
@@ -130,23 +175,23 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                 ["range", "ahead", "doc_id", "key", "text"])
 
     def compare(batches):
-        held = None  # (range, doc_id, text, sketch), waiting for the next document
+        held = None  # (range, doc_id, text, anchors), waiting for the next document
         for b in batches:
             out = []
             for p, ahead, d, text in zip(*[b.column(c).to_pylist() for c in ("range", "ahead", "doc_id", "text")]):
                 mine = None
                 if held is not None and held[0] == p:
                     _, before, old, theirs = held
-                    mine = theirs if text == old else sketch(text.encode())
+                    mine = theirs if text == old else anchors(text.encode())
                     half = len(old) // 2
                     new = (old[:len(old) - half] + text[:half]).encode()
-                    edit = sketch(new)
+                    edit = anchors(new)
                     out.append((before, len(old), hashlib.sha256(new).hexdigest(), as_text(theirs), as_text(edit),
                                 likeness(theirs, edit), likeness(theirs, mine)))
                 if ahead:
                     held = None
                 else:
-                    held = p, d, text, sketch(text.encode()) if mine is None else mine
+                    held = p, d, text, anchors(text.encode()) if mine is None else mine
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in SCHEMA.split(", ")), x)) for x in out],
                                                  schema=kinds)
