@@ -1,14 +1,19 @@
-"""Removal of repeated 400-byte strings by a column-wise suffix order over the places that may repeat.
-
-Bauer, Cox and Rosone build the suffix order of many documents by inserting one symbol of each per round.
-Over whole documents that takes as many passes over all data as the longest text has bytes. Here the
-collection is cut first. Of all GRAM-byte grams of a WIDTH-byte window, the one with the least hash is the
-window's anchor, so equal windows have equal anchors at equal offsets. Windows in a row with one anchor form
-a context. A context met twice repeats in whole; one whose anchor nowhere else occurs does not repeat. The
-others, aligned at their anchors, are the collection: each round inserts one symbol per context, right to
-left, and updates the order of the suffixes and their common prefixes, in WIDTH + REACH rounds whatever the
-length of the texts. A window repeats if a neighbour in the order shares WIDTH symbols. Between the steps the
-state lies in files, written and read in sequence.
+"""Removal of repeated 400-byte strings by the contexts in which they stand.
+
+Column-wise construction of a suffix order (Bauer, Cox and Rosone) inserts one symbol of every document per
+round and so takes as many passes over the collection as the longest text has bytes. Instead, windows that may
+be equal are brought together by ever longer parts that equal windows share, at every size of the input and
+of a group in the same way:
+
+1. Of all GRAM-byte grams of a WIDTH-byte window, the one with the least hash is the window's anchor, so equal
+   windows have equal anchors at equal offsets. Windows in a row with one anchor form a context. A context met
+   twice repeats in whole; one whose anchor nowhere else occurs does not repeat.
+2. The distinct contexts of an anchor that are left are cut into pieces of STEP offsets from the anchor. All windows
+   of a piece share its core, WIDTH - STEP + 1 bytes. A piece met twice repeats in whole; one whose core
+   nowhere else occurs does not repeat.
+3. The distinct pieces of a core that are left are cut into their windows, which are counted.
+
+Each step counts by hash, with partial counts before each shuffle, so that no task holds a group.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ from .common import materialize, text_key
 WIDTH, GRAM = 400, 128
 #: Grams that start in a window.
 REACH = WIDTH - GRAM
-#: An anchor with more distinct contexts than this has its windows compared by hash, spread over all tasks.
-HOT = 4096
-#: Contexts that one round of a task handles together, about.
-COLLECTION = 4096
+#: Offsets from the anchor that a piece spans.
+STEP = 16
+#: Contexts that are cut into pieces at a time.
+CUT = 2000
 #: Windows of a text that are handled at a time.
 STRETCH = 1 << 22
 BASE = 0x9E3779B97F4A7C15
@@ -81,46 +86,6 @@ def contexts(data: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
 
 
-def repeated_windows(texts: list[bytes], offsets: list[int]) -> list[np.ndarray]:
-    """For each context, which of its windows occur in another context at the same place from the anchor.
-
-    texts are distinct contexts; offsets the places of their anchors. Column by column from the right, each
-    round puts one more symbol before every suffix: a stable sort by that symbol keeps the suffixes in order,
-    and the common prefix of two that now stand together is one more than the least between them before.
-    """
-    m, left = len(texts), max(offsets)
-    width = max(len(t) - o for t, o in zip(texts, offsets)) + left
-    symbols = np.full((width, m), 256, np.uint16)  # 256: no symbol, which is never equal to another
-    begin = np.array([left - o for o in offsets])
-    end = begin + np.array([len(t) for t in texts])
-    for r, (t, s) in enumerate(zip(texts, begin.tolist())):
-        symbols[s:s + len(t), r] = np.frombuffer(t, np.uint8)
-    repeats = np.zeros((width, m), bool)
-    order, common = np.arange(m), np.zeros(m, np.int32)
-    for c in range(width - 1, -1, -1):
-        s = symbols[c][order]
-        to = np.argsort(s, kind="stable")
-        now = s[to]
-        levels = [common]
-        while (1 << len(levels)) < m:
-            x, k = levels[-1], 1 << len(levels) - 1
-            y = x.copy()
-            y[:-k] = np.minimum(x[:-k], x[k:])
-            levels.append(y)
-        table = np.stack(levels)
-        fresh = np.zeros(m, np.int32)
-        same = np.flatnonzero((now[1:] == now[:-1]) & (now[1:] < 256)) + 1
-        u, v = to[same - 1] + 1, to[same]
-        level = np.frexp((v - u + 1).astype(np.float64))[1] - 1
-        fresh[same] = 1 + np.minimum(table[level, u], table[level, v - (1 << level) + 1])
-        order, common = order[to], fresh
-        hit = common >= WIDTH
-        if hit.any():
-            hit[:-1] |= hit[1:]
-            repeats[c, order[hit]] = True
-    return [np.flatnonzero(repeats[b:e - WIDTH + 1, r]) for r, (b, e) in enumerate(zip(begin.tolist(), end.tolist()))]
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("o"),
                        text_key(F.col("text")).alias("k"),
@@ -164,40 +129,38 @@ def _batch(rows):
         ["gram", "o", "k", "p0", "anchor", "data"])
 
 
-def _spans(rows, found):
-    """(o, k, s, e): the bytes of the repeated windows, those that touch joined."""
-    out = []
-    for (_, o, k, p0, _, _), at in zip(rows, found):
-        if len(at):
-            cut = np.flatnonzero(np.diff(at) > WIDTH) + 1
-            first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(at) - 1]))
-            out += [(o, k, p0 + int(at[f]), p0 + int(at[e]) + WIDTH) for f, e in zip(first, last)]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["o", "k", "s", "e"])
-
-
-def _collections(batches):
-    """Whole groups of contexts, sorted by gram, go through the rounds together."""
-    rows, last = [], None
+def _pieces(batches):
+    """Pieces of contexts: hashes of core and whole, place s, number n of windows, bytes before and after the core."""
     for b in batches:
-        for r in zip(*[b.column(c).to_pylist() for c in ("gram", "o", "k", "p0", "anchor", "data")]):
-            if len(rows) >= COLLECTION and r[0] != last:
-                yield from _spans(rows, repeated_windows([x[5] for x in rows], [x[4] for x in rows]))
-                rows = []
-            rows.append(r)
-            last = r[0]
-    if rows:
-        yield from _spans(rows, repeated_windows([x[5] for x in rows], [x[4] for x in rows]))
+        for part in (b.slice(at, CUT) for at in range(0, len(b), CUT)):
+            data, anchor = part.column("data").to_pylist(), part.column("anchor").to_numpy().astype(np.int64)
+            sizes = np.array([len(x) for x in data])
+            base, run = np.cumsum(sizes) - sizes, sizes - WIDTH
+            # Piece r of a context has the windows STEP r to STEP r + STEP - 1 bytes before the anchor.
+            first, last = (anchor - run) // STEP, anchor // STEP
+            count = last - first + 1
+            row = np.repeat(np.arange(len(data)), count)
+            r = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+            core = anchor[row] - STEP * r
+            lo, hi = np.maximum(0, core - STEP + 1), np.minimum(run[row], core)
+            h, at = Hasher(np.frombuffer(b"".join(data), np.uint8)), base[row]
+            end = core + WIDTH - STEP + 1
+            cut = lambda x, y: pa.array([data[i][s:e] for i, s, e in zip(row.tolist(), x.tolist(), y.tolist())], pa.binary())
+            take = lambda c: part.column(c).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [take("gram"), pa.array(r.astype(np.int32)), _signed(h.of(at + core, at + end)), _signed(h.of(at + lo, at + hi + WIDTH)),
+                 take("o"), take("k"), pa.array(part.column("p0").to_numpy()[row] + lo), pa.array((hi - lo + 1).astype(np.int32)),
+                 cut(lo, core), cut(end, hi + WIDTH)],
+                ["gram", "r", "core", "whole", "o", "k", "s", "n", "left", "right"])
 
 
-def _window_hashes(batches):
-    for b in batches:
-        for gram, o, k, p0, anchor, data in zip(*[b.column(c).to_pylist() for c in ("gram", "o", "k", "p0", "anchor", "data")]):
-            at = np.arange(len(data) - WIDTH + 1)
-            h = Hasher(np.frombuffer(data, np.uint8)).of(at, at + WIDTH)
-            const = lambda v: pa.array(np.full(len(at), v, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [const(gram), _signed(h), const(o), const(k), pa.array(p0 + at)], ["gram", "window", "o", "k", "s"])
+def _kinds(found: DataFrame, group: list[str], values: list[str], name: str) -> DataFrame:
+    """Distinct (group, whole) of groups met twice or more: n, how often; kinds, how many the group has; any row's values."""
+    # first() takes all values from one row; any row of a kind will do, and the result is written once.
+    wholes = found.groupBy(*group, "whole").agg(F.count("*").alias("times"), F.first(F.struct(*values)).alias("row"))
+    shared = wholes.groupBy(*group).agg(F.sum("times").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    return materialize(wholes.join(shared.select(*group, "kinds").hint("merge"), group).select(
+        *group, "whole", "times", "kinds", "row.*"), name)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -205,28 +168,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     found = rows.where(F.octet_length("text") >= WIDTH).mapInArrow(
         _context_rows, "o long, k long, loc long, gram long, whole long")
-    # first() takes all three from one row; any row of a kind will do, and the result is written once.
-    wholes = found.groupBy("gram", "whole").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("o", "k", "loc")])
-    shared = wholes.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    kinds = materialize(wholes.join(shared.select("gram", "kinds").hint("merge"), "gram"), "kinds")
-    full = found.select("gram", "whole", "o", "k", "loc").join(
-        kinds.where("n > 1").select("gram", "whole").hint("merge"), ["gram", "whole"]).select(
+    kinds = _kinds(found, ["gram"], ["o", "k", "loc"], "kinds")
+    full = found.join(kinds.where("times > 1").select("gram", "whole").hint("merge"), ["gram", "whole"]).select(
         "o", "k", F.shiftright("loc", 20).alias("s"),
         (F.shiftright("loc", 20) + F.col("loc").bitwiseAND(F.lit(1023)) + WIDTH).alias("e"))
     asked = kinds.where("kinds > 1").select("gram", "o", "k", "loc")
     locs = asked.groupBy("o", "k").agg(F.collect_list(F.struct("loc", "gram")).alias("locs"))
     data = materialize(rows.dropDuplicates(["o", "k"]).join(locs, ["o", "k"]).mapInArrow(
         _fetch, "gram long, o long, k long, p0 long, anchor int, data binary"), "contexts")
-    hot = materialize(kinds.where(F.col("kinds") > HOT).select("gram").distinct(), "hot")
-    cold = data.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    spans = full.unionByName(cold.mapInArrow(_collections, "o long, k long, s long, e long"))
-    if hot.limit(1).count():
-        windows = data.join(hot, "gram", "left_semi").mapInArrow(
-            _window_hashes, "gram long, window long, o long, k long, s long")
-        twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-        spans = spans.unionByName(windows.join(twice, ["gram", "window"]).select(
-            "o", "k", "s", (F.col("s") + WIDTH).alias("e")))
-    return spans
+
+    pieces = data.mapInArrow(_pieces, "gram long, r int, core long, whole long, o long, k long, s long, n int, left binary, right binary")
+    group = ["gram", "r", "core"]
+    cut = _kinds(pieces, group, ["o", "k", "s", "n", "left", "right"], "pieces")
+    # Of pieces met twice, those of contexts met once are still to be found; the rows say where all of them are.
+    spans = full.unionByName(pieces.select(*group, "whole", "o", "k", "s", "n").join(
+        cut.where("times > 1").select(*group, "whole").hint("merge"), [*group, "whole"]).select(
+        "o", "k", "s", (F.col("s") + F.col("n") + (WIDTH - 1)).alias("e")))
+    windows = cut.where("kinds > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    windows = windows.select("gram", "core", "o", "k", (F.col("s") + F.col("i")).alias("s"), F.xxhash64(
+        F.col("r"), F.octet_length("left") - F.col("i"), F.expr("substr(left, i + 1)"),
+        F.expr(f"substr(right, 1, {STEP - 1} - octet_length(left) + i)")).alias("window"))
+    twice = windows.groupBy("gram", "core", "window").agg(F.count("*").alias("times")).where("times > 1")
+    return spans.unionByName(windows.join(twice.drop("times").hint("merge"), ["gram", "core", "window"]).select(
+        "o", "k", "s", (F.col("s") + WIDTH).alias("e")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -235,7 +199,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Every byte covered by a WIDTH-byte string that also starts elsewhere goes, in the same text or another,
     overlaps included, judged on the input. Texts are UTF-8 bytes, null ones empty; matches never cross
     texts. Rows that repeat a doc_id, or a whole row, are documents of their own, so that copies of
-    at least WIDTH bytes lose everything. kept is binary: a cut may fall within a character.
+    at least WIDTH bytes lose everything. kept is binary: a cut may fall within a character. An empty
+    table gives an empty result.
     """
     spans = repeated_spans(docs).groupBy("o", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = docs.select(
