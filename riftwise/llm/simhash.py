@@ -12,15 +12,16 @@ index, exact third) keys of 31 bits. Meeting fingerprints are verified by their
 
 from __future__ import annotations
 
+import string
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, text_key, words_of
 from .components import connected_components
 
 #: Generator polynomial of the binary [23, 12, 7] Golay code (fixed value): x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -29,6 +30,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
+#: Of keep_one: words of a shingle and the least Jaccard similarity, and words of the shingles of its fingerprints.
+WORDS, SIMILAR, DRAFT = 5, 0.8, 2
 #: Keys with more fingerprints than this are linked through midpoints instead of pairwise.
 HOT_KEY = 64
 
@@ -48,7 +51,7 @@ def golay_table() -> np.ndarray:
     return table
 
 
-def fingerprint(text: bytes | None) -> int:
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the words' shingles; zero where there are no words."""
     from xxhash import xxh64_digest
 
@@ -56,12 +59,12 @@ def fingerprint(text: bytes | None) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         digests = [xxh64_digest(joined, SEED)]
     else:
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = np.concatenate(([0], gaps + 1))[: len(words) - SHINGLE + 1].tolist()
-        ends = np.concatenate((gaps, [len(joined)]))[SHINGLE - 1:].tolist()
+        starts = np.concatenate(([0], gaps + 1))[: len(words) - shingle + 1].tolist()
+        ends = np.concatenate((gaps, [len(joined)]))[shingle - 1:].tolist()
         digests = [xxh64_digest(joined[s:e], SEED) for s, e in zip(starts, ends)]
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(digests), 255 * 256):
@@ -73,12 +76,12 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp) per row of docs, fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, key, fp) per row of docs, fp as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t) for t in b.column("text").to_pylist()]
+            fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("key"),
                  pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
@@ -214,15 +217,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: Column, words: int = WORDS) -> Column:
+    """Distinct hashes of the runs of so many words of a text, lower-cased; of a shorter text, of all its words."""
+    w = words_of(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))),
+                       lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+    return F.array_distinct(runs)
+
+
+def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(key, component): texts of docs by their hash, linked if the Jaccard similarity of their shingles reaches similar.
+
+    Fingerprints of short shingles, which an edited word changes least, draft the links: each text is compared
+    with the least text of its fingerprint, and that one with those of the fingerprints that it links to. A
+    drafted link holds if the exact similarity says so. Texts without links are left out.
+    """
+    rows = materialize(fingerprints(docs, DRAFT).select("key", "fp").distinct(), "fingerprints")
+    least = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"k{c}")) for c in "ab"]
+    links = fingerprint_links(least.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
+    links = links.select(F.col("ka").alias("a"), F.col("kb").alias("b")).unionByName(
+        rows.join(least.hint("merge"), "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    links = materialize(links.distinct(), "links")
+    asked = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(
+        asked.hint("merge"), "key").dropDuplicates(["key"])
+    sets = materialize(texts.select("key", shingles(F.col("text")).alias("set")), "shingles")
+    both = links.join(sets.withColumnsRenamed({"key": "a", "set": "x"}).hint("merge"), "a").join(
+        sets.withColumnsRenamed({"key": "b", "set": "y"}).hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    held = both.where(common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return connected_components(held).withColumnRenamed("node", "key")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one per group of near-duplicates: the smallest doc_id, then the smallest text hash.
 
-    Rows that repeat both doc_id and text count as copies, of which one stays.
+    Equal texts are one group, and so are texts that similar_texts() links: five-word shingles, similarity 0.8.
+    Null texts count as empty. Rows that repeat both doc_id and text count as copies, of which one stays. An
+    empty table gives an empty result.
     """
-    found = near_duplicates(docs)
-    first = found.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f")).select(
-        F.col("f.doc_id").alias("_d"), F.col("f.text_key").alias("_k"))
+    of = similar_texts(docs).select(F.col("key").alias("k"), "component")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    first = rows.join(of.hint("merge"), F.col("key") == F.col("k"), "left").groupBy(F.coalesce("component", "key")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")).select(
+        F.col("f.doc_id").alias("_d"), F.col("f.key").alias("_k"))
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_d"))
                      & (text_key(F.col("text")) == F.col("_k")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
