@@ -1,11 +1,11 @@
 """Byte-level BPE over a distinct-word table.
 
 Texts are split once, in chunks: runs of documents of one task whose distinct words are numbered. A document
-becomes the numbers of its words by position, a chunk one row for each distinct word, so that no word is
-hot however often it occurs. The chunks' words are sorted by word, where each distinct one is encoded once, and
-its ids go back to the chunks that hold it. Ids decode through a join with the table of pieces: the ids
-that a chunk holds are joined to it, and go to the chunk. The same plan runs at every size; nothing is
-sent to all tasks but the pieces, which the vocabulary bounds.
+becomes the numbers of its words by position, a chunk lists each distinct word once, so that no word is hot
+however often it occurs. The chunks' words meet in buckets by hash, as many as their number asks for, where each
+distinct one is encoded once; its ids go back to the chunks that hold it. Ids decode through a join with
+the table of pieces: the ids that a chunk holds are joined to it, and go to the chunk. The same plan runs at
+every size; nothing is sent to all tasks but the pieces, which the vocabulary bounds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +26,8 @@ from .common import materialize, text_key
 
 #: Distinct words at which a chunk ends, after the document that reaches it.
 CHUNK = 300_000
-#: Words whose ids a task gathers before it sends them to their chunks.
-SENT = 200_000
+#: Words of all chunks that a bucket gets, about, and that a row of a chunk holds at most.
+BUCKET, ROW = 300_000, 50_000
 #: Python's and the tokenizer's Unicode tables agree below this; other texts are split by the tokenizer itself.
 AGREED = 0x530
 
@@ -99,20 +100,26 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _pack(numbers, kind=np.uint32) -> bytes:
+    return zlib.compress(np.asarray(numbers, kind).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
 def _chunks(docs: DataFrame, path: str, bound: int) -> DataFrame:
-    """A row (chunk, at, word) for each distinct word of a chunk, (chunk, doc_id, key, seq) for each document.
+    """(chunk, first, words): a chunk's distinct words in order of number, from number first; (chunk, doc_id, key, seq).
 
-    seq holds the numbers of the document's words by position, 32 bits each.
+    seq packs the numbers of the document's words by position.
     """
     def split(batches):
         s, task, n, number, seqs = splitter(path), TaskContext.get().partitionId(), 0, {}, []
 
         def rows():
-            chunk = task << 24 | n
-            words = sorted(number)  # they compress better
-            for at in range(0, len(words), 10_000):
-                some = words[at:at + 10_000]
-                yield batch(chunk, at=pa.array([number[w] for w in some], pa.int32()), word=pa.array(some, pa.string()))
+            chunk, words = task << 24 | n, list(number)
+            for at in range(0, len(words), ROW):
+                yield batch(chunk, first=pa.array([at], pa.int32()), words=pa.array([words[at:at + ROW]], pa.list_(pa.string())))
             for at in range(0, len(seqs), 500):
                 ids, keys, seq = zip(*seqs[at:at + 500])
                 yield batch(chunk, doc_id=pa.array(ids, pa.int64()), key=pa.array(keys, pa.int64()), seq=pa.array(seq, pa.binary()))
@@ -120,54 +127,69 @@ def _chunks(docs: DataFrame, path: str, bound: int) -> DataFrame:
         for b in batches:
             for doc, key, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text")]):
                 words = s.words(text)
-                for w in set(words).difference(number):
-                    number[w] = len(number)
-                seqs.append((doc, key, np.fromiter(map(number.__getitem__, words), np.uint32, len(words)).tobytes()))
+                for w in words:
+                    if w not in number:
+                        number[w] = len(number)
+                seqs.append((doc, key, _pack(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))))
                 if len(number) > bound:
                     yield from rows()
                     n, number, seqs = n + 1, {}, []
         yield from rows()
 
-    kinds = {"at": pa.int32(), "word": pa.string(), "doc_id": pa.int64(), "key": pa.int64(), "seq": pa.binary()}
+    kinds = {"first": pa.int32(), "words": pa.list_(pa.string()), "doc_id": pa.int64(), "key": pa.int64(), "seq": pa.binary()}
 
     def batch(chunk, **columns):
         size = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(size, chunk)), *[columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()]], ["chunk", *kinds])
 
-    found = _texts(docs).mapInArrow(split, "chunk long, at int, word string, doc_id long, key long, seq binary")
+    found = _texts(docs).mapInArrow(split, "chunk long, first int, words array<string>, doc_id long, key long, seq binary")
     return materialize(found, "chunks")
 
 
 def _encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(chunk, ats, sizes, ids, used): ids of a chunk's words, some words a row, from (chunk, at, word).
+    """(chunk, ats, sizes, ids, used): ids of a chunk's words, a row a bucket, from (chunk, first, words).
 
-    ats and sizes are 32-bit numbers of words and of their ids, used the distinct ids.
+    ats and sizes pack the numbers of words and of their ids, used lists the distinct ids.
     """
-    def encode(batches):
-        s, word, ids, held, count = splitter(path), None, None, {}, 0
+    buckets = (words.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET + 1
+
+    def deal(batches):
         for b in batches:
-            for chunk, at, w in zip(*[b.column(c).to_pylist() for c in ("chunk", "at", "word")]):
-                if w != word:  # sorted: each word is encoded once
-                    word, ids = w, s.encode([w])[0]
-                ats, sizes, all_ids = held.setdefault(chunk, ([], [], []))
-                ats.append(at), sizes.append(len(ids)), all_ids.extend(ids)
-                count += 1
-            if count > SENT:
-                yield rows(held)
-                held, count = {}, 0
-        if held:
-            yield rows(held)
-
-    def rows(held):
-        blob = lambda k, t: pa.array([np.array(x[k], t).tobytes() for x in held.values()], pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int64()), blob(0, np.uint32), blob(1, np.uint32), blob(2, np.uint32),
-             pa.array([np.unique(np.array(x[2], np.int32)) for x in held.values()], pa.list_(pa.int32()))],
-            ["chunk", "ats", "sizes", "ids", "used"])
+            for chunk, first, some in zip(*[b.column(c).to_pylist() for c in ("chunk", "first", "words")]):
+                some = [w.encode() for w in some]
+                to = np.fromiter((zlib.crc32(w) for w in some), np.int64, len(some)) % buckets
+                order = np.argsort(to, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
+                    mine = [some[i] for i in at.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([to[at[0]]]), pa.array([chunk]), pa.array([_pack(at + first)], pa.binary()),
+                         pa.array([_pack([len(w) for w in mine])], pa.binary()),
+                         pa.array([zlib.compress(b"".join(mine), 1)], pa.binary())], ["bucket", "chunk", "ats", "sizes", "text"])
 
-    by_word = words.repartition("word").sortWithinPartitions("word")
-    return by_word.mapInArrow(encode, "chunk long, ats binary, sizes binary, ids binary, used array<int>")
+    def encode(batches):
+        s, now, known = splitter(path), None, {}
+        for b in batches:
+            for bucket, chunk, ats, sizes, text in zip(*[b.column(c).to_pylist() for c in ("bucket", "chunk", "ats", "sizes", "text")]):
+                if bucket != now:
+                    now, known = bucket, {}
+                text, end, got = zlib.decompress(text), 0, []
+                for n in _unpack(sizes).tolist():
+                    w = text[end:end + n]
+                    end += n
+                    ids = known.get(w)
+                    if ids is None:  # each word is encoded once
+                        ids = known[w] = s.encode([w.decode()])[0]
+                    got.append(ids)
+                flat = np.array([i for x in got for i in x], np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.array([ats], pa.binary()), pa.array([_pack([len(x) for x in got])], pa.binary()),
+                     pa.array([_pack(flat)], pa.binary()), pa.array([np.unique(flat).astype(np.int32)], pa.list_(pa.int32()))],
+                    ["chunk", "ats", "sizes", "ids", "used"])
+
+    dealt = words.mapInArrow(deal, "bucket long, chunk long, ats binary, sizes binary, text binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        encode, "chunk long, ats binary, sizes binary, ids binary, used array<int>")
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -179,7 +201,8 @@ def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def _pieces_of(used: DataFrame, path: str) -> DataFrame:
     """(chunk, id, piece): the ids that each chunk holds, from (chunk, used), joined to the table of pieces."""
-    ids = used.select("chunk", F.explode("used").alias("id")).distinct()
+    lists = used.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))  # the words bound it
+    ids = lists.select("chunk", F.explode("used").alias("id"))
     # The vocabulary bounds the table of pieces.
     return ids.join(F.broadcast(piece_table(used.sparkSession, path)), "id").select("chunk", "id", "piece")
 
@@ -191,12 +214,12 @@ def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool,
     a list of word numbers arrays to columns. A task holds one chunk's words at a time.
     """
     chunks = _chunks(docs, path, bound)
-    words = _encoded_words(chunks.where("word is not null").select("chunk", "at", "word"), path)
+    words = _encoded_words(chunks.where("words is not null").select("chunk", "first", "words"), path)
     if decode:
         words = materialize(words, "encoded")
     none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
     parts = words.select("chunk", F.lit(1).alias("kind"), "ats", "sizes", "ids", *none(id="int", doc_id="long", key="long")).unionByName(
-        chunks.where("word is null").select("chunk", F.lit(2).alias("kind"), F.col("seq").alias("ats"),
+        chunks.where("words is null").select("chunk", F.lit(2).alias("kind"), F.col("seq").alias("ats"),
                                             *none(sizes="binary", ids="binary", id="int"), "doc_id", "key"))
     if decode:
         parts = parts.unionByName(_pieces_of(words.select("chunk", "used"), path).select(
@@ -222,7 +245,7 @@ def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool,
                 else:
                     if ready is None:
                         ready, ids = finish(_by_number(ids), pieces), []
-                    out.append((doc, key, np.frombuffer(ats, np.uint32)))
+                    out.append((doc, key, _unpack(ats)))
             if out:
                 yield batch(out, ready)
 
@@ -236,10 +259,11 @@ def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool,
 
 def _by_number(parts) -> list[list[int]]:
     """Ids of a chunk's words by their numbers."""
-    out = [[]] * sum(len(x) // 4 for x, _, _ in parts)
+    parts = [[_unpack(x) for x in p] for p in parts]
+    out: list[list[int]] = [[]] * sum(len(ats) for ats, _, _ in parts)
     for ats, sizes, flat in parts:
-        flat, end = np.frombuffer(flat, np.uint32).tolist(), 0
-        for at, n in zip(np.frombuffer(ats, np.uint32).tolist(), np.frombuffer(sizes, np.uint32).tolist()):
+        flat, end = flat.tolist(), 0
+        for at, n in zip(ats.tolist(), sizes.tolist()):
             out[at] = flat[end:end + n]
             end += n
     return out
