@@ -42,7 +42,7 @@ def draw(*parts: Column) -> Column:
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, sid, source_size, weight, target) from (source, source_size), a row for each source; sid is its rank.
+    """sizes with sid, weight and target; sizes has a row (source, source_size, ...) for each source, sid is its rank.
 
     Weights repeat over the sources in code point order, null last. Targets share `share` of all words by
     weight; those over `most` times their source's size stop there and the excess goes to the others, until
@@ -63,17 +63,16 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     x = x.withColumn("level", (F.col("all_words") - F.col("full")) / F.col("open"))
     level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     x = x.withColumn("target", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")))
-    return x.select("source", "sid", "source_size", "weight", "target")
+    return x.select(*sizes.columns, "sid", "weight", "target")
 
 
 def place(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, key, sid, size) with start: where each document's words start in its source.
+    """docs (doc_id, key, sid, runs, size) with start: where each document's words start in its source.
 
     Runs of a source, cut by hash, are summed and placed first, then documents within each run. A source of n
     documents has about sqrt(n) runs of sqrt(n) documents, so that no task holds a whole source.
     """
-    n = docs.groupBy("sid").agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("runs"))
-    docs = docs.join(n, "sid").withColumn("d", draw(F.col("doc_id"))).withColumn("run", F.col("d") % F.col("runs"))
+    docs = docs.withColumn("d", draw(F.col("doc_id"))).withColumn("run", F.col("d") % F.col("runs"))
     before = W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     sums = docs.groupBy("sid", "run").agg(F.sum("size").alias("words")).select(
         "sid", "run", F.coalesce(F.sum("words").over(before.partitionBy("sid")), F.lit(0)).alias("base"))
@@ -179,7 +178,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 def _pieces(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """(doc_id, key, sid, pass, lo, hi): word ranges [lo, hi) of the documents in the blocks that slots take.
 
-    sized: (doc_id, key, sid, size).
+    sized: (doc_id, key, sid, runs, size).
     """
     put = place(sized).where("size > 0").withColumn("block", F.explode(F.sequence(
         F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))))
@@ -191,12 +190,14 @@ def _pieces(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def plan_of(sized: DataFrame) -> DataFrame:
-    return materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"),
+                                       F.ceil(F.sqrt(F.count("*"))).cast("long").alias("runs"))
+    return materialize(targets(sums), "targets")
 
 
 def _numbered(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """sized with sid instead of source."""
-    ids = plan.select(F.col("source").alias("s"), "sid")
+    """sized with sid and runs instead of source."""
+    ids = plan.select(F.col("source").alias("s"), "sid", "runs")
     return sized.join(ids, F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
 
 
