@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is its smallest node.
 
     Alternates two rewrites until nothing changes (Kiveris et al., "Connected Components in MapReduce
@@ -23,9 +23,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     state = _state(now)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -40,8 +38,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
