@@ -26,12 +26,19 @@ def block_diff(pairs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for i, x, y in zip(b["id"], b["before"], b["after"]):
+                # Common ends belong to some longest alignment; what lies between takes a row of the table at a time.
+                x, y, ends = list(x), list(y), 0
+                while x and y and x[-1] == y[-1]:
+                    x.pop(), y.pop()
+                    ends += 1
+                start = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+                x, y, ends = x[start:], y[start:], ends + start
                 row = [0] * (len(y) + 1)
                 for p in x:
                     last, row = row, [0]
                     for j, q in enumerate(y):
                         row.append(last[j] + 1 if p == q else max(row[j], last[j + 1]))
-                out.append((i, row[-1], len(x) - row[-1], len(y) - row[-1]))
+                out.append((i, row[-1] + ends, len(x) - row[-1], len(y) - row[-1]))
             yield pd.DataFrame(out, columns=["id", "matched", "left_only", "right_only"])
 
     return pairs.select("id", "before", "after").mapInPandas(
@@ -67,14 +74,17 @@ def _walk(left, right) -> tuple[int, int]:
     return matched, differ
 
 
-def function_diff(left: DataFrame, right: DataFrame, left_functions: DataFrame, right_functions: DataFrame) -> DataFrame:
-    """(func, status, matched, differ): status same, changed, left (only there) or right.
+def function_diff(left: DataFrame, right: DataFrame, left_functions: DataFrame, right_functions: DataFrame,
+                  on: tuple[str, ...] = ("module", "func")) -> DataFrame:
+    """(on, status, matched, differ): status same, changed, left (only there) or right.
 
-    Functions are paired by name and compared block by block; two that are only declared are the same, and one
+    Functions are paired by module and name, or for two versions of one module of other names by on=("func",),
+    and compared block by block; two that are only declared are the same, and one
     that is defined on one side only, or whose parameters differ in number, has changed. instructions as
     riftwise.sources.ir has them; a task holds the two bodies of one name.
     """
-    names = ["func", "ord", "bb", "result", "text"]
+    on = list(on)
+    names = [*on, "ord", "bb", "result", "text"]
     cut = lambda d: d.select(*names).toDF(*names)
 
     def apply(key, l, r):
@@ -85,14 +95,14 @@ def function_diff(left: DataFrame, right: DataFrame, left_functions: DataFrame,
             return out
 
         m, d = _walk(blocks(l), blocks(r)) if len(l) and len(r) else (0, len(l) + len(r))
-        return pd.DataFrame([(*key, m, d)], columns=["func", "matched", "differ"])
+        return pd.DataFrame([(*key, m, d)], columns=[*on, "matched", "differ"])
 
-    walked = cut(left).groupBy("func").cogroup(cut(right).groupBy("func")).applyInPandas(
-        apply, "func string, matched long, differ long")
-    of = lambda d, p: d.select("func", F.col("defined").alias(f"{p}_defined"), F.size("params").alias(f"{p}_params"))
-    both = of(left_functions, "l").join(of(right_functions, "r"), "func", "full_outer").join(walked, "func", "left")
+    walked = cut(left).groupBy(*on).cogroup(cut(right).groupBy(*on)).applyInPandas(
+        apply, ", ".join(f"{c} string" for c in on) + ", matched long, differ long")
+    of = lambda d, p: d.select(*on, F.col("defined").alias(f"{p}_defined"), F.size("params").alias(f"{p}_params"))
+    both = of(left_functions, "l").join(of(right_functions, "r"), on, "full_outer").join(walked, on, "left")
     n = F.coalesce("differ", F.lit(0))
     changed = (F.col("l_defined") != F.col("r_defined")) | (F.col("l_defined") & ((F.col("l_params") != F.col("r_params")) | (n > 0)))
-    return both.select("func", F.when(F.col("l_defined").isNull(), "right").when(F.col("r_defined").isNull(), "left")
+    return both.select(*on, F.when(F.col("l_defined").isNull(), "right").when(F.col("r_defined").isNull(), "left")
                        .when(changed, "changed").otherwise("same").alias("status"),
                        F.coalesce("matched", F.lit(0)).alias("matched"), n.alias("differ"))

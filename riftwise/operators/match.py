@@ -35,6 +35,11 @@ def fill_last_line(sps: DataFrame, file: list[str]) -> DataFrame:
     return sps.withColumn("lastline", F.coalesce("lastline", F.greatest(nxt - 1, F.col("linenumber"))))
 
 
+def first_module(files: DataFrame) -> DataFrame:
+    """(file_name, module): the first module in order that has a file, of any rows with the two."""
+    return files.groupBy("file_name").agg(F.min("module").alias("module"))
+
+
 def match_functions(scopes: DataFrame, sps: DataFrame, file: list[str], scope_key: list[str], first_only: bool = True) -> DataFrame:
     """scopes (file.., scope_key.., begin, end) with the functions (linenumber, lastline) they touch.
 
@@ -71,6 +76,12 @@ def match_in_order(insts: DataFrame, keys: list[str], begin: Column, end: Column
         F.col("line").between(begin, end) & (F.col("line") >= F.col("top"))).drop("cut", "top")
 
 
+def block_scopes(insts: DataFrame) -> DataFrame:
+    """(module, func, bb, first, last): lines of each block's first and last instruction, in order; null if unknown."""
+    return insts.groupBy("module", "func", "bb").agg(
+        F.min_by("line", "ord").alias("first"), F.max_by("line", "ord").alias("last"))
+
+
 def loop_scopes(insts: DataFrame, nest: DataFrame) -> DataFrame:
     """(module, func, header, parent, depth, b, e): line range of each loop; parent is null at the outside.
 
@@ -79,8 +90,7 @@ def loop_scopes(insts: DataFrame, nest: DataFrame) -> DataFrame:
     header and ends with the block that ends last. Loops without a range are left out.
     """
     at = ["module", "func"]
-    blocks = insts.groupBy(*at, "bb").agg(F.min_by("line", "ord").alias("first"), F.max_by("line", "ord").alias("last"))
-    blocks = blocks.where("first is not null and last is not null")
+    blocks = block_scopes(insts).where("first is not null and last is not null")
     held = nest.select(*at, "bb", F.posexplode("headers").alias("depth", "header"),
                        F.col("headers")).withColumn("parent", F.expr("get(headers, depth - 1)")).drop("headers")
     ends = held.join(blocks, [*at, "bb"]).groupBy(*at, "header", "depth", "parent").agg(

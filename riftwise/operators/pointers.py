@@ -21,6 +21,8 @@ KINDS = ("address", "copy", "load", "store")
 NAME = r"([%@][-\w.$]+)"
 #: What may follow the last operand of a load or store.
 TAIL = r"(?:, align \d+)?(?:, !.*)?$"
+#: Words that may stand between a type and a name (fixed values).
+ATTRIBUTES = ("byval", "inreg", "nest", "noalias", "nocapture", "signext", "sret", "zeroext")
 
 
 def _var(module: Column, func: Column, name: Column) -> Column:
@@ -132,7 +134,7 @@ def _solve(found: DataFrame, known: DataFrame | None) -> DataFrame:
     return graph.points_to(start, of["copy"], of["load"], of["store"])
 
 
-def points_to(m: Module, max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
+def points_to(m: Module) -> tuple[DataFrame, DataFrame]:
     """(ptr, loc) of all pointers, and the calls (module, func, ord, callee) that go through pointers.
 
     The targets of indirect calls pass arguments too, so both are found in turn until no call gets a new target.
@@ -144,7 +146,7 @@ def points_to(m: Module, max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
     functions = m.functions.select(F.concat_ws("\n", "module", F.concat(F.lit("@"), "func")).alias("loc"), F.col("func").alias("callee"))
     assigned, known = materialize(assignments(m), "assignments"), 0
     pts = None
-    for _ in range(max_rounds):
+    while True:  # each round adds targets, of which there are finitely many
         pts = _solve(materialize(rules(m, assigned), "rules"), pts)
         targets = materialize(indirect.join(pts, "ptr").join(functions.distinct(), "loc").select(
             "module", "func", "ord", "callee").distinct(), "targets")
@@ -152,18 +154,24 @@ def points_to(m: Module, max_rounds: int = 16) -> tuple[DataFrame, DataFrame]:
         if n == known:
             return pts, targets
         known, assigned = n, materialize(assigned.unionByName(passed(m, targets)).distinct(), "assignments")
-    raise RuntimeError(f"targets of calls did not settle in {max_rounds} rounds")
+
+
+def types_of(values) -> Column:
+    """Types of arguments or parameters, without their attributes and names."""
+    bare = lambda v: F.regexp_replace(v, rf"\b(?:{'|'.join(ATTRIBUTES)})\b", "")
+    value = r"\s+(?:[%@]\S+|-?\d\S*|null|undef|true|false|(?:getelementptr|bitcast|inttoptr)\b.*)\s*$"
+    return F.transform(values, lambda v: F.regexp_replace(F.btrim(F.regexp_replace(bare(v), value, "")), r"\s+", " "))
 
 
 def by_signature(m: Module) -> DataFrame:
-    """(module, func, ord, callee): for calls through pointers every defined function of as many parameters.
+    """(module, func, ord, callee): for calls through pointers every defined function with parameters of the same types.
 
     The coarse choice where nothing is known of what pointers point to.
     """
     indirect = m.instructions.where("opcode in ('call', 'invoke') and callee is null and text not like '% asm %'").select(
-        "module", "func", "ord", F.size("args").alias("n"))
-    able = m.functions.where("defined").select("module", F.col("func").alias("callee"), F.size("params").alias("n"))
-    return indirect.join(able, ["module", "n"]).select("module", "func", "ord", "callee").distinct()
+        "module", "func", "ord", types_of("args").alias("types"))
+    able = m.functions.where("defined").select("module", F.col("func").alias("callee"), types_of("params").alias("types"))
+    return indirect.join(able, ["module", "types"]).select("module", "func", "ord", "callee").distinct()
 
 
 def modified(m: Module, pts: DataFrame, indirect: DataFrame) -> DataFrame:

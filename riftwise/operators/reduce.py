@@ -7,52 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def explode_sequence(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """(keys, pos, ch) for each character of a column."""
-    chars = F.filter(F.split(seq, ""), lambda c: c != "")
-    return df.select(*keys, F.posexplode(chars).alias("pos", "ch"))
+def pair_changes(seq: Column) -> Column:
+    """A control sequence with deletions paired with later additions of the same chunk, first in first out.
 
+    ^ is a replaced line; additions that were paired are gone. Chunks lie between ~. An addition with no deletion
+    waiting is free, and all deletions before it are paired; so what is left of a chunk after its last free
+    addition is ^ for each pair and - for each deletion that still waits. A sequence stays in its row.
+    """
+    pairs = lambda a: F.concat(a["out"], F.repeat(F.lit("^"), a["paired"]), F.repeat(F.lit("-"), a["found"] - a["paired"]))
+    state = lambda out, found, paired: F.struct(out.alias("out"), found.alias("found"), paired.alias("paired"))
+    zero = F.lit(0)
 
-def pair_changes(chars: DataFrame, keys: list[str]) -> DataFrame:
-    """Pair deletions with later additions of the same chunk, first in first out.
+    def step(a, c):
+        return F.when(c == "-", state(a["out"], a["found"] + 1, a["paired"])).when(
+            a["paired"] < a["found"], state(a["out"], a["found"], a["paired"] + 1)).otherwise(
+            state(F.concat(a["out"], F.repeat(F.lit("^"), a["paired"]), F.lit("+")), zero, zero))
 
-    (keys, pos, ch) with ch in + - ^ ~: ^ is a replaced line, and additions that were paired are gone. Chunks lie
-    between ~. With +1 for - and -1 for +, an addition is unpaired where the running sum falls below all sums
-    before it; the others pair with the first deletions. Windows only, a chunk or a hunk each.
-    """
-    by_hunk = W.partitionBy(*keys).orderBy("pos")
-    x = chars.withColumn("chunk", F.sum(F.when(F.col("ch") == "~", 1).otherwise(0)).over(by_hunk))
-    chunk = W.partitionBy(*keys, "chunk")
-    run = chunk.orderBy("pos")
-    x = x.withColumn("s", F.sum(F.when(F.col("ch") == "-", 1).when(F.col("ch") == "+", -1).otherwise(0)).over(run))
-    low = F.min("s").over(run.rowsBetween(W.unboundedPreceding, -1))
-    x = x.withColumn("free", (F.col("ch") == "+") & (F.col("s") < F.least(F.coalesce(low, F.lit(0)), F.lit(0))))
-    x = x.withColumn("paired", F.sum(F.when((F.col("ch") == "+") & ~F.col("free"), 1).otherwise(0)).over(chunk))
-    x = x.withColumn("nth", F.sum(F.when(F.col("ch") == "-", 1).otherwise(0)).over(run))
-    x = x.where((F.col("ch") != "+") | F.col("free"))
-    replaced = (F.col("ch") == "-") & (F.col("nth") <= F.col("paired"))
-    return x.select(*keys, "pos", F.when(replaced, "^").otherwise(F.col("ch")).alias("ch"))
+    fold = lambda c: F.aggregate(F.split(c, ""), state(F.lit(""), zero, zero), step, pairs)
+    mixed = lambda c: c.contains("+") & c.contains("-")
+    return F.array_join(F.transform(F.split(seq, "~"), lambda c: F.when(mixed(c), fold(c)).otherwise(c)), "~")
 
 
-def modifications(paired: DataFrame, keys: list[str], start=None, rep_start=None) -> DataFrame:
+def modifications(hunks: DataFrame, keys: list[str], paired: Column, start=None, rep_start=None) -> DataFrame:
     """(keys, mod_idx, type, scope_begin, scope_end, rep_begin, rep_end) from runs of equal characters.
 
-    The old line advances on - ^ ~, the new line on + ^ ~; start and rep_start name columns with the hunk's
-    first lines, 1 without.
+    paired is a sequence that pair_changes() made. The old line advances on - ^ ~, the new line on + ^ ~; start
+    and rep_start name columns with the hunk's first lines, 1 without.
     """
-    w = W.partitionBy(*keys).orderBy("pos")
-    one = F.lit(1)
-    x = paired.withColumn("line", F.sum(F.when(F.col("ch") != "+", 1).otherwise(0)).over(w)
-                          + (F.col(start) if start else one) - 1)
-    x = x.withColumn("rep", F.sum(F.when(F.col("ch") != "-", 1).otherwise(0)).over(w)
-                     + (F.col(rep_start) if rep_start else one) - 1)
-    x = x.withColumn("run", F.sum(F.when(F.lag("ch").over(w) == F.col("ch"), 0).otherwise(1)).over(w))
-    runs = x.where("ch <> '~'").groupBy(*keys, "run").agg(
-        F.first("ch").alias("ch"), F.min("line").alias("scope_begin"), F.max("line").alias("scope_end"),
-        F.min("rep").alias("rep_begin"), F.max("rep").alias("rep_end"))
+    one = F.lit(1).cast("long")
+    x = hunks.select(*keys, (F.col(start).cast("long") if start else one).alias("_a"),
+                     (F.col(rep_start).cast("long") if rep_start else one).alias("_b"),
+                     F.posexplode(F.regexp_extract_all(paired, F.lit(r"(~+|\++|-+|\^+)"), F.lit(1))).alias("run", "text"))
+    x = x.select("*", F.substring("text", 1, 1).alias("ch"), F.length("text").cast("long").alias("n"))
+    w = W.partitionBy(*keys).orderBy("run")
+    line = F.sum(F.when(F.col("ch") != "+", F.col("n")).otherwise(0)).over(w) + F.col("_a") - 1
+    rep = F.sum(F.when(F.col("ch") != "-", F.col("n")).otherwise(0)).over(w) + F.col("_b") - 1
+    x = x.withColumn("line", line).withColumn("rep", rep).where("ch <> '~'")
     kind = F.when(F.col("ch") == "+", "ADD").when(F.col("ch") == "-", "DEL").otherwise("REP")
-    return runs.select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy("run")) - 1).alias("mod_idx"),
-                       kind.alias("type"), "scope_begin", "scope_end", "rep_begin", "rep_end")
+    first = lambda c, skip: F.when(F.col("ch") == skip, F.col(c)).otherwise(F.col(c) - F.col("n") + 1)
+    return x.select(*keys, (F.row_number().over(w) - 1).alias("mod_idx"), kind.alias("type"),
+                    first("line", "+").alias("scope_begin"), F.col("line").alias("scope_end"),
+                    first("rep", "-").alias("rep_begin"), F.col("rep").alias("rep_end"))
 
 
 def enclosing(mods: DataFrame, keys: list[str]) -> DataFrame:

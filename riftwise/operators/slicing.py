@@ -64,7 +64,7 @@ def dependences(m: Module, kinds: tuple[str, ...] = ("value", "memory", "argumen
     return out.where(F.col("kind").isin(*kinds))
 
 
-def slice_of(edges: DataFrame, criteria: DataFrame, forward: bool = True, max_rounds: int = 256) -> DataFrame:
+def slice_of(edges: DataFrame, criteria: DataFrame, forward: bool = True) -> DataFrame:
     """(module, func, ord) that depend on the criteria (module, func, ord), or with forward=False they depend on.
 
     Rounds extend what the last one found and stop when nothing is new; criteria are included.
@@ -73,14 +73,12 @@ def slice_of(edges: DataFrame, criteria: DataFrame, forward: bool = True, max_ro
     steps = materialize(edges.select("module", F.col(f"{near}_func").alias("func"), F.col(near).alias("ord"),
                                      F.col(f"{far}_func").alias("to_func"), F.col(far).alias("to_ord")).distinct(), "steps")
     found = new = materialize(criteria.select("module", "func", "ord").distinct(), "slice")
-    for _ in range(max_rounds):
+    while not new.isEmpty():
         ahead = new.join(steps, ["module", "func", "ord"]).select(
             "module", F.col("to_func").alias("func"), F.col("to_ord").alias("ord")).distinct()
         new = materialize(ahead.join(found, ["module", "func", "ord"], "left_anti"), "slice")
-        if new.isEmpty():
-            return found
-        found = materialize(found.unionByName(new), "slice")
-    raise RuntimeError(f"the slice did not settle in {max_rounds} rounds")
+        found = found.unionByName(new)  # only what a round finds is written
+    return found
 
 
 def risk_in_slice(touched: DataFrame, levels: DataFrame, edges: DataFrame) -> DataFrame:

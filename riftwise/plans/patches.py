@@ -59,14 +59,11 @@ def _touched(hunks: DataFrame, m: Module, strips: int) -> tuple[DataFrame, DataF
     """Modifications of hunks, and (patchname, chapter, hunk, module, func, linenumber, lastline) they touch."""
     hunks = hunks.where(P.src2obj(F.col("name")).isNotNull()).withColumn("name", P.renamed(F.col("name")))
     keys = [*HUNK, "start_line", "rep_start_line"]
-    mods = reduce.modifications(reduce.pair_changes(reduce.explode_sequence(hunks, keys, "ctrlseq"), keys), keys,
-                                "start_line", "rep_start_line")
+    mods = reduce.modifications(hunks, keys, reduce.pair_changes(F.col("ctrlseq")), "start_line", "rep_start_line")
     scopes = reduce.enclosing(mods, HUNK).select(*HUNK, F.col("rep_begin").alias("begin"), F.col("rep_end").alias("end"))
     sps = m.subprograms.withColumn("name", F.col("func")).withColumn("file_name", P.stripname(F.col("path"), strips))
     sps = match.fill_last_line(sps, ["module", "path"])
-    ranked = sps.select("file_name", "module").distinct()
-    first = ranked.groupBy("file_name").agg(F.min("module").alias("module"))
-    sps = sps.join(first, ["file_name", "module"])
+    sps = sps.join(match.first_module(sps), ["file_name", "module"])
     hit = match.match_functions(scopes.withColumn("file_name", F.col("name")).withColumnRenamed("name", "chapter_name"),
                                 sps, ["file_name"], ["patchname", "chapter", "hunk"])
     return mods, hit.select("patchname", "chapter", "hunk", "module", "func", "linenumber", "lastline")

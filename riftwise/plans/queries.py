@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from riftwise.functions import paths as P
 from riftwise.functions.names import demangle
-from riftwise.operators import cfg, cost, diff, graph, match, pointers, reduce, risk
+from riftwise.operators import cfg, cost, diff, graph, match, pointers, reduce, risk, slicing
 from riftwise.plans import patches
 from riftwise.sources import ir, text
 
@@ -61,9 +61,27 @@ def q02(t, spark):
     return risk.histogram(risked(t), "c_mktsegment")
 
 
-@query("q03_max_risk", f"WITH {RISKED} SELECT o_custkey, max(risk) AS max_risk FROM risked GROUP BY 1")
+#: Turns of a conversation depend on the turn before; each conversation is a function.
+TURNS = "turns AS (SELECT conv_id, turn, length(coalesce(text, '')) % 5 AS risk, role FROM conversations)"
+
+
+def turns(t) -> DataFrame:
+    return t("conversations").select(F.lit("m").alias("module"), F.col("conv_id").cast("string").alias("func"),
+                                     F.col("turn").alias("ord"), "role", (F.length(F.coalesce("text", F.lit(""))) % 5).alias("risk"))
+
+
+def turn_edges(t) -> DataFrame:
+    x = turns(t).select("module", F.col("func").alias("src_func"), F.col("ord").alias("src"))
+    return x.join(x.select(F.col("src_func").alias("dst_func"), F.col("src").alias("dst")),
+                  (F.col("src_func") == F.col("dst_func")) & (F.col("src") + 1 == F.col("dst")))
+
+
+@query("q03_max_risk", f"""WITH {TURNS}, run AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM turns)
+  SELECT conv_id::VARCHAR AS func, turn AS ord, max(risk) OVER (PARTITION BY conv_id, part ORDER BY turn DESC) AS risk FROM run""")
 def q03(t, spark):
-    return risked(t).groupBy("o_custkey").agg(F.max("risk").alias("max_risk"))
+    """The greatest risk of what depends on each turn."""
+    got = slicing.risk_in_slice(turns(t), turns(t), turn_edges(t))
+    return got.select("func", "ord", F.col("risk").cast("long").alias("risk"))
 
 
 @query("q04_profile_semi", """SELECT l_returnflag, count(*) AS n FROM lineitem
@@ -147,12 +165,9 @@ def q11(t, spark):
     return match.innermost(x, ["event_id"], "b", "e").select("event_id", "scope")
 
 
-@query("q12_first_module_wins", """
-WITH c AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS r FROM supplier)
-SELECT c_custkey, s_suppkey FROM customer LEFT JOIN c ON c_nationkey = s_nationkey AND r = 1""")
+@query("q12_first_module_wins", "SELECT s_nationkey::VARCHAR AS file_name, min(s_name) AS module FROM supplier GROUP BY 1")
 def q12(t, spark):
-    first = t("supplier").groupBy("s_nationkey").agg(F.min_by("s_suppkey", F.struct("s_name", "s_suppkey")).alias("s_suppkey"))
-    return t("customer").join(first, F.col("c_nationkey") == F.col("s_nationkey"), "left").select("c_custkey", "s_suppkey")
+    return match.first_module(t("supplier").select(F.col("s_nationkey").cast("string").alias("file_name"), F.col("s_name").alias("module")))
 
 
 @query("q13_lastline_fill", """SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN event_id + 5 END,
@@ -163,12 +178,12 @@ def q13(t, spark):
     return match.fill_last_line(x, ["user_id"]).select("event_id", "lastline")
 
 
-@query("q14_block_scope", """SELECT user_id, event_type, arg_min(event_id, event_id) AS b, arg_max(round(value)::BIGINT, event_id) AS e,
-  max(round(value)::BIGINT) AS top FROM events GROUP BY 1, 2""")
+@query("q14_block_scope", """SELECT user_id::VARCHAR AS module, 'f' AS func, event_type AS bb, arg_min(v, event_id) AS first, arg_max(v, event_id) AS last
+  FROM (SELECT *, round(value)::BIGINT AS v FROM events) GROUP BY 1, 3""")
 def q14(t, spark):
-    v = F.round("value").cast("long")
-    return t("events").groupBy("user_id", "event_type").agg(
-        F.min("event_id").alias("b"), F.max_by(v, "event_id").alias("e"), F.max(v).alias("top"))
+    return match.block_scopes(t("events").select(
+        F.col("user_id").cast("string").alias("module"), F.lit("f").alias("func"), F.col("event_type").alias("bb"),
+        F.col("event_id").alias("ord"), F.round("value").cast("long").alias("line")))
 
 
 @query("q15_ordered_line_match", """
@@ -186,8 +201,8 @@ def q15(t, spark):
 #: Vowels are deletions, white space context, other characters additions.
 CHARS = """
 chars AS (SELECT doc_id, unnest(range(1, length(seq) + 1)) AS pos, unnest(string_split(seq, '')) AS ch FROM (
-  SELECT doc_id, translate(regexp_replace(regexp_replace(lower(text), '[^aeiou \n]', '+', 'g'), '[aeiou]', '-', 'g'), ' ' || chr(10), '~~') AS seq
-  FROM documents WHERE text <> '')),
+  SELECT doc_id, translate(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^aeiou \n]', '+', 'g'), '[aeiou]', '-', 'g'), ' ' || chr(10), '~~') AS seq
+  FROM documents)),
 chunks AS (SELECT *, sum((ch = '~')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM chars),
 summed AS (SELECT *, sum(CASE ch WHEN '-' THEN 1 WHEN '+' THEN -1 ELSE 0 END) OVER w AS s, sum((ch = '-')::INT) OVER w AS nth
   FROM chunks WINDOW w AS (PARTITION BY doc_id, chunk ORDER BY pos)),
@@ -204,26 +219,27 @@ mods AS (SELECT doc_id, run, CASE any_value(ch) WHEN '+' THEN 'ADD' WHEN '-' THE
 
 
 def paired(t) -> DataFrame:
-    seq = F.translate(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^aeiou \n]", "+"), "[aeiou]", "-"), " \n", "~~")
-    x = t("documents").where("text <> ''").select("doc_id", seq.alias("seq"))
-    return reduce.pair_changes(reduce.explode_sequence(x, ["doc_id"], "seq"), ["doc_id"])
+    text = F.lower(F.coalesce("text", F.lit("")))
+    seq = F.translate(F.regexp_replace(F.regexp_replace(text, r"[^aeiou \n]", "+"), "[aeiou]", "-"), " \n", "~~")
+    return t("documents").select("doc_id", reduce.pair_changes(seq).alias("seq"))
 
 
 @query("q16_ctrlseq_reduce", f"""WITH {CHARS} SELECT doc_id, count(*) FILTER (ch = '^') AS rep, count(*) FILTER (ch = '-') AS del,
-  count(*) FILTER (ch = '+') AS add FROM paired GROUP BY 1""")
+  count(*) FILTER (ch = '+') AS add FROM documents LEFT JOIN paired USING (doc_id) GROUP BY 1""")
 def q16(t, spark):
-    return paired(t).groupBy("doc_id").agg(*[F.count_if(F.col("ch") == c).alias(n) for c, n in (("^", "rep"), ("-", "del"), ("+", "add"))])
+    n = lambda c: (F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))).cast("long")
+    return paired(t).select("doc_id", n("^").alias("rep"), n("-").alias("del"), n("+").alias("add"))
 
 
 @query("q17_mods_scopes", f"""WITH {MODS} SELECT doc_id, arg_min(sb, run)::BIGINT AS scope_begin, arg_max(se, run)::BIGINT AS scope_end,
   arg_min(rb, run)::BIGINT AS rep_begin, arg_max(re, run)::BIGINT AS rep_end FROM mods GROUP BY 1""")
 def q17(t, spark):
-    return reduce.enclosing(reduce.modifications(paired(t), ["doc_id"]), ["doc_id"])
+    return reduce.enclosing(reduce.modifications(paired(t), ["doc_id"], F.col("seq")), ["doc_id"])
 
 
 @query("q18_modtype_counts", f"WITH {MODS} SELECT type, count(*) AS n FROM mods GROUP BY 1")
 def q18(t, spark):
-    return reduce.modifications(paired(t), ["doc_id"]).groupBy("type").agg(F.count("*").alias("n"))
+    return reduce.modifications(paired(t), ["doc_id"], F.col("seq")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 PATH = "regexp_extract(url, '://[^/]*(/[^?#]*)', 1)"
@@ -285,19 +301,22 @@ def q26(t, spark):
     return files(t).groupBy(P.issource(F.col("f")).alias("source"), P.ignored(F.col("f")).alias("ignored")).agg(F.count("*").alias("n"))
 
 
-@query("q27_run_counters", """SELECT count(*) AS total, count(*) FILTER (lang <> 'en') AS foreign_, count(*) FILTER (n_chars < 100) AS short_,
-  count(*) FILTER (coalesce(text, '') = '') AS empty_ FROM documents""")
+@query("q27_run_counters", """SELECT count(*) AS total, count(*) FILTER (p_size % 4 = 1) AS non_source, count(*) FILTER (p_size % 4 = 2) AS deleted,
+  count(*) FILTER (p_size % 4 = 3) AS created FROM part""")
 def q27(t, spark):
-    return t("documents").agg(F.count("*").alias("total"), F.count_if(F.col("lang") != "en").alias("foreign_"),
-                              F.count_if(F.col("n_chars") < 100).alias("short_"), F.count_if(P.isempty(F.col("text"))).alias("empty_"))
+    status = F.element_at(F.array(*map(F.lit, ("source", "non-source", "deleted", "created"))), F.col("p_size") % 4 + 1)
+    return text.run_counters(t("part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("chapter"), status.alias("status")))
 
 
-@query("q28_segment_ffill", """SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS)
-  OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations""")
+@query("q28_segment_ffill", """SELECT c_nationkey::VARCHAR AS file, ['SYSCALL', 'LOCKCALL', 'EXPCALL', 'FREQCALL'][c_custkey % 4 + 1] AS segment,
+  c_name AS func FROM customer""")
 def q28(t, spark):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").select("conv_id", "turn", F.last(
-        F.when(F.col("turn") % 3 == 0, F.col("role")), True).over(w).alias("segment"))
+    """A profile for each nation, with a segment for each fourth of its customers."""
+    kind = F.element_at(F.array(*map(F.lit, text.KINDS)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    parts = t("customer").groupBy("c_nationkey", kind.alias("kind")).agg(F.array_join(F.sort_array(F.collect_list("c_name")), "\n").alias("names"))
+    one = F.concat(F.lit("====\n"), "kind", F.lit("\n====\n"), "names")
+    texts = parts.groupBy(F.col("c_nationkey").cast("string").alias("file")).agg(F.array_join(F.sort_array(F.collect_list(one)), "\n").alias("value"))
+    return text.read_profile(text.split_lines(texts))
 
 
 @query("q29_module_diff", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side
@@ -311,40 +330,49 @@ def q29(t, spark):
 @query("q30_anti_left", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q30(t, spark):
     urgent = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return t("customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
+    return diff.module_diff(t("customer"), urgent, "c_custkey").where("side = 'left'").select("c_custkey")
 
 
 @query("q31_anti_right", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q31(t, spark):
-    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id")
+    return diff.module_diff(t("labels"), t("documents"), "doc_id").where("side = 'right'").select("doc_id")
 
 
-EDGES = "e AS (SELECT DISTINCT (o_custkey % 40)::BIGINT AS src, (o_orderkey % 37)::BIGINT AS dst FROM orders WHERE o_totalprice > 300000 AND o_custkey % 40 <> o_orderkey % 37)"
+#: Turns as nodes of a graph: an edge leads from each to the next, and from the last of every second conversation to its first.
+NODES = "n AS (SELECT conv_id, conv_id * 100000 + turn AS node FROM conversations)"
+EDGES = f"""{NODES}, e AS (SELECT lag(node) OVER (PARTITION BY conv_id ORDER BY node) AS src, node AS dst FROM n)"""
 
 
 def edges(t) -> DataFrame:
-    return t("orders").where("o_totalprice > 300000 and o_custkey % 40 <> o_orderkey % 37").select(
-        (F.col("o_custkey") % 40).alias("src"), (F.col("o_orderkey") % 37).alias("dst")).distinct()
+    node = (F.col("conv_id") * 100000 + F.col("turn")).alias("dst")
+    return t("conversations").select(F.lag(node).over(W.partitionBy("conv_id").orderBy(node)).alias("src"), node).where("src is not null")
 
 
-@query("q32_closure", f"WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT * FROM r")
+@query("q32_closure", f"WITH {NODES} SELECT a.node AS src, b.node AS dst FROM n a JOIN n b USING (conv_id) WHERE a.node < b.node")
 def q32(t, spark):
     return graph.closure(edges(t))
 
 
-@query("q33_bounded_reach", f"""WITH RECURSIVE {EDGES}, r AS (SELECT 0::BIGINT AS node, 0 AS level
-  UNION SELECT e.dst, level + 1 FROM r JOIN e ON r.node = e.src WHERE level < 3) SELECT node, min(level) AS level FROM r GROUP BY 1""")
+@query("q33_bounded_reach", f"""WITH {NODES} SELECT node, level FROM (SELECT node, (row_number() OVER w - 1)::INT AS level, count(*) OVER (PARTITION BY conv_id) AS c
+  FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY node)) WHERE level <= 3 AND c > 1""")
 def q33(t, spark):
-    return graph.bounded_reach(edges(t), spark.range(1).select(F.col("id").alias("node")), 3)
+    return graph.bounded_reach(edges(t), graph.roots(edges(t)), 3)
 
 
-@query("q34_longest_path", """WITH RECURSIVE e AS (SELECT DISTINCT (o_custkey % 12)::BIGINT AS src, (o_orderkey % 12)::BIGINT AS dst
-  FROM orders WHERE o_custkey % 12 < o_orderkey % 12), r AS (SELECT i AS node, i + 1 AS total FROM range(12) x(i)
-  UNION SELECT e.dst, total + e.dst + 1 FROM r JOIN e ON r.node = e.src) SELECT node, max(total) AS total FROM r GROUP BY 1""")
+@query("q34_longest_path", """SELECT 'o' || o_orderkey AS node, round(c_acctbal)::BIGINT + 1000 + c_nationkey + 5 AS total
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE round(c_acctbal)::BIGINT + 1000 + c_nationkey > 0
+  UNION ALL SELECT 'o' || o_orderkey, 5 FROM orders JOIN customer ON o_custkey = c_custkey WHERE round(c_acctbal)::BIGINT + 1000 + c_nationkey <= 0
+  UNION ALL SELECT 'c' || c_custkey, round(c_acctbal)::BIGINT + 1000 + c_nationkey FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, 1000 + n_nationkey FROM nation""")
 def q34(t, spark):
-    e = t("orders").where("o_custkey % 12 < o_orderkey % 12").select(
-        (F.col("o_custkey") % 12).alias("src"), (F.col("o_orderkey") % 12).alias("dst")).distinct()
-    return graph.longest_path(e, spark.range(12).select(F.col("id").alias("node"), (F.col("id") + 1).alias("cost")))
+    """Nations lead to their customers, customers to their orders."""
+    key = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    e = t("customer").select(key("n", "c_nationkey").alias("src"), key("c", "c_custkey").alias("dst")).unionByName(
+        t("orders").select(key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst")))
+    costs = t("nation").select(key("n", "n_nationkey").alias("node"), (F.col("n_nationkey") + 1000).cast("long").alias("cost")).unionByName(
+        t("customer").select(key("c", "c_custkey").alias("node"), F.round("c_acctbal").cast("long").alias("cost"))).unionByName(
+        t("orders").select(key("o", "o_orderkey").alias("node"), F.lit(5).cast("long").alias("cost")))
+    return graph.longest_path(e, costs)
 
 
 @query("q35_outermost_loop", "SELECT 'c' || c_custkey AS node, 'r' || n_regionkey AS root FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -364,9 +392,12 @@ def q36(t, spark):
     return x.groupBy("cost").agg(F.count("*").alias("n"))
 
 
-@query("q37_known_cost_sum", "SELECT l_orderkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT END)::BIGINT AS cost FROM lineitem GROUP BY 1")
+@query("q37_known_cost_sum", """SELECT l_orderkey::VARCHAR AS module, 'f' AS func, l_returnflag AS bb,
+  coalesce(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT END), 0)::BIGINT AS cost FROM lineitem GROUP BY 1, 3""")
 def q37(t, spark):
-    return t("lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("long"))).alias("cost"))
+    return cost.block_cost(t("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("module"), F.lit("f").alias("func"), F.col("l_returnflag").alias("bb"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("long")).alias("cost")))
 
 
 @query("q38_sensitive_branch", """SELECT l_orderkey, count(*) FILTER (l_quantity > 40) <> 0 AND count(*) FILTER (l_quantity > 40) <> count(DISTINCT l_suppkey) AS sensitive
@@ -376,33 +407,12 @@ def q38(t, spark):
         F.count_if(F.col("l_quantity") > 40), F.countDistinct("l_suppkey")).alias("sensitive"))
 
 
-SSA = "ssa AS (SELECT lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS src, event_id AS dst FROM events)"
-
-
-def ssa(t) -> DataFrame:
-    w = W.partitionBy("user_id", "event_type").orderBy("event_id")
-    return t("events").select(F.lag("event_id").over(w).alias("src"), F.col("event_id").alias("dst")).where("src is not null")
-
-
-@query("q39_ssa_edges", f"WITH {SSA} SELECT * FROM ssa WHERE src IS NOT NULL")
-def q39(t, spark):
-    return ssa(t)
-
-
-@query("q40_slice_reach", f"""WITH RECURSIVE {SSA}, r AS (SELECT event_id AS node, 0 AS level FROM events WHERE event_id % 100 = 0
-  UNION SELECT dst, level + 1 FROM r JOIN ssa ON node = src WHERE level < 4) SELECT node, min(level) AS level FROM r GROUP BY 1""")
+@query("q40_slice_reach", f"""WITH {TURNS}, run AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM turns),
+  x AS (SELECT *, max((risk = 4)::INT) OVER (PARTITION BY conv_id, part ORDER BY turn) AS hit FROM run)
+  SELECT conv_id::VARCHAR AS func, turn AS ord FROM x WHERE hit = 1""")
 def q40(t, spark):
-    seeds = t("events").where("event_id % 100 = 0").select(F.col("event_id").alias("node"))
-    return graph.bounded_reach(ssa(t), seeds, 4)
-
-
-@query("q41_mod_set", f"""WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
-  w AS (SELECT DISTINCT (o_custkey % 40)::BIGINT AS f, o_orderpriority AS val FROM orders WHERE o_totalprice > 450000)
-  SELECT DISTINCT src AS f, val FROM (SELECT src, dst FROM r UNION SELECT f, f FROM w) JOIN w ON dst = f""")
-def q41(t, spark):
-    w = t("orders").where("o_totalprice > 450000").select((F.col("o_custkey") % 40).alias("f"), F.col("o_orderpriority").alias("val")).distinct()
-    called = graph.closure(edges(t)).select("src", F.col("dst").alias("f")).join(w, "f").select(F.col("src").alias("f"), "val")
-    return called.unionByName(w).distinct()
+    """What depends on turns of the greatest risk."""
+    return slicing.slice_of(turn_edges(t), turns(t).where("risk = 4")).select("func", "ord")
 
 
 @query("q42_points_to")
@@ -422,19 +432,16 @@ def q43(t, spark):
     return diff.block_diff(a.join(b, "id"))
 
 
-@query("q44_equivalence_classes", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 5000 + 1000000 AS b FROM orders WHERE o_totalprice > 480000),
-  s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.a, r.c FROM r JOIN s ON r.node = s.b)
-  SELECT node, min(c) AS component FROM r GROUP BY 1""")
+@query("q44_equivalence_classes", f"""WITH {NODES} SELECT node, min(node) OVER (PARTITION BY conv_id) AS component FROM n
+  QUALIFY count(*) OVER (PARTITION BY conv_id) > 1""")
 def q44(t, spark):
-    return graph.components(t("orders").where("o_totalprice > 480000").select(
-        F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 5000 + 1000000).alias("dst")).distinct())
+    return graph.components(edges(t))
 
 
-@query("q45_strip_count", """WITH x AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, min(url) AS lo, max(url) AS hi FROM pages GROUP BY 1)
-  SELECT host, len(string_split(lo[1:list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda i: lo[1:i] = hi[1:i]))], '/')) - 1 AS strips FROM x""")
+@query("q45_strip_count", """SELECT p_partkey, [4, 4, 4 - 1, 3 - 2][p_size % 4 + 1] AS strips FROM part""")
 def q45(t, spark):
-    x = t("pages").groupBy(F.regexp_extract("url", "://([^/]*)", 1).alias("host")).agg(F.min("url").alias("lo"), F.max("url").alias("hi"))
-    return x.select("host", P.countchr(P.common_prefix(F.col("lo"), F.col("hi")), "/").alias("strips"))
+    root = F.element_at(F.array(F.lit("/a/b/c"), F.lit("/a/b/c/"), F.lit("/a/b/src/"), F.lit("/a/innodb_plugin")), F.col("p_size") % 4 + 1)
+    return t("part").select("p_partkey", P.count_strips(root).alias("strips"))
 
 
 @query("q46_demangle", """
@@ -449,16 +456,15 @@ def q46(t, spark):
 @query("q47_instruction_cost", """
 SELECT opcode, type, count(*) AS n, CAST(sum(CASE
     WHEN opcode = 'br' THEN 1 WHEN opcode = 'alloca' THEN 0 WHEN opcode = 'getelementptr' THEN -1
-    WHEN opcode = 'sdiv' AND type = '<8 x i32>' THEN 24
+    WHEN opcode = 'sdiv' AND type = '<8 x i32>' THEN 24 WHEN opcode = 'sdiv' AND type = '<4 x i32>' THEN 12
     WHEN type = 'i128' THEN 2 WHEN type = '<8 x i32>' THEN 2 ELSE 1 END) AS BIGINT) AS cost
 FROM (SELECT ['add', 'sdiv', 'icmp', 'load', 'br', 'alloca', 'getelementptr'][CAST(l_partkey % 7 AS INT) + 1] AS opcode,
-             ['i32', 'i128', '<4 x float>', '<8 x i32>'][CAST(l_suppkey % 4 AS INT) + 1] AS type FROM lineitem
-      WHERE NOT (l_partkey % 7 = 1 AND l_suppkey % 4 = 2)) GROUP BY 1, 2""")
+             ['i32', 'i128', '<4 x i32>', '<8 x i32>'][CAST(l_suppkey % 4 AS INT) + 1] AS type FROM lineitem) GROUP BY 1, 2""")
 def q47(t, spark):
     pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names)).cast("int") + 1)
-    ops = t("lineitem").where("not (l_partkey % 7 = 1 and l_suppkey % 4 = 2)").select(
+    ops = t("lineitem").select(
         pick(("add", "sdiv", "icmp", "load", "br", "alloca", "getelementptr"), "l_partkey").alias("opcode"),
-        pick(("i32", "i128", "<4 x float>", "<8 x i32>"), "l_suppkey").alias("type"))
+        pick(("i32", "i128", "<4 x i32>", "<8 x i32>"), "l_suppkey").alias("type"))
     costed = cost.with_raw_cost(ops.withColumns({"to_type": F.lit(None).cast("string"), "args": F.array()}))
     return costed.groupBy("opcode", "type").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
 
@@ -491,12 +497,12 @@ def q49(t, spark):
     return patches.static_profile(ir.read_ir(text.split_lines(modules(t))))
 
 
-@query("q50_strong_components", f"""WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
-  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-  c AS (SELECT a.src AS node, min(a.dst) AS low FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
-  SELECT node, least(node, coalesce(low, node)) AS component FROM n LEFT JOIN c USING (node)""")
+@query("q50_strong_components", f"""WITH {NODES} SELECT node, CASE WHEN conv_id % 2 = 0 THEN min(node) OVER (PARTITION BY conv_id) ELSE node END AS component FROM n
+  QUALIFY count(*) OVER (PARTITION BY conv_id) > 1""")
 def q50(t, spark):
-    return graph.strong_components(edges(t))
+    """The last turn of every second conversation leads back to its first."""
+    ends = edges(t).groupBy(F.floor(F.col("dst") / 100000).alias("c")).agg(F.max("dst").alias("src"), F.min("src").alias("dst"))
+    return graph.strong_components(edges(t).unionByName(ends.where("c % 2 = 0").select("src", "dst")))
 
 
 LEVELS = " || ".join(f"chr(10) || '{name}:' || chr(9) || risk_{k}" for k, name in enumerate(risk.RISKS))
@@ -582,3 +588,150 @@ def q58(t, spark):
     x = t("events").select("event_id", "user_id", F.col("event_id").alias("ord"),
                            (F.round("value").cast("long") % 50).alias("line"))
     return match.match_in_order(x, ["user_id"], F.lit(3), F.lit(40), F.lit(10)).select("event_id", "user_id", "line")
+
+
+#: Code of each customer: a call for each order, of which those of odd keys take the value of the one before.
+CODE = """
+rows AS (SELECT o_custkey AS k, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS status, o_orderkey,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+chained AS (SELECT *, i > 1 AND o_orderkey % 2 = 1 AS chained FROM rows)"""
+HEAD, OTHER = "src/c", "9"
+
+
+def code(t, changed: bool = False) -> DataFrame:
+    """IR of a module for each customer, with its debug metadata; changed: orders of status P call another function."""
+    p = F.substring("o_orderpriority", 1, 1)
+    called = F.when((F.col("o_orderstatus") == "P") & F.lit(changed), OTHER).otherwise(p)
+    rows = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", called.alias("p")))).alias("all"))
+    text_ = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    s = lambda c: c.cast("string")
+    k = s(F.col("o_custkey"))
+    calls = F.transform("all", lambda o, i: text_(
+        "  %v", s(i + 1), " = call i32 @prio_", o["p"], "(i32 %",
+        F.when((i > 0) & (o["o_orderkey"] % 2 == 1), F.concat(F.lit("v"), s(i))).otherwise("a"), "), !dbg !", s(i + 101)))
+    places = F.transform(F.sequence(F.lit(1), F.size("all") + 1), lambda i: text_(
+        "!", s(i + 100), " = metadata !{i32 ", s(i + 10), ", i32 3, metadata !1, null}"))
+    known = F.transform(F.array_distinct("all.p"), lambda x: text_("declare i32 @prio_", x, "(i32)"))
+    n = F.size("all")
+    return rows.select(k.alias("file"), text_(
+        "define i32 @f_", k, "(i32 %a) nounwind {\nentry:\n", F.array_join(calls, "\n"), "\n  ret i32 %v", s(n), ", !dbg !", s(n + 101),
+        "\n}\n\n", F.array_join(known, "\n"),
+        "\n\n!0 = metadata !{i32 720913, i32 0, i32 12, metadata !\"src/c", k, ".c\", metadata !\"/b\", metadata !\"cc\", i1 true}\n",
+        "!1 = metadata !{i32 720942, i32 0, metadata !2, metadata !\"f_", k, "\", metadata !\"f_", k, "\", metadata !\"\", metadata !2, i32 10, ",
+        "metadata !3, i1 false, i1 true, i32 0, i32 0, i32 0, i32 256, i1 false, i32 (i32)* @f_", k, ", null, null, metadata !4}\n",
+        "!2 = metadata !{i32 720937, metadata !\"src/c", k, ".c\", metadata !\"/b\", null}\n", F.array_join(places, "\n")).alias("value"))
+
+
+def module_of(t, changed: bool = False):
+    return ir.settled(ir.read_ir(text.split_lines(code(t, changed))))
+
+
+@query("q39_ssa_edges", f"""WITH {CODE} SELECT k::VARCHAR AS module, 'f_' || k AS func, i - 1 AS src, i AS dst FROM chained WHERE chained
+  UNION ALL SELECT k::VARCHAR, 'f_' || k, n, n + 1 FROM chained WHERE i = n""")
+def q39(t, spark):
+    got = slicing.value_edges(ir.read_ir(text.split_lines(code(t))))
+    return got.select("module", F.col("src_func").alias("func"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
+@query("q59_patch_risk", f"""WITH {CODE}, hot AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+  SELECT 'f_' || k AS func, 1 + (p IN ('1', '2'))::INT + CASE WHEN c_custkey IS NOT NULL THEN 2 ELSE 1 END AS risk, count(*) AS n
+  FROM chained LEFT JOIN hot ON k = c_custkey WHERE status = 'O' GROUP BY 1, 2""")
+def q59(t, spark):
+    """Risk of a patch that adds the lines of open orders: from compact patch, IR and profile to levels."""
+    rows = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "O", "+").otherwise("~").alias("ch")))).alias("all"))
+    k = F.col("o_custkey").cast("string")
+    patch = rows.select(k.alias("file"), F.concat(F.lit("****\np"), k, F.lit("\n====\nsrc/c"), k, F.lit(".c\n####11,11\n"),
+                                                  F.array_join("all.ch", "")).alias("value"))
+    profile = spark.createDataFrame([("EXPCALL", "prio_1"), ("LOCKCALL", "prio_2")], "segment string, func string").unionByName(
+        t("customer").where("c_mktsegment = 'BUILDING'").select(F.lit("FREQCALL").alias("segment"), F.concat(F.lit("f_"), "c_custkey").alias("func")))
+    found = patches.assess(text.read_id(text.split_lines(patch)), module_of(t), profile, 2)
+    return found.groupBy("func", "risk").agg(F.count("*").alias("n"))
+
+
+@query("q60_patch_compile", """
+WITH rows AS (SELECT o_custkey AS k, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+SELECT k::VARCHAR AS file, 'src/c' || k || '.c' AS name, 'source' AS status, i::INT AS hunk, (10 * i)::INT AS start_line, (10 * i + 1)::INT AS rep_start_line,
+  CASE o_orderstatus WHEN 'O' THEN '~-+~' WHEN 'F' THEN '~+' ELSE '-~' END AS ctrlseq FROM rows""")
+def q60(t, spark):
+    """A unified diff for each customer, a hunk for each order; lines of some look like headers."""
+    rows = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("all"))
+    k = F.col("o_custkey").cast("string")
+
+    def hunk(o, i):
+        at = lambda c, n: F.concat((10 * (i + 1) + c).cast("string"), F.lit(f",{n}"))
+        mark = lambda b, d: F.concat(F.lit("@@ -"), at(0, b), F.lit(" +"), at(1, d), F.lit(" @@ main\n"))
+        return F.when(o["o_orderstatus"] == "O", F.concat(mark(3, 3), F.lit(" x\n--- a\n+++ b\n y"))).when(
+            o["o_orderstatus"] == "F", F.concat(mark(1, 2), F.lit(" x\n+++ c"))).otherwise(F.concat(mark(2, 1), F.lit("--- d\n z")))
+
+    patch = rows.select(k.alias("file"), F.concat(
+        F.lit("diff of c"), k, F.lit("\n--- src/c"), k, F.lit(".c\t2020-05-04 03:02:01\n+++ src/c"), k, F.lit(".c\t2020-05-04 03:02:02\n"),
+        F.array_join(F.transform("all", hunk), "\n")).alias("value"))
+    return text.compile_patch(text.split_lines(patch)).drop("chapter").withColumn("hunk", F.col("hunk").cast("int"))
+
+
+@query("q61_function_diff", f"""WITH {CODE} SELECT k::VARCHAR AS module, 'f_' || k AS func,
+  CASE WHEN bool_or(status = 'P') THEN 'changed' ELSE 'same' END AS status, count(*) FILTER (status <> 'P') + 1 AS matched,
+  count(*) FILTER (status = 'P') AS differ FROM chained GROUP BY k""")
+def q61(t, spark):
+    a, b = module_of(t), module_of(t, True)
+    return diff.function_diff(a.instructions, b.instructions, a.functions, b.functions).where("func like 'f\\_%'")
+
+
+@query("q62_ir_units", "SELECT DISTINCT o_custkey::VARCHAR AS module, '/b#src/c' || o_custkey || '.c' AS unit FROM orders")
+def q62(t, spark):
+    return patches.list_units(ir.read_ir(text.split_lines(code(t))))
+
+
+@query("q63_touched_functions", f"""WITH {CODE} SELECT 'f_' || k AS func, 10 AS linenumber, max(11 + n)::INT AS lastline FROM chained WHERE i = 1 GROUP BY k""")
+def q63(t, spark):
+    hunks = t("orders").select(F.lit("p").alias("patchname"), F.dense_rank().over(W.partitionBy("o_custkey").orderBy(F.lit(1))).alias("chapter"),
+                               F.concat(F.lit("src/c"), "o_custkey", F.lit(".c")).alias("name"), F.col("o_custkey").alias("hunk"),
+                               F.lit(11).alias("start_line"), F.lit(11).alias("rep_start_line"), F.lit("-+").alias("ctrlseq")).distinct()
+    return patches.touched_functions(hunks.withColumn("chapter", F.col("hunk")), module_of(t), 2).select("func", "linenumber", "lastline")
+
+
+@query("q64_ir_subprograms", f"""WITH {CODE} SELECT k::VARCHAR AS module, '/b/src/c' || k || '.c' AS path, 'f_' || k AS name, 10 AS linenumber,
+  (11 + n)::INT AS lastline FROM chained WHERE i = 1""")
+def q64(t, spark):
+    return ir.read_ir(text.split_lines(code(t))).subprograms.select("module", "path", "name", "linenumber", "lastline")
+
+
+def branches(t):
+    """IR for each nation: a loop around a branch, whose blocks hold as many calls as its keys say."""
+    call = "  call void @g()\n"
+    many = lambda c: F.repeat(F.lit(call), (F.col(c) % 5).cast("int"))
+    return t("nation").select(F.col("n_name").alias("file"), F.concat(
+        F.lit("define void @f(i1 %p, i1 %q) {\nentry:\n  br label %head\n\nhead:\n  br i1 %p, label %then, label %else\n\nthen:\n"), many("n_nationkey"),
+        F.lit("  br label %next\n\nelse:\n"), many("n_regionkey"),
+        F.lit("  br label %next\n\nnext:\n  br i1 %q, label %head, label %out\n\nout:\n  ret void\n}\n\ndeclare void @g()\n")).alias("value"))
+
+
+@query("q65_control_dependences", """SELECT n_name AS module, 'f' AS func, unnest(['then', 'else', 'head', 'next']) AS bb,
+  unnest(['head', 'head', 'next', 'next']) AS decider FROM nation""")
+def q65(t, spark):
+    m = ir.read_ir(text.split_lines(branches(t)))
+    return cfg.control_dependences(m.instructions, m.edges)
+
+
+@query("q66_loop_cost", """SELECT n_name AS module, 'f' AS func, 'head' AS header, (4 + n_nationkey % 5 + n_regionkey % 5)::BIGINT AS cost FROM nation""")
+def q66(t, spark):
+    m = ir.read_ir(text.split_lines(branches(t)))
+    return cost.loop_cost(cost.with_cost(m.instructions), cfg.loops(m.instructions, m.edges))
+
+
+@query("q67_dominators", """SELECT n_name AS module, 'f' AS func, unnest(['entry', 'head', 'then', 'else', 'next', 'out']) AS bb,
+  unnest([NULL, 'entry', 'head', 'head', 'head', 'next']) AS idom, unnest([0, 1, 2, 2, 2, 3]) AS depth FROM nation""")
+def q67(t, spark):
+    m = ir.read_ir(text.split_lines(branches(t)))
+    return cfg.dominators(m.instructions, m.edges)
+
+
+@query("q68_indirect_by_type", """SELECT n_name AS module, 'c' AS func, CASE WHEN n_regionkey % 2 = 0 THEN 'one' ELSE 'two' END AS callee FROM nation""")
+def q68(t, spark):
+    """A call through a pointer: of two functions of one parameter each, the type tells."""
+    arg = F.when(F.col("n_regionkey") % 2 == 0, "i32 7").otherwise("i8* null")
+    value = F.concat(F.lit("define void @one(i32 %a) {\n  ret void\n}\n\ndefine void @two(i8* nocapture %b) {\n  ret void\n}\n\n"
+                           "define void @c(void (i32)* %f, i64 %n) {\n  call void %f("), arg, F.lit(")\n  ret void\n}\n"))
+    m = ir.read_ir(text.split_lines(t("nation").select(F.col("n_name").alias("file"), value.alias("value"))))
+    return pointers.by_signature(m).select("module", "func", "callee")

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from riftwise.functions.paths import issource
 
+#: The line that starts a hunk of a unified diff (fixed format).
+MARK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 KINDS = ("SYSCALL", "LOCKCALL", "EXPCALL", "FREQCALL")
 
 
@@ -25,30 +27,52 @@ def _w(*keys):
     return W.partitionBy(*keys).orderBy("pos")
 
 
+def _counts():
+    """Numbers in the mark of a hunk: old line and count, new line and count."""
+    num = lambda g: F.regexp_extract("line", MARK, g)
+    count = lambda g: F.when(num(g) == "", "1").otherwise(num(g)).cast("int")
+    return num(1).cast("int"), count(2), num(3).cast("int"), count(4)
+
+
+def _in_hunks(lines: DataFrame) -> DataFrame:
+    """lines with old_left and new_left: old and new lines that the hunk around each line still calls for, 0 outside."""
+    is_mark = F.col("line").rlike(MARK)
+    _, old, _, new = _counts()
+    x = lines.withColumn("_h", F.sum(is_mark.cast("int")).over(_w("file")))
+    of = W.partitionBy("file", "_h")
+    before = _w("file", "_h").rowsBetween(W.unboundedPreceding, -1)
+    sign = F.substring("line", 1, 1)
+    used = lambda *signs: F.coalesce(F.sum(F.when(~is_mark & sign.isin(*signs), 1).otherwise(0)).over(before), F.lit(0))
+    left = lambda n, *signs: F.when((F.col("_h") > 0) & ~is_mark, F.max(F.when(is_mark, n)).over(of) - used(*signs)).otherwise(0)
+    return x.select("file", "pos", "line", left(old, " ", "", "-").alias("old_left"), left(new, " ", "", "+").alias("new_left"))
+
+
 def compile_patch(lines: DataFrame) -> DataFrame:
     """Hunks of unified diffs: (file, chapter, name, status, hunk, start_line, rep_start_line, ctrlseq).
 
     status is source, non-source, created or deleted; a chapter's is that of its first hunk. Consecutive lines
-    of context are ~, added ones +, deleted ones -. Text before the first header of a file is passed over.
+    of context are ~, added ones +, deleted ones -. Text before the first header of a file is passed over. Lines
+    that the counts of a hunk still call for are none of a header, whatever they look like; but where a new
+    hunk follows before the counts are used up, the hunk was cut off, and the header counts.
     """
     w = _w("file")
-    head = F.col("line").rlike(r"^--- ") & F.lead("line").over(w).rlike(r"^\+\+\+ ")
-    x = lines.withColumn("chapter", F.coalesce(head.cast("int"), F.lit(0)))
+    x = _in_hunks(lines)
+    pair = F.col("line").rlike(r"^--- ") & F.lead("line").over(w).rlike(r"^\+\+\+ ")
+    cut_off = F.lead("line", 2).over(w).rlike(MARK) & ~((F.col("old_left") == 1) & (F.col("new_left") == 1))
+    head = pair & (((F.col("old_left") <= 0) & (F.col("new_left") <= 0)) | F.coalesce(cut_off, F.lit(False)))
+    x = x.withColumn("chapter", F.coalesce(head.cast("int"), F.lit(0))).drop("old_left", "new_left")
     x = x.withColumn("chapter", F.sum("chapter").over(w)).where("chapter > 0")
     stamp = r"([^\t]+?)(?:\t.*|\s+\d{4,}-\d\d-\d\d.*)?$"  # a timestamp follows a tab, or spaces
-    name = F.regexp_extract("line", r"^\+\+\+ " + stamp, 1)
-    x = x.withColumn("name", F.when(F.col("line").rlike(r"^\+\+\+ "), name))
-    old = F.when(F.col("line").rlike("^--- "), F.regexp_extract("line", "^--- " + stamp, 1))
     by = W.partitionBy("file", "chapter")
-    x = x.withColumn("name", F.first("name", True).over(by)).withColumn("old", F.first(old, True).over(by))
+    # The first two lines of a chapter are its header.
+    x = x.withColumn("nth", F.row_number().over(_w("file", "chapter")))
+    named = lambda n, sign: F.first(F.when(F.col("nth") == n, F.regexp_extract("line", sign + stamp, 1)), True).over(by)
+    x = x.withColumn("name", named(2, r"^\+\+\+ ")).withColumn("old", named(1, "^--- ")).where("nth > 2")
     x = x.withColumn("name", F.when(F.col("name") == "/dev/null", F.col("old")).otherwise(F.col("name")))
-    mark = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    mark = MARK
     x = x.withColumn("hunk", F.sum(F.col("line").rlike(mark).cast("int")).over(_w("file", "chapter"))).where("hunk > 0")
-    num = lambda g: F.regexp_extract("line", mark, g)
-    count = lambda g: F.when(num(g) == "", "1").otherwise(num(g)).cast("int")
     heads = x.where(F.col("line").rlike(mark)).select(
-        "file", "chapter", "hunk", "name", num(1).cast("int").alias("a"), count(2).alias("b"),
-        num(3).cast("int").alias("c"), count(4).alias("d"))
+        "file", "chapter", "hunk", "name", *[n.alias(c) for n, c in zip(_counts(), "abcd")])
     body = x.where(~F.col("line").rlike(mark)).join(heads.drop("name"), ["file", "chapter", "hunk"])
     ch = F.when(F.col("line").startswith("+"), "+").when(F.col("line").startswith("-"), "-").when(
         F.col("line").startswith(" ") | (F.col("line") == ""), "~")

@@ -6,7 +6,7 @@ from riftwise.operators import cfg, cost, diff, slicing
 from riftwise.plans import patches
 from riftwise.sources import ir, text
 from riftwise.streaming.patches import watch
-from samples import COMPACT, CUT_PATCH, LOCKED, NESTED, PATCH
+from samples import COMPACT, CUT_PATCH, NESTED, PATCH, TANK
 
 
 @pytest.fixture(scope="module")
@@ -25,23 +25,21 @@ def load(spark):
 
 
 def test_instructions(load):
-    m = load(LOCKED)
+    m = load(TANK)
     fs = {r["func"]: r for r in m.functions.collect()}
-    assert fs["work"]["defined"] and not fs["lock"]["defined"] and fs["work"]["params"] == ["i8* %arg"]
-    rows = m.instructions.where("func = 'work'").orderBy("ord").collect()
-    assert [r["opcode"] for r in rows[:5]] == ["alloca", "alloca", "store", "call", "call"]
-    lock = rows[4]
-    assert (lock["callee"], lock["line"], lock["result"], len(lock["args"])) == ("lock", 14, "%call", 1)
-    assert rows[-1]["opcode"] == "ret" and rows[-1]["bb"] == "done" and rows[0]["bb"] == "entry"
-    load_ = next(r for r in rows if r["opcode"] == "load")
-    assert load_["type"] == "i32"
+    assert fs["refill"]["defined"] and not fs["pour"]["defined"] and fs["refill"]["params"] == ["%tank* %t", "i32 %want"]
+    rows = m.instructions.where("func = 'refill'").orderBy("ord").collect()
+    assert [r["opcode"] for r in rows] == ["getelementptr", "load", "icmp", "br", "call", "call", "icmp", "br", "phi", "ret"]
+    pour = rows[4]
+    assert (pour["callee"], pour["line"], pour["result"], len(pour["args"])) == ("pour", 45, "%got", 2)
+    assert rows[-1]["bb"] == "full" and rows[0]["bb"] == "start" and rows[1]["type"] == "i32"
 
 
 def test_debug_metadata(load):
-    m = load(LOCKED)
+    m = load(TANK)
     assert {(r["name"], r["linenumber"], r["lastline"], r["func"]) for r in m.subprograms.collect()} == {
-        ("work", 12, 19, "work"), ("main", 22, 25, "main")}
-    assert patches.list_units(m).first()["unit"] == "/build/demo#src/work.c"
+        ("refill", 41, 49, "refill"), ("shift", 55, 57, "shift")}
+    assert patches.list_units(m).first()["unit"] == "/home/dev/plant#lib/tank.c"
 
 
 def test_loops(load):
@@ -66,19 +64,19 @@ def test_control_dependences(load):
 
 
 @pytest.mark.parametrize("profile,want", [
-    ([], {("work", 1): 2}),
-    ([("LOCKCALL", "lock"), ("LOCKCALL", "unlock")], {("work", 2): 2}),
-    ([("LOCKCALL", "lock"), ("FREQCALL", "work")], {("work", 4): 1, ("work", 3): 1})])
+    ([], {("refill", 3): 3}),
+    ([("LOCKCALL", "pour")], {("refill", 4): 2, ("refill", 3): 1}),
+    ([("EXPCALL", "pour"), ("SYSCALL", "settle"), ("FREQCALL", "refill")], {("refill", 4): 1, ("refill", 3): 2})])
 def test_patch_risk(spark, load, profile, want):
     hunks = text.read_id(lines(spark, COMPACT))
     known = spark.createDataFrame(profile, "segment string, func string")
-    got = patches.assess(hunks, load(LOCKED), known, 3).groupBy("func", "risk").count().collect()
+    got = patches.assess(hunks, load(TANK), known, 4).groupBy("func", "risk").count().collect()
     assert {(r["func"], r["risk"]): r["count"] for r in got} == want
 
 
 def test_trivial_patches(spark, load):
     hunks = text.read_id(lines(spark, COMPACT))
-    assert not patches.is_trivial(hunks, load(LOCKED), 3) and patches.is_trivial(hunks, load(LOCKED), 2)
+    assert not patches.is_trivial(hunks, load(TANK), 4) and patches.is_trivial(hunks, load(TANK), 3)
 
 
 def test_costs(spark):
@@ -92,9 +90,8 @@ def test_costs(spark):
 
 
 def test_static_profile(load):
-    got = {r["func"]: (r["cost"], r["sites"]) for r in patches.static_profile(load(LOCKED)).collect()}
-    assert got["lock"] == (0, 1) and got["work"][1] == 1 and got["unlock"] == (0, 1)
-    assert got["work"][0] > 0 and "llvm.dbg.declare" not in got
+    got = {r["func"]: (r["cost"], r["sites"]) for r in patches.static_profile(load(TANK)).collect()}
+    assert got["pour"] == (0, 1) and got["settle"] == (0, 1) and got["refill"][1] == 1 and got["refill"][0] > 0
 
 
 def test_function_cost_counts_loops_once(spark):
@@ -164,8 +161,39 @@ def test_function_diff(spark):
     assert {r["func"]: (r["status"], r["differ"]) for r in got} == {"callee": ("same", 0), "caller": ("changed", 1), "extra": ("right", 0)}
 
 
+def test_function_diff_of_several_modules(spark):
+    both = text.split_lines(spark.createDataFrame([("m", CODE), ("n", CODE.replace("%n, 2", "%n, 5"))], "file string, value string"))
+    m = ir.read_ir(both)
+    got = diff.function_diff(m.instructions, m.instructions, m.functions, m.functions).collect()
+    assert sorted((r["module"], r["func"], r["status"]) for r in got) == [
+        (x, f, "same") for x in "mn" for f in ("callee", "caller")]
+
+
+def longest(x, y):
+    """Length of a longest common subsequence, by trying all subsequences of the shorter."""
+    import itertools
+
+    x, y = sorted((x, y), key=len)
+    for n in range(len(x), 0, -1):
+        for pick in itertools.combinations(x, n):
+            rest = iter(y)
+            if all(c in rest for c in pick):
+                return n
+    return 0
+
+
+def test_block_diff(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, *[[rng.choice("abc") for _ in range(rng.randint(0, 7))] for _ in range(2)]) for i in range(60)]
+    got = {r["id"]: (r["matched"], r["left_only"], r["right_only"]) for r in diff.block_diff(
+        spark.createDataFrame(rows, "id long, before array<string>, after array<string>")).collect()}
+    assert got == {i: ((n := longest(x, y)), len(x) - n, len(y) - n) for i, x, y in rows}
+
+
 @pytest.mark.parametrize("name,want", [
-    ("_ZL4moveP4itemP3boxS2_S0_mS2_", "move(item*, box*, box*, item*, unsigned long, box*)"),
+    ("_ZL4joinPcPKcS1_i", "join(char*, char const*, char const*, int)"),
     ("_ZN4tree4NodeIPNS_4LeafEED1Ev", "tree::Node<tree::Leaf*>::~Node()"),
     ("_Z3foov", "foo()"), ("_ZNK3Foo3barEi", "Foo::bar(int) const"), ("_ZN3FooC1ERKS_", "Foo::Foo(Foo const&)"),
     ("_Z3maxIiET_S0_S0_", "int max<int>(int, int)"), ("main", "main"), ("_Z", "_Z"), ("_Z9", "_Z9"), (None, None)])

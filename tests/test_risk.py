@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riftwise.functions import paths as P
 from riftwise.operators import graph, match, reduce, risk
 from riftwise.sources import text
-from samples import CUT_HUNKS, CUT_PATCH, HUNKS, PATCH, PROFILE
+from samples import CUT_HUNKS, CUT_PATCH, DASHES, HUNKS, PATCH, PROFILE
 
 
 def one(spark, col, **row):
@@ -15,31 +15,29 @@ def one(spark, col, **row):
 
 
 @pytest.mark.parametrize("path,out", [
-    ("/a/./b//c", "/a/b/c"), ("/a/./b//c/./d/", "/a/b/c/d"),
-    ("/home/x/./papers//../work/", "/home/x/work"), ("/home/../root", "/root"), ("/../a", "/a"),
-    ("../gcc/gcc.c", None), ("a/../../b", None), ("", None), (None, None), ("a/b/..", "a")])
+    ("/x//y/./z.c", "/x/y/z.c"), ("/x/y/../../z/", "/z"), ("/../../x", "/x"), ("/", "/"), ("x/./y/..", "x"),
+    ("x/../../y", None), ("..", None), ("", None), (None, None)])
 def test_canonpath(spark, path, out):
     assert one(spark, P.canonpath(F.col("p")), p=path) == out
 
 
 @pytest.mark.parametrize("path,n,out", [
-    ("demo//part/tool.cpp", -1, "tool.cpp"),
-    ("demo//part/tool.cpp", 1, "part/tool.cpp"),
-    ("a//b/c///", -1, ""), ("/a/b", 1, "a/b"), ("a/b", 0, "a/b"), ("a/b", 5, "b")])
+    ("plant/lib//tank.c", -1, "tank.c"), ("plant//lib/tank.c", 1, "lib/tank.c"), ("plant/lib/", -1, ""),
+    ("/plant/tank.c", 1, "plant/tank.c"), ("plant/tank.c", 0, "plant/tank.c"), ("plant/tank.c", 7, "tank.c")])
 def test_stripname(spark, path, n, out):
     assert one(spark, P.stripname(F.col("p"), n), p=path) == out
 
 
 @pytest.mark.parametrize("path,end,hit", [
-    ("innobase/fil/fil0fil.c", "/fil0fil.c", True), ("foo/bar/ba.c", "a.c", False), ("foo/bar/ba.c", "foo/bar/ba.c", True),
-    ("foo/bar/ba.c", "/barr/ba.c", False), ("foo/bar/ba.c", "bar/ba.c", True)])
+    ("plant/lib/tank.c", "tank.c", True), ("plant/lib/tank.c", "ank.c", False), ("plant/lib/tank.c", "/lib/tank.c", True),
+    ("plant/lib/tank.c", "plant/lib/tank.c", True), ("plant/lib/tank.c", "ib/tank.c", False), ("tank.c", "lib/tank.c", False)])
 def test_pendswith(spark, path, end, hit):
     assert one(spark, P.pendswith(F.col("p"), F.col("e")), p=path, e=end) is hit
 
 
 def test_src2obj(spark):
-    got = [one(spark, P.src2obj(F.col("p")), p=p) for p in ("storage/fil0fil.c", "client/x.cpp", "include/m_ctype.h")]
-    assert got == ["storage/fil0fil.o", "client/x.o", None]
+    got = [one(spark, P.src2obj(F.col("p")), p=p) for p in ("lib/tank.c", "valve.cpp", "lib/tank.h")]
+    assert got == ["lib/tank.o", "valve.o", None]
 
 
 def simulate(seq):
@@ -65,21 +63,17 @@ def test_pairing(spark):
     rng = random.Random(1)
     seqs = [(i, "".join(rng.choices("+-~", (4, 4, 1), k=rng.randint(1, 40)))) for i in range(300)]
     df = spark.createDataFrame(seqs, "id long, seq string")
-    got = reduce.pair_changes(reduce.explode_sequence(df, ["id"], "seq"), ["id"]).groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda s: s["ch"]), "").alias("s"))
-    found = {r["id"]: r["s"] for r in got.collect()}
-    assert all(found.get(i, "") == simulate(s) for i, s in seqs)
+    found = {r["id"]: r["s"] for r in df.select("id", reduce.pair_changes(F.col("seq")).alias("s")).collect()}
+    assert all(found[i] == simulate(s) for i, s in seqs)
 
 
 @pytest.mark.parametrize("start,rep,seq,mods", [
-    (50, 50, "~~~-+~~", [("REP", 53, 53, 53, 53)]),
-    (2, 2, "~~~+~~~~+~~~", [("ADD", 4, 4, 5, 5), ("ADD", 8, 8, 10, 10)]),
-    (13, 15, "~~~+~~~", [("ADD", 15, 15, 18, 18)])])
+    (7, 9, "~--+~", [("REP", 8, 8, 10, 10), ("DEL", 9, 9, 10, 10)]),
+    (1, 1, "++~-", [("ADD", 0, 0, 1, 2), ("DEL", 2, 2, 3, 3)]),
+    (5, 5, "~~~", []), (4, 6, "-+-+~+", [("REP", 4, 5, 6, 7), ("ADD", 6, 6, 9, 9)])])
 def test_modifications(spark, start, rep, seq, mods):
     df = spark.createDataFrame([(1, start, rep, seq)], "id long, a long, c long, seq string")
-    keys = ["id", "a", "c"]
-    pairs = reduce.pair_changes(reduce.explode_sequence(df, keys, "seq"), keys)
-    got = reduce.modifications(pairs, keys, "a", "c").orderBy("mod_idx").collect()
+    got = reduce.modifications(df, ["id", "a", "c"], reduce.pair_changes(F.col("seq")), "a", "c").orderBy("mod_idx").collect()
     assert [(r["type"], r["scope_begin"], r["scope_end"], r["rep_begin"], r["rep_end"]) for r in got] == mods
 
 
@@ -94,7 +88,17 @@ def test_patch_compiler(spark, patch, want):
     assert [(r["start_line"], r["rep_start_line"], r["ctrlseq"]) for r in got] == want
     if patch == PATCH:
         assert {(r["name"], r["status"]) for r in hunks.collect()} == {
-            ("src/work.c", "source"), ("new.c", "created"), ("old.c", "deleted"), ("notes.txt", "non-source")}
+            ("lib/tank.c", "source"), ("valve.c", "created"), ("pipe.c", "deleted"), ("todo.txt", "non-source")}
+
+
+def test_lines_like_headers(spark):
+    got = text.compile_patch(lines(spark, DASHES)).orderBy("chapter").collect()
+    assert [(r["name"], r["ctrlseq"]) for r in got] == [("a.sql", "~-+"), ("b.c", "~+")]
+
+
+def test_small_path_functions(spark):
+    got = [one(spark, P.parse_int(F.col("p")), p=p) for p in ("12,3", "0", "x", "9" * 30, "", None)]
+    assert got == [12, 0, None, None, None, None]
 
 
 def test_profiles(spark):
