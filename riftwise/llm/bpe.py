@@ -1,11 +1,15 @@
 """Byte-level BPE over a distinct-word table.
 
-Texts are split once, in chunks: runs of documents of one task whose distinct words are numbered. A document
+Texts are split in chunks: runs of documents of one task whose distinct words are numbered. A document
 becomes the numbers of its words by position, a chunk lists each distinct word once, so that no word is hot
 however often it occurs. The chunks' words meet in buckets by hash, as many as their number asks for, where each
 distinct one is encoded once; its ids go back to the chunks that hold it. Ids decode through a join with
 the table of pieces: the ids that a chunk holds are joined to it, and go to the chunk. The same plan runs at
 every size; nothing is sent to all tasks but the pieces, which the vocabulary bounds.
+
+Texts are split twice, for their words and for their numbers, as numbers written out and shuffled would take
+more disk than the texts. A digest of a chunk's words tells if both times made the same chunk: they do when rows
+are read from files; any other source must be written out first, or the query fails.
 """
 
 from __future__ import annotations
@@ -18,14 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 
-#: Distinct words at which a chunk ends, after the document that reaches it.
-CHUNK = 300_000
+#: Distinct words, and words in all, at which a chunk ends, after the document that reaches them.
+CHUNK, LONG = 300_000, 8_000_000
 #: Words of all chunks that a bucket gets, about, and that a row of a chunk holds at most.
 BUCKET, ROW = 300_000, 50_000
 #: Python's and the tokenizer's Unicode tables agree below this; other texts are split by the tokenizer itself.
@@ -100,55 +103,68 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _pack(numbers, kind=np.uint32) -> bytes:
-    return zlib.compress(np.asarray(numbers, kind).tobytes(), 1)
+def _pack(numbers) -> bytes:
+    """32-bit numbers with their first, second, third and fourth bytes together, compressed."""
+    x = np.asarray(numbers, np.uint32)
+    return zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _unpack(data: bytes, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _chunks(docs: DataFrame, path: str, bound: int) -> DataFrame:
-    """(chunk, first, words): a chunk's distinct words in order of number, from number first; (chunk, doc_id, key, seq).
+def _chunks(docs: DataFrame, path: str, bound: int, words_only: bool) -> DataFrame:
+    """(chunk, mark, first, words): a chunk's distinct words, commonest first, from number first; or its documents.
 
-    seq packs the numbers of the document's words by position.
+    Documents are rows (chunk, mark, doc_id, key, seq): seq packs the numbers of the document's words by position.
+    mark is a digest of the chunk's words.
     """
     def split(batches):
-        s, task, n, number, seqs = splitter(path), TaskContext.get().partitionId(), 0, {}, []
+        s, task, n, number, ids, seqs, total = splitter(path), 0, 0, {}, [], [], 0
 
         def rows():
-            chunk, words = task << 24 | n, list(number)
-            for at in range(0, len(words), ROW):
-                yield batch(chunk, first=pa.array([at], pa.int32()), words=pa.array([words[at:at + ROW]], pa.list_(pa.string())))
+            count = np.bincount(np.concatenate([*seqs, np.zeros(0, np.uint32)]), minlength=len(number))
+            order = np.argsort(-count, kind="stable")
+            words = list(number)
+            words = [words[i] for i in order.tolist()]
+            mark = int.from_bytes(hashlib.blake2b("\0".join(words).encode(), digest_size=7).digest(), "little")
+            same = lambda size: [pa.array(np.full(size, task << 24 | n)), pa.array(np.full(size, mark))]
+            if words_only:
+                for at in range(0, len(words), ROW):
+                    yield pa.RecordBatch.from_arrays(
+                        [*same(1), pa.array([at], pa.int32()), pa.array([words[at:at + ROW]], pa.list_(pa.string()))], names)
+                return
+            to = np.empty(len(order), np.uint32)
+            to[order] = np.arange(len(order))
             for at in range(0, len(seqs), 500):
-                ids, keys, seq = zip(*seqs[at:at + 500])
-                yield batch(chunk, doc_id=pa.array(ids, pa.int64()), key=pa.array(keys, pa.int64()), seq=pa.array(seq, pa.binary()))
+                doc, key = zip(*ids[at:at + 500])
+                yield pa.RecordBatch.from_arrays(
+                    [*same(len(doc)), pa.array(doc, pa.int64()), pa.array(key, pa.int64()),
+                     pa.array([_pack(to[x]) for x in seqs[at:at + 500]], pa.binary())], names)
 
         for b in batches:
-            for doc, key, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text")]):
+            for task, doc, key, text in zip(*[b.column(c).to_pylist() for c in ("task", "doc_id", "key", "text")]):
                 words = s.words(text)
                 for w in words:
                     if w not in number:
                         number[w] = len(number)
-                seqs.append((doc, key, _pack(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))))
-                if len(number) > bound:
+                ids.append((doc, key))
+                seqs.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+                total += len(words)
+                if len(number) > bound or total > LONG:
                     yield from rows()
-                    n, number, seqs = n + 1, {}, []
-        yield from rows()
-
-    kinds = {"first": pa.int32(), "words": pa.list_(pa.string()), "doc_id": pa.int64(), "key": pa.int64(), "seq": pa.binary()}
-
-    def batch(chunk, **columns):
-        size = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, chunk)), *[columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()]], ["chunk", *kinds])
+                    n, number, ids, seqs, total = n + 1, {}, [], [], 0
+        if ids:
+            yield from rows()
 
-    found = _texts(docs).mapInArrow(split, "chunk long, first int, words array<string>, doc_id long, key long, seq binary")
-    return materialize(found, "chunks")
+    schema = "chunk long, mark long, " + ("first int, words array<string>" if words_only else "doc_id long, key long, seq binary")
+    names = [c.split()[0] for c in schema.split(", ")]
+    # The number of the partition within this table: a task of a union counts otherwise.
+    return _texts(docs).withColumn("task", F.spark_partition_id().cast("long")).mapInArrow(split, schema)
 
 
 def _encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(chunk, ats, sizes, ids, used): ids of a chunk's words, a row a bucket, from (chunk, first, words).
+    """(chunk, mark, ats, sizes, ids, used): ids of a chunk's words, a row a bucket, from (chunk, mark, first, words).
 
     ats and sizes pack the numbers of words and of their ids, used lists the distinct ids.
     """
@@ -156,21 +172,22 @@ def _encoded_words(words: DataFrame, path: str) -> DataFrame:
 
     def deal(batches):
         for b in batches:
-            for chunk, first, some in zip(*[b.column(c).to_pylist() for c in ("chunk", "first", "words")]):
+            for chunk, mark, first, some in zip(*[b.column(c).to_pylist() for c in ("chunk", "mark", "first", "words")]):
                 some = [w.encode() for w in some]
                 to = np.fromiter((zlib.crc32(w) for w in some), np.int64, len(some)) % buckets
                 order = np.argsort(to, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
                     mine = [some[i] for i in at.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([to[at[0]]]), pa.array([chunk]), pa.array([_pack(at + first)], pa.binary()),
+                        [pa.array([to[at[0]]]), pa.array([chunk]), pa.array([mark]), pa.array([_pack(at + first)], pa.binary()),
                          pa.array([_pack([len(w) for w in mine])], pa.binary()),
-                         pa.array([zlib.compress(b"".join(mine), 1)], pa.binary())], ["bucket", "chunk", "ats", "sizes", "text"])
+                         pa.array([zlib.compress(b"".join(mine), 1)], pa.binary())], ["bucket", "chunk", "mark", "ats", "sizes", "text"])
 
     def encode(batches):
         s, now, known = splitter(path), None, {}
         for b in batches:
-            for bucket, chunk, ats, sizes, text in zip(*[b.column(c).to_pylist() for c in ("bucket", "chunk", "ats", "sizes", "text")]):
+            for bucket, chunk, mark, ats, sizes, text in zip(*[b.column(c).to_pylist() for c in (
+                    "bucket", "chunk", "mark", "ats", "sizes", "text")]):
                 if bucket != now:
                     now, known = bucket, {}
                 text, end, got = zlib.decompress(text), 0, []
@@ -183,13 +200,13 @@ def _encoded_words(words: DataFrame, path: str) -> DataFrame:
                     got.append(ids)
                 flat = np.array([i for x in got for i in x], np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), pa.array([ats], pa.binary()), pa.array([_pack([len(x) for x in got])], pa.binary()),
+                    [pa.array([chunk]), pa.array([mark]), pa.array([ats], pa.binary()), pa.array([_pack([len(x) for x in got])], pa.binary()),
                      pa.array([_pack(flat)], pa.binary()), pa.array([np.unique(flat).astype(np.int32)], pa.list_(pa.int32()))],
-                    ["chunk", "ats", "sizes", "ids", "used"])
+                    ["chunk", "mark", "ats", "sizes", "ids", "used"])
 
-    dealt = words.mapInArrow(deal, "bucket long, chunk long, ats binary, sizes binary, text binary")
+    dealt = words.mapInArrow(deal, "bucket long, chunk long, mark long, ats binary, sizes binary, text binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        encode, "chunk long, ats binary, sizes binary, ids binary, used array<int>")
+        encode, "chunk long, mark long, ats binary, sizes binary, ids binary, used array<int>")
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -213,36 +230,38 @@ def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool,
     finish(ids, pieces) gets the ids of a chunk's words and the bytes of each id, and gives a function from
     a list of word numbers arrays to columns. A task holds one chunk's words at a time.
     """
-    chunks = _chunks(docs, path, bound)
-    words = _encoded_words(chunks.where("words is not null").select("chunk", "first", "words"), path)
+    words = _encoded_words(materialize(_chunks(docs, path, bound, True), "words"), path)
     if decode:
         words = materialize(words, "encoded")
     none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
-    parts = words.select("chunk", F.lit(1).alias("kind"), "ats", "sizes", "ids", *none(id="int", doc_id="long", key="long")).unionByName(
-        chunks.where("words is null").select("chunk", F.lit(2).alias("kind"), F.col("seq").alias("ats"),
-                                            *none(sizes="binary", ids="binary", id="int"), "doc_id", "key"))
+    parts = words.select("chunk", "mark", F.lit(1).alias("kind"), "ats", "sizes", "ids", *none(id="int", doc_id="long", key="long")).unionByName(
+        _chunks(docs, path, bound, False).select("chunk", "mark", F.lit(2).alias("kind"), F.col("seq").alias("ats"),
+                                                 *none(sizes="binary", ids="binary", id="int"), "doc_id", "key"))
     if decode:
         parts = parts.unionByName(_pieces_of(words.select("chunk", "used"), path).select(
-            "chunk", F.lit(0).alias("kind"), F.col("piece").alias("ats"), *none(sizes="binary", ids="binary"), "id",
+            "chunk", *none(mark="long"), F.lit(0).alias("kind"), F.col("piece").alias("ats"), *none(sizes="binary", ids="binary"), "id",
             *none(doc_id="long", key="long")))
     names = ["doc_id", "text_key", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches):
-        now, ids, pieces, ready = None, [], {}, None
+        now, ids, pieces, ready, known = None, [], {}, None, 0
         for b in batches:
             out = []
-            for chunk, kind, ats, sizes, flat, i, doc, key in zip(*[b.column(c).to_pylist() for c in (
-                    "chunk", "kind", "ats", "sizes", "ids", "id", "doc_id", "key")]):
+            for chunk, mark, kind, ats, sizes, flat, i, doc, key in zip(*[b.column(c).to_pylist() for c in (
+                    "chunk", "mark", "kind", "ats", "sizes", "ids", "id", "doc_id", "key")]):
                 if chunk != now:
                     if out:
                         yield batch(out, ready)
                         out = []
-                    now, ids, pieces, ready = chunk, [], {}, None
+                    now, ids, pieces, ready, known = chunk, [], {}, None, None
                 if kind == 0:
                     pieces[i] = ats
                 elif kind == 1:
                     ids.append((ats, sizes, flat))
+                    known = mark
                 else:
+                    if known is not None and known != mark:
+                        raise ValueError("documents came in another order the second time: write them out first")
                     if ready is None:
                         ready, ids = finish(_by_number(ids), pieces), []
                     out.append((doc, key, _unpack(ats)))
