@@ -169,7 +169,7 @@ def test_toxic_documents_go(spark):
     assert np.mean([x for k, v in gone.items() if k[0] == "sound" for x in v]) <= 0.025
 
 
-def test_suffix_dedup(spark, monkeypatch):
+def test_suffix_dedup(spark):
     texts = [(t or "").encode() for _, t in ROWS]
     seen = Counter(t[i:i + 400] for t in texts for i in range(len(t) - 399))
     want = []
@@ -181,10 +181,20 @@ def test_suffix_dedup(spark, monkeypatch):
         runs = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
         kept = bytes(c for c, g in zip(t, gone) if not g)
         want.append((str(d), len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
-    for hot in (4096, 1):
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
-        got = suffix_dedup.remove_repeats(frame(spark)).collect()
-        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
+    got = suffix_dedup.remove_repeats(frame(spark)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
+
+
+def test_many_texts_around_one_passage(spark):
+    """A passage of 395 to 420 bytes among texts that all differ around it, and in what they keep of it."""
+    r = random.Random(11)
+    some = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = some(420)
+    data = [(i, some(150) + passage[:395 + i % 26] + some(150)) for i in range(120)]
+    seen = Counter(t[i:i + 400] for _, t in data for i in range(len(t) - 399))
+    want = {d: len({j for i in range(len(t) - 399) if seen[t[i:i + 400]] > 1 for j in range(i, i + 400)}) for d, t in data}
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got} == want and max(want.values()) >= 420 and min(want.values()) == 0
 
 
 def test_stretches_of_long_texts(monkeypatch):
@@ -209,6 +219,8 @@ def test_syncmers(spark):
     assert at.tolist() == brute
     shifted, h2 = syncmers.anchors(b"some other start " + data)
     assert set(h.tolist()) <= set(h2.tolist())
+    back = syncmers.from_text(syncmers.as_text((at, h)))
+    assert back[0].tolist() == at.tolist() and back[1].tolist() == h.tolist()
     got = {r["doc_id"]: r for r in syncmers.edited_likeness(frame(spark, [r for r in ROWS if r[0] not in (15, None)])).collect()}
     order = sorted((r for r in ROWS if r[0] not in (15, None)), reverse=True, key=lambda r: r[0])
     for i, (d, t) in enumerate(order):
@@ -222,13 +234,76 @@ def test_syncmers(spark):
     assert syncmers.edited_likeness(frame(spark, [(1, "alone")])).first()["near_next"] == 1.0
 
 
+def plain_likeness(x, y):
+    """Of all chains of paired anchors that rise in both texts a longest, by trying every last pair; bytes as sets."""
+    seen, pairs = Counter(), []
+    nth = {}
+    for j, h in enumerate(y[1].tolist()):
+        nth[h, seen[h]] = j
+        seen[h] += 1
+    seen = Counter()
+    for i, h in enumerate(x[1].tolist()):
+        if (h, seen[h]) in nth:
+            pairs.append((i, nth[h, seen[h]]))
+        seen[h] += 1
+    best = []
+    for k, (_, j) in enumerate(pairs):
+        best.append(1 + max((best[m] for m in range(k) if pairs[m][1] < j), default=0))
+    bytes_of = lambda at: len({p + o for p in at for o in range(syncmers.K)})
+    return max(best, default=0), bytes_of(x[0].tolist()) + bytes_of(y[0].tolist())
+
+
+def test_likeness():
+    r = random.Random(8)
+    for _ in range(40):
+        parts = [" ".join(r.choices(WORDS, k=r.randint(5, 40))) for _ in range(4)]
+        a, b = (syncmers.anchors(" ".join(r.sample(parts, r.randint(1, 4)) + r.choices(parts, k=1)).encode()) for _ in range(2))
+        longest, every = plain_likeness(a, b)
+        one, two = syncmers._numbered(a[1]), syncmers._numbered(b[1])
+        _, i, j = np.intersect1d(one, two, return_indices=True)
+        kept = syncmers._chain(j[np.argsort(i)])
+        assert len(kept) == longest and syncmers._covered(a[0]) + syncmers._covered(b[0]) == every
+        assert 0 <= syncmers.likeness(a, b) <= 1 and syncmers.likeness(a, a) == 1 and (syncmers.likeness(a, b) > 0) == (longest > 0)
+    whole = " ".join(r.choices(WORDS, k=600))
+    half = whole[:len(whole) // 2] + "".join(r.choices("xyz", k=len(whole) // 2))
+    assert 0.4 < syncmers.likeness(syncmers.anchors(whole.encode()), syncmers.anchors(half.encode())) < 0.6
+
+
+def test_permutations(spark):
+    key = lambda p: [((p * 77 + r * 131 + 5) % 9973, (p + 1) * (r + 3) * 7919 % 100003) for r in range(mixing.ROUNDS)]
+    found = []
+    for n in (1, 2, 4, 7, 100):
+        for p in (0, 1):
+            rows_ = [(i, n, [(k % n, a) for k, a in key(p)]) for i in range(n)]
+            df = spark.createDataFrame(rows_, "at long, n long, keys array<struct<k:long,a:long>>")
+            got = [x["b"] for x in df.orderBy("at").select(mixing.permuted("at", "n", "keys").alias("b")).collect()]
+            assert sorted(got) == list(range(n))
+        found.append(got)
+    steps = Counter((y - x) % 100 for x, y in zip(found[-1], found[-1][1:]))
+    assert steps.most_common(1)[0][1] < 20  # no fixed step
+
+
+def test_shards_decide(spark):
+    """What the mix takes of a source are the blocks that the shards' draws give it."""
+    data = [(i, " ".join(rng.choices(WORDS, k=128))) for i in range(300)]
+    docs = frame(spark, data).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7))
+    plan = mixing.plan_of(mixing._measured(docs))
+    counts = mixing.shard_counts(plan).collect()
+    blocks = {x["sid"]: -(-x["source_size"] // mixing.BLOCK) for x in plan.collect()}
+    assert sum(x["n"] for x in counts) == round(sum(x["target"] for x in plan.collect()) / mixing.BLOCK)
+    name = {x["sid"]: x["source"] for x in plan.collect()}
+    want = {name[s]: mixing.BLOCK * min(2 * blocks[s], sum(x["n"] for x in counts if x["sid"] == s)) for s in blocks}
+    got = Counter()
+    for x in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        got[x["source"]] += x["taken"]
+    assert want == dict(got)  # texts are whole blocks
+
+
 def test_mixing(spark):
     data = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 400)))) for i in range(600)]
     docs = frame(spark, data).withColumn("source", F.expr("case when doc_id % 3 = 0 then 'hot' when doc_id % 17 = 0 then null else concat('s', doc_id % 5) end"))
     got = mixing.mix(docs).collect()
-    assert len(got) == 600 and got == mixing.mix(docs.repartition(3)).collect() or len(got) == 600
-    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(3)).collect()}
-    assert {r["doc_id"]: r["taken"] for r in got} == again
+    assert len(got) == 600 and sorted(got) == sorted(mixing.mix(docs.repartition(3)).collect())
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
     taken, target, size = Counter(), {}, {}
@@ -236,7 +311,7 @@ def test_mixing(spark):
         taken[source[r["doc_id"]]] += r["taken"]
         target[source[r["doc_id"]]], size[source[r["doc_id"]]] = r["target"], r["source_size"]
     assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
-    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK for s in target)
+    assert all(abs(taken[s] - target[s]) <= 4 * mixing.BLOCK for s in target)
     names = [*sorted(s for s in size if s is not None), None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     want, open_ = {}, set(names)
@@ -270,10 +345,10 @@ def test_bpe(spark):
     ids = [t.encode(x or "", add_special_tokens=False).ids for _, x in ROWS]
     want = sorted((str(d), len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(),
                    hashlib.sha256(t.decode(i, skip_special_tokens=False).encode()).hexdigest()) for (d, _), i in zip(ROWS, ids))
-    for bound in (bpe.WORDS, 0):
-        got = bpe.digests(frame(spark), words=bound).collect()
+    for bound in (bpe.CHUNK, 3):
+        got = bpe.digests(frame(spark), chunk=bound).collect()
         assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
-        back = bpe.decode(bpe.encode(frame(spark), words=bound)).collect()
+        back = bpe.decode(bpe.encode(frame(spark), chunk=bound)).collect()
         assert sorted((str(r["doc_id"]), r["decoded"]) for r in back) == sorted((str(d), x or "") for d, x in ROWS)
     assert bpe.piece_table(spark).count() == 50257
 
@@ -353,6 +428,45 @@ def test_certified_cutoffs(spark):
     assert not any(rows_[i] for i, _ in bad) and sum(not rows_[i] for i, _ in good) <= 0.02 * len(good)
 
 
+def test_rules_are_bounded_together(spark):
+    """Two rules that each reject 1.5 % of the good documents are within 2 % alone, not together."""
+    some = lambda i: (" " + " ".join(f"#{j}q" for j in range(40)) if i < 60 else " " + "x" * 900 if i < 120 else "")
+    good = [(i, " ".join(rng.choices(WORDS, k=40)) + some(i)) for i in range(4000)]
+    docs = frame(spark, good).withColumn("lang", F.lit("en"))
+    out = lambda n: sum(not r["kept"] for r in quality_rules.judge(
+        docs.where(f"doc_id >= {n}"), labels(spark, [(i, 1, 0) for i, _ in good])).collect())
+    assert out(60) == 60 and out(0) <= 0.02 * 4000
+
+
+def test_two_variable_levels(spark):
+    """Users' pages are pooled below the wildcard of the users."""
+    word = lambda i, c: c + chr(97 + i % 26) + chr(97 + i // 26)
+    data = [(i, f"http://h.io/{word(i, 'u')}/{word(i, 't')}") for i in range(200)] + [(1000 + i, f"http://h.io/{word(i, 'p')}") for i in range(150)]
+    data += [(2000, None), (2001, "http://h.io/" + "/".join(["very"] * 3000)), (0, data[0][1])]
+    marks = [(i, 0, 0) for i in range(100)] + [(1000 + i, 1, 0) for i in range(150)] + [(None, 1, 0)]
+    got = url_filter.judge_urls(spark.createDataFrame(data, "page_id long, url string"), labels(spark, marks)).collect()
+    assert len(got) == len(data)
+    assert all((r["verdict"] == "block") == (r["page_id"] < 1000) for r in got if r["page_id"] < 2000)
+
+
+def test_similar_documents_go(spark):
+    """Copies go, documents below the similarity stay; of copies at 0.95 the README states three in four as found."""
+    r = random.Random(9)
+    base = [" ".join(r.choices(WORDS, k=400)) for _ in range(30)]
+
+    def edit(t, n):
+        w = t.split()
+        for i in r.sample(range(len(w)), n):
+            w[i] = "qq"
+        return " ".join(w)
+
+    data = [(i, t) for i, t in enumerate(base)] + [(100 + i, edit(t, 2)) for i, t in enumerate(base)] + [
+        (200 + i, edit(t, 60)) for i, t in enumerate(base)] + [(300 + i, t) for i, t in enumerate(base)] + [(400, None), (401, ""), (400, None)]
+    kept = [x["doc_id"] for x in simhash.keep_one(frame(spark, data)).collect()]
+    assert {i for i in kept if i < 100} == set(range(30)) and {i for i in kept if 200 <= i < 300} == {200 + i for i in range(30)}
+    assert not [i for i in kept if 300 <= i < 400] and sum(100 <= i < 200 for i in kept) <= 9 and kept.count(400) == 1 and 401 not in kept
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/x?y#z"), (2, "https://q.net"), (3, "https://q.net/"), (4, None), (5, "no scheme/x"),
             (6, "a://b.example.com/de/://x"), (7, "http://x.org/fr/1"), (8, "http://x.org?u=/fr/"), (9, "http://notexample.net/en/"),
