@@ -106,7 +106,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _pack(numbers) -> bytes:
     """32-bit numbers with their first, second, third and fourth bytes together, compressed."""
     x = np.asarray(numbers, np.uint32)
-    return zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -166,7 +166,7 @@ def _chunks(docs: DataFrame, path: str, bound: int, words_only: bool) -> DataFra
 def _encoded_words(words: DataFrame, path: str) -> DataFrame:
     """(chunk, mark, ats, sizes, ids, used): ids of a chunk's words, a row a bucket, from (chunk, mark, first, words).
 
-    ats and sizes pack the numbers of words and of their ids, used lists the distinct ids.
+    ats packs the steps from each word's number to the next, sizes how many ids each has, used lists the distinct ids.
     """
     buckets = (words.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET + 1
 
@@ -179,7 +179,7 @@ def _encoded_words(words: DataFrame, path: str) -> DataFrame:
                 for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
                     mine = [some[i] for i in at.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([to[at[0]]]), pa.array([chunk]), pa.array([mark]), pa.array([_pack(at + first)], pa.binary()),
+                        [pa.array([to[at[0]]]), pa.array([chunk]), pa.array([mark]), pa.array([_pack(np.diff(at + first, prepend=0))], pa.binary()),
                          pa.array([_pack([len(w) for w in mine])], pa.binary()),
                          pa.array([zlib.compress(b"".join(mine), 1)], pa.binary())], ["bucket", "chunk", "mark", "ats", "sizes", "text"])
 
@@ -278,7 +278,7 @@ def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool,
 
 def _by_number(parts) -> list[list[int]]:
     """Ids of a chunk's words by their numbers."""
-    parts = [[_unpack(x) for x in p] for p in parts]
+    parts = [[np.cumsum(_unpack(ats)), _unpack(sizes), _unpack(flat)] for ats, sizes, flat in parts]
     out: list[list[int]] = [[]] * sum(len(ats) for ats, _, _ in parts)
     for ats, sizes, flat in parts:
         flat, end = flat.tolist(), 0
