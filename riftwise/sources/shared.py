@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Only plain local mode may go without one, as tests do."""
@@ -19,18 +22,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/riftwise-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    system, target = _folder(spark, path)
+    system.deleteOnExit(target)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read back, which cuts its lineage; the shuffles that made it go with the end of the write."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new path of the shared folder and read back."""
+    return written(df, shared_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    system, target = _folder(spark, path)
+    system.delete(target, True)
