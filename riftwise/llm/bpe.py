@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, remove, shared_path, text_key, written
 
 #: Distinct words, and words in all, at which a chunk ends, after the document that reaches them.
 CHUNK, LONG = 300_000, 8_000_000
@@ -230,9 +230,12 @@ def _per_document(docs: DataFrame, path: str, finish, schema: str, decode: bool,
     finish(ids, pieces) gets the ids of a chunk's words and the bytes of each id, and gives a function from
     a list of word numbers arrays to columns. A task holds one chunk's words at a time.
     """
-    words = _encoded_words(materialize(_chunks(docs, path, bound, True), "words"), path)
+    spark = docs.sparkSession
+    at = shared_path(spark, "words")
+    words = _encoded_words(written(_chunks(docs, path, bound, True), at), path)
     if decode:
         words = materialize(words, "encoded")
+        remove(spark, at)  # the encoded words hold all that is read from here on
     none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
     parts = words.select("chunk", "mark", F.lit(1).alias("kind"), "ats", "sizes", "ids", *none(id="int", doc_id="long", key="long")).unionByName(
         _chunks(docs, path, bound, False).select("chunk", "mark", F.lit(2).alias("kind"), F.col("seq").alias("ats"),

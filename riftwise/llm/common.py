@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftwise.sources.shared import materialize, shared_dir, shared_path  # noqa: F401
+from riftwise.sources.shared import materialize, remove, shared_dir, shared_path, written  # noqa: F401
 
 #: Words are maximal runs of characters outside this class.
 SPACES = r"[\x20\x09-\x0D]+"
