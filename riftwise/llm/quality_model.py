@@ -60,8 +60,9 @@ def features(text: bytes | None, known: dict[bytes, tuple[int, int]] | None = No
     if not counts:
         return np.zeros(0, np.int32), np.zeros(0)
     known = {} if known is None else known
-    for w in counts.keys() - known.keys():
-        known[w] = _bins(w)
+    for w in counts:  # a difference of key views would walk through all of known for each text
+        if w not in known:
+            known[w] = _bins(w)
     at = np.array([known[w] for w in counts], dtype=np.int64).ravel()
     value = np.repeat(np.log1p(np.fromiter(counts.values(), float, len(counts))), 2)
     bins, where = np.unique(at, return_inverse=True)
