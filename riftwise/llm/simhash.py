@@ -219,10 +219,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Distinct hashes of the runs of so many words of a text, lower-cased; of a shorter text, of all its words."""
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))),
+                           lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+
+    # The words are an element, not an expression, inside the lambda, which would split the text for each run.
     w = words_of(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))),
-                       lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    return F.array_distinct(runs)
+    return F.array_distinct(F.transform(F.array(w), runs)[0])
 
 
 def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
