@@ -13,7 +13,7 @@ index, exact third) keys of 31 bits. Meeting fingerprints are verified by their
 from __future__ import annotations
 
 import string
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,8 +30,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
-#: Of keep_one: words of a shingle and the least Jaccard similarity, and words of the shingles of its fingerprints.
-WORDS, SIMILAR, DRAFT = 5, 0.8, 2
+#: Of keep_one: words of a shingle and the least Jaccard similarity, words of the shingles of its fingerprints, and how many.
+WORDS, SIMILAR, DRAFT, DRAFTS = 5, 0.8, 2, 4
+#: Shifts and factors of the splitmix64 generator's mixer, and its step (fixed values).
+MIXER, GAMMA = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 #: Keys with more fingerprints than this are linked through midpoints instead of pairwise.
 HOT_KEY = 64
 
@@ -51,44 +53,67 @@ def golay_table() -> np.ndarray:
     return table
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the words' shingles; zero where there are no words."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each of the text's shingles, repeats included; none where there are no words."""
     from xxhash import xxh64_digest
 
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        digests = [xxh64_digest(joined, SEED)]
+        digests = [xxh64_digest(joined, SEED)] if words else []
     else:
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         starts = np.concatenate(([0], gaps + 1))[: len(words) - shingle + 1].tolist()
         ends = np.concatenate((gaps, [len(joined)]))[shingle - 1:].tolist()
         digests = [xxh64_digest(joined[s:e], SEED) for s, e in zip(starts, ends)]
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+
+
+def _remixed(hashes: np.ndarray, nth: int) -> np.ndarray:
+    """The hashes themselves for 0, otherwise a permutation of 64-bit numbers applied to them, another for each nth."""
+    if not nth:
+        return hashes
+    h = hashes ^ np.uint64(nth * GAMMA % (1 << 64))
+    for shift, factor in MIXER:
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero without any."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(digests), 255 * 256):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests[at:at + 255 * 256]), np.uint8)).reshape(-1, 64)
+    for at in range(0, len(hashes), 255 * 256):
+        bits = np.unpackbits(hashes[at:at + 255 * 256].astype(">u8").view(np.uint8)).reshape(-1, 64)
         whole = len(bits) // 255 * 255
         if whole:
             counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         counts += bits[whole:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the words' shingles; zero where there are no words."""
+    return _majority(_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, fp) per row of docs, fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, many: int = 1) -> DataFrame:
+    """(doc_id, key, fp0, fp1, ...) per row of docs: so many fingerprints, each as a signed long.
+
+    The first is fingerprint(); the others take the same shingles under other hashes.
+    """
+    names = [f"fp{j}" for j in range(many)]
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
+            hashes = (_hashes(t, shingle) for t in b.column("text").to_pylist())
+            fps = np.array([[_majority(_remixed(h, j)) for j in range(many)] for h in hashes], np.uint64).reshape(-1, many)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"),
-                 pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
+                [b.column("doc_id"), b.column("key"), *[pa.array(x.view(np.int64)) for x in np.ascontiguousarray(fps.T)]],
+                ["doc_id", "key", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
                        F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "key long", *[f"{n} long" for n in names]]))
 
 
 def _near(table: np.ndarray, seg: np.ndarray, bits: int) -> np.ndarray:
@@ -204,7 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id are kept as they are; a null doc_id is never a component_id unless nothing else is there.
     An empty table gives an empty result.
     """
-    rows = materialize(fingerprints(docs), "fingerprints")
+    rows = materialize(fingerprints(docs).withColumnRenamed("fp0", "fp"), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     nodes = connected_components(fingerprint_links(fps.select("fp")))
     named = fps.join(nodes, fps["fp"] == nodes["node"], "left").select(
@@ -228,20 +253,27 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(F.transform(F.array(w), runs)[0])
 
 
+def _drafted(rows: DataFrame) -> DataFrame:
+    """(a, b): each text of rows (key, fp) with the least of its fingerprint, and that with those its fingerprint links to."""
+    least = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"k{c}")) for c in "ab"]
+    links = fingerprint_links(least.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
+    return materialize(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")).unionByName(
+        rows.join(least.hint("merge"), "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))), "drafted")
+
+
 def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(key, component): texts of docs by their hash, linked if the Jaccard similarity of their shingles reaches similar.
 
-    Fingerprints of short shingles, which an edited word changes least, draft the links: each text is compared
-    with the least text of its fingerprint, and that one with those of the fingerprints that it links to. A
-    drafted link holds if the exact similarity says so. Texts without links are left out.
+    Fingerprints of short shingles, which an edited word changes least, draft the links, several under other
+    hashes one after the other, as each misses pairs that another finds: each text is compared with the least
+    text of its fingerprint, and that one with those of the fingerprints that it links to. A drafted link holds
+    if the exact similarity says so. Texts without links are left out.
     """
-    rows = materialize(fingerprints(docs, DRAFT).select("key", "fp").distinct(), "fingerprints")
-    least = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
-    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"k{c}")) for c in "ab"]
-    links = fingerprint_links(least.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
-    links = links.select(F.col("ka").alias("a"), F.col("kb").alias("b")).unionByName(
-        rows.join(least.hint("merge"), "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    links = materialize(links.distinct(), "links")
+    rows = materialize(fingerprints(docs, DRAFT, DRAFTS).drop("doc_id").distinct(), "fingerprints")
+    drafts = [_drafted(rows.select("key", F.col(f"fp{j}").alias("fp"))) for j in range(DRAFTS)]
+    pair = [f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+    links = materialize(reduce(DataFrame.unionByName, drafts).select(*pair).distinct(), "links")
     asked = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(
         asked.hint("merge"), "key").dropDuplicates(["key"])

@@ -467,6 +467,31 @@ def test_similar_documents_go(spark):
     assert not [i for i in kept if 300 <= i < 400] and sum(100 <= i < 200 for i in kept) <= 9 and kept.count(400) == 1 and 401 not in kept
 
 
+def test_drafts_find_edited_copies(spark, monkeypatch):
+    """Links hold by the exact similarity; several fingerprints find most copies from 0.85 on, more than one does."""
+    r = random.Random(11)
+    data = []
+    for i in range(60):
+        w = r.choices(WORDS, k=300)
+        edited = list(w)
+        for at in r.sample(range(300), 3 + i % 3):
+            edited[at] = "qq"
+        data += [(i, " ".join(w)), (100 + i, " ".join(edited))]
+
+    def near(x, y):
+        x, y = ({tuple(t.split()[k:k + 5]) for k in range(296)} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    texts = dict(data)
+    assert all(near(texts[i], texts[100 + i]) >= 0.84 for i in range(60))
+    kept = {x["doc_id"] for x in simhash.keep_one(frame(spark, data)).collect()}
+    assert set(range(60)) <= kept
+    found = 120 - len(kept)
+    monkeypatch.setattr(simhash, "DRAFTS", 1)
+    assert found >= 54 and found > 120 - simhash.keep_one(frame(spark, data)).count()
+    assert simhash.fingerprint(texts[0].encode()) == fingerprint(texts[0])
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/x?y#z"), (2, "https://q.net"), (3, "https://q.net/"), (4, None), (5, "no scheme/x"),
             (6, "a://b.example.com/de/://x"), (7, "http://x.org/fr/1"), (8, "http://x.org?u=/fr/"), (9, "http://notexample.net/en/"),
