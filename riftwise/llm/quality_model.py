@@ -153,6 +153,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalM
         gone = (~accepted(tried[grades[held] < GRADES - 1], model)).sum()
         if best is None or gone > best[0]:
             best = gone, model
+    del got, pairs, fitted
+    pa.default_memory_pool().release_unused()  # the driver goes on, and its memory is what a pipeline's later stages need
     return best[1]
 
 
