@@ -450,7 +450,7 @@ def test_two_variable_levels(spark):
 
 
 def test_similar_documents_go(spark):
-    """Copies go, documents below the similarity stay; of copies at 0.95 the README states three in four as found."""
+    """Copies go, documents below the similarity stay; of copies at 0.95 at least seven in ten are found."""
     r = random.Random(9)
     base = [" ".join(r.choices(WORDS, k=400)) for _ in range(30)]
 
