@@ -12,6 +12,7 @@ index, exact third) keys of 31 bits. Meeting fingerprints are verified by their
 
 from __future__ import annotations
 
+import math
 import string
 from functools import lru_cache, reduce
 from itertools import combinations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import materialize, text_key, words_of
 from .components import connected_components
@@ -32,6 +34,8 @@ SHINGLE = 4
 DISTANCE = 4
 #: Of keep_one: words of a shingle and the least Jaccard similarity, words of the shingles of its fingerprints, and how many.
 WORDS, SIMILAR, DRAFT, DRAFTS = 5, 0.8, 2, 4
+#: Of _prefixes(): one text in COUNTED is counted for common shingles, those in LEAST of them are common, the KNOWN most common are kept.
+COUNTED, LEAST, KNOWN = 16, 4, 1 << 15
 #: Shifts and factors of the splitmix64 generator's mixer, and its step (fixed values).
 MIXER, GAMMA = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)), 0x9E3779B97F4A7C15
 #: Keys with more fingerprints than this are linked through midpoints instead of pairwise.
@@ -253,46 +257,165 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(F.transform(F.array(w), runs)[0])
 
 
-def _drafted(rows: DataFrame) -> DataFrame:
+def _drafted(rows: DataFrame, linked) -> DataFrame:
     """(a, b): each text of rows (key, fp) with the least of its fingerprint, and that with those its fingerprint links to."""
     least = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"k{c}")) for c in "ab"]
-    links = fingerprint_links(least.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
+    links = linked(least.select("fp")).join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
     return materialize(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")).unionByName(
         rows.join(least.hint("merge"), "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))), "drafted")
 
 
-def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(key, component): texts of docs by their hash, linked if the Jaccard similarity of their shingles reaches similar.
+def _set(text: bytes | None) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; a single zero where there are no words, so that such texts are alike."""
+    found = np.unique(_hashes(text, WORDS))
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def _all_tokens(batches):
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_set(t).view(np.int64))], ["token"])
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles, sorted, and in how many of the counted texts each is."""
+    some = texts.where(F.pmod("key", F.lit(COUNTED)) == 0).dropDuplicates(["key"]).mapInArrow(_all_tokens, "token long")
+    found = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
+    tokens, count = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], count[order]
+
 
-    Fingerprints of short shingles, which an edited word changes least, draft the links, several under other
-    hashes one after the other, as each misses pairs that another finds: each text is compared with the least
-    text of its fingerprint, and that one with those of the fingerprints that it links to. A drafted link holds
-    if the exact similarity says so. Texts without links are left out.
+def _prefixes(texts: DataFrame, similar: float) -> DataFrame:
+    """(token, key, n, at): the first shingles of each text (key, text), of n, in an order that is the same for all texts.
+
+    Two sets of that similarity share so many elements that the first which they share is among these of both (prefix
+    filtering, Chaudhuri et al., 2006). Any order will do; common shingles come last, so that few texts meet without need.
+    Which those are is counted on some texts, which bears on the time only.
     """
-    rows = materialize(fingerprints(docs, DRAFT, DRAFTS).drop("doc_id").distinct(), "fingerprints")
-    drafts = [_drafted(rows.select("key", F.col(f"fp{j}").alias("fp"))) for j in range(DRAFTS)]
-    pair = [f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
-    links = materialize(reduce(DataFrame.unionByName, drafts).select(*pair).distinct(), "links")
-    asked = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    common, count = _common(texts)
+
+    def run(batches):
+        seen = set()  # a task gives each text once, however many copies it has
+        for b in batches:
+            out, held = [], 0
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    found = _set(text)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                        found = found[np.lexsort((found, np.where(common[at] == found, count[at], 0)))]
+                    first = found[:len(found) - math.ceil(similar * len(found) - 1e-9) + 1]
+                    out.append((first.view(np.int64), key, len(found)))
+                    held += len(first)
+                if held > 100_000:
+                    yield _token_rows(out)
+                    out, held = [], 0
+            if out:
+                yield _token_rows(out)
+
+    return texts.mapInArrow(run, "token long, key long, n int, at int")
+
+
+def _token_rows(out: list) -> pa.RecordBatch:
+    sizes = [len(first) for first, _, _ in out]
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([first for first, _, _ in out])), pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), sizes)),
+        pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), sizes)),
+        pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]))], ["token", "key", "n", "at"])
+
+
+def _fits(similar: float) -> Column:
+    """Whether sets of n and m elements, the first that they share at places at and bt, can reach the similarity."""
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    return most >= similar * (F.col("n") + F.col("m") - most) - 1e-6
+
+
+def _held(docs: DataFrame, links: DataFrame, similar: float) -> DataFrame:
+    """The links (a, b) between texts of docs that the exact similarity confirms."""
+    asked = materialize(links.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
     texts = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(
-        asked.hint("merge"), "key").dropDuplicates(["key"])
+        asked, "key").dropDuplicates(["key"])
     sets = materialize(texts.select("key", shingles(F.col("text")).alias("set")), "shingles")
     both = links.join(sets.withColumnsRenamed({"key": "a", "set": "x"}).hint("merge"), "a").join(
         sets.withColumnsRenamed({"key": "b", "set": "y"}).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    held = both.where(common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b")
-    return connected_components(held).withColumnRenamed("node", "key")
+    return materialize(both.where(common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b"), "held")
+
 
+def _first_links(fps: DataFrame) -> DataFrame:
+    """Of fingerprint_links() one link (a, b) at most for each fingerprint, to the least of a bucket that it is close to.
 
-def keep_one(docs: DataFrame) -> DataFrame:
+    In rows proportional to the fingerprints, however many are close to each other; for drafts, as it finds no more than that.
+    """
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = fps.repartition(tasks, "fp").mapInArrow(_key_rows, "key long, fp long")
+    stars = keys.withColumn("least", F.min("fp").over(W.partitionBy("key"))).where(
+        (F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= DISTANCE))
+    return stars.groupBy(F.col("fp").alias("a")).agg(F.min("least").alias("b"))
+
+
+def _drafts(docs: DataFrame, links=fingerprint_links) -> DataFrame:
+    """Links (a, b) between texts that fingerprints of short shingles draft, which an edited word changes least.
+
+    Several under other hashes, one after the other, as each misses pairs that another finds: each text is drafted
+    with the least text of its fingerprint, and that one with those of the fingerprints that it links to.
+    """
+    rows = materialize(fingerprints(docs, DRAFT, DRAFTS).drop("doc_id").distinct(), "fingerprints")
+    return reduce(DataFrame.unionByName, [_drafted(rows.select("key", F.col(f"fp{j}").alias("fp")), links) for j in range(DRAFTS)])
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(*[f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]).distinct()
+
+
+def drafted_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(key, component) as similar_texts() has it, but from the drafted links alone: some links may be missing."""
+    links = materialize(_ordered(_drafts(docs)), "links")
+    return connected_components(_held(docs, links, similar)).withColumnRenamed("node", "key")
+
+
+def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(key, component): texts of docs by their hash, linked if the Jaccard similarity of their shingles reaches similar.
+
+    No link between components is left out. Fingerprints draft links; besides, texts that share one of their first
+    shingles meet, each first with one of them, in rows proportional to their number. What the exact similarity confirms
+    makes components. Texts of different components that still share a first shingle are then compared one by one,
+    so that a group of near copies, a component by then, makes no pairs. Texts without links are left out.
+    """
+    drafts = _drafts(docs, _first_links)
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    token = W.partitionBy("token")
+    shared = materialize(_prefixes(texts, similar).withColumns(
+        {"lo": F.min("key").over(token), "hi": F.max("key").over(token)}).where("lo < hi").drop("lo", "hi").distinct(), "tokens")
+    pivots = shared.groupBy("token").agg(F.min_by(F.struct("key", "n", "at"), F.xxhash64("token", "key")).alias("p")).select(
+        "token", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.at").alias("bt"))
+    stars = shared.join(pivots.hint("merge"), "token").where("key <> b").where(_fits(similar)).select(F.col("key").alias("a"), "b")
+    links = materialize(_ordered(drafts.unionByName(stars)), "links")
+    held = _held(docs, links, similar)
+    of = connected_components(held)
+    named = shared.join(of.hint("merge"), F.col("key") == F.col("node"), "left").select(
+        "token", "key", "n", "at", F.coalesce("component", "key").alias("c"))
+    apart = materialize(named.withColumns({"lo": F.min("c").over(token), "hi": F.max("c").over(token)}).where("lo < hi").drop("lo", "hi"), "apart")
+    other = apart.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("c").alias("d"))
+    pairs = apart.join(other.hint("merge"), "token").where("c < d").where(_fits(similar)).select(F.col("key").alias("a"), "b")
+    left = materialize(_ordered(pairs).join(links.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    if not left.isEmpty():
+        of = connected_components(held.unionByName(_held(docs, left, similar)))
+    return of.withColumnRenamed("node", "key")
+
+
+def keep_one(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The rows of docs, one per group of near-duplicates: the smallest doc_id, then the smallest text hash.
 
-    Equal texts are one group, and so are texts that similar_texts() links: five-word shingles, similarity 0.8.
+    Equal texts are one group, and so are texts that similar_texts() links: five-word shingles, similarity 0.8. Unless
+    whole, links that no fingerprint drafts may be missing (drafted_texts()).
     Null texts count as empty. Rows that repeat both doc_id and text count as copies, of which one stays. An
     empty table gives an empty result.
     """
-    of = similar_texts(docs).select(F.col("key").alias("k"), "component")
+    of = (similar_texts if whole else drafted_texts)(docs).select(F.col("key").alias("k"), "component")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
     first = rows.join(of.hint("merge"), F.col("key") == F.col("k"), "left").groupBy(F.coalesce("component", "key")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")).select(

@@ -492,6 +492,37 @@ def test_drafts_find_edited_copies(spark, monkeypatch):
     assert simhash.fingerprint(texts[0].encode()) == fingerprint(texts[0])
 
 
+def test_no_similar_text_is_left_out(spark, monkeypatch):
+    """Components equal those of all pairs, among them links that hardly any fingerprint drafts, and with common shingles known."""
+    r = random.Random(5)
+    data = [(0, None), (1, " "), (2, "a b"), (3, "A  b"), (4, "a b c")]
+    line = " ".join(r.choices(WORDS, k=60))
+    for i in range(50):
+        w = r.choices(WORDS, k=r.choice((12, 40, 150)))
+        for j in range(3):
+            data.append((100 * i + 10 + j, " ".join(w) + (" " + line if i % 2 else "")))
+            w = list(w)
+            for at in r.sample(range(len(w)), max(1, round(len(w) * r.choice((0.01, 0.02, 0.03))))):
+                w[at] = f"q{r.randrange(99)}"
+
+    def tokens(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, label = {i: tokens(t) for i, t in data}, {i: i for i, _ in data}
+    for _ in range(3):
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if 5 * len(x & y) >= 4 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    monkeypatch.setattr(simhash, "DRAFTS", 1)
+    for counted, least in ((16, 8), (1, 2)):
+        monkeypatch.setattr(simhash, "COUNTED", counted)
+        monkeypatch.setattr(simhash, "LEAST", least)
+        kept = sorted(x["doc_id"] for x in simhash.keep_one(frame(spark, data), whole=True).collect())
+        assert kept == sorted(set(label.values()))
+
+
 def test_urls(spark):
     data = [(1, "http://A.Example.NET/en/x?y#z"), (2, "https://q.net"), (3, "https://q.net/"), (4, None), (5, "no scheme/x"),
             (6, "a://b.example.com/de/://x"), (7, "http://x.org/fr/1"), (8, "http://x.org?u=/fr/"), (9, "http://notexample.net/en/"),
