@@ -111,6 +111,12 @@ def _per_function(instructions: DataFrame, edges: DataFrame, run, schema: str) -
     return blocks.groupBy(*KEYS).cogroup(edges.groupBy(*KEYS)).applyInPandas(apply, out)
 
 
+def _branching(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows of functions that have edges; others have no loops and need no task of Python each."""
+    keys = edges.toDF(*edges.columns).select(*KEYS).distinct()
+    return rows.join(keys, KEYS, "left_semi")
+
+
 def dominators(instructions: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, func, bb, idom, depth): the dominator tree; the entry has none and depth 0."""
 
@@ -135,7 +141,7 @@ def loops(instructions: DataFrame, edges: DataFrame) -> DataFrame:
                 nest.setdefault(x, []).append(h)
         return list(nest.items())
 
-    return _per_function(instructions, edges, run, "bb string, headers array<string>")
+    return _per_function(_branching(instructions, edges), edges, run, "bb string, headers array<string>")
 
 
 def function_cost(instructions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -247,7 +253,7 @@ def trip_counts(instructions: DataFrame, edges: DataFrame) -> DataFrame:
 
     instructions carry ord, result, opcode and text. Values of a counter are taken as unbounded integers.
     """
-    parts = instructions.where(F.col("opcode").isin("phi", "add", "sub", "icmp", *TERMINATORS)).select(
+    parts = _branching(instructions, edges).where(F.col("opcode").isin("phi", "add", "sub", "icmp", *TERMINATORS)).select(
         *KEYS, "bb", "bb_ord", "ord", "result", "text")
     out = "module string, func string, header string, trip long"
     names = [c.split()[0] for c in out.split(", ")]

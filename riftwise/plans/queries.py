@@ -623,7 +623,7 @@ def code(t, changed: bool = False) -> DataFrame:
 
 
 def module_of(t, changed: bool = False):
-    return ir.settled(ir.read_ir(text.split_lines(code(t, changed))))
+    return ir.read_settled(text.split_lines(code(t, changed)))
 
 
 @query("q39_ssa_edges", f"""WITH {CODE} SELECT k::VARCHAR AS module, 'f_' || k AS func, i - 1 AS src, i AS dst FROM chained WHERE chained

@@ -55,8 +55,12 @@ def _args(text: Column) -> Column:
     return F.filter(parts, lambda a: F.btrim(a) != "")
 
 
-def read_ir(lines: DataFrame) -> Module:
-    """Fact tables of modules given as lines (file, pos, line). Unknown lines of code are null."""
+def read_ir(lines: DataFrame, settle=lambda table: table) -> Module:
+    """Fact tables of modules given as lines (file, pos, line). Unknown lines of code are null.
+
+    settle may write a table out: the lines and the instructions, from which others are made, go through it.
+    """
+    lines = settle(lines)
     w = W.partitionBy("file").orderBy("pos")
     x = lines.withColumn("module", F.col("file"))
     head = F.regexp_extract("line", r"^(?:define|declare) .*?@(" + NAME + r")\s*\(", 1)
@@ -105,7 +109,7 @@ def read_ir(lines: DataFrame) -> Module:
     places = meta.select("module", F.col("id").alias("dbg"), F.regexp_extract(
         "line", r"^!\d+ = metadata !\{i32 (\d+), i32 \d+, metadata ![^\"]*$", 1).alias("n")).where("n <> ''").select(
         "module", "dbg", F.nullif(F.col("n").cast("int"), F.lit(0)).alias("line"))
-    instructions = x.join(places, ["module", "dbg"], "left").drop("dbg")
+    instructions = settle(x.join(places, ["module", "dbg"], "left").drop("dbg"))
 
     edges = instructions.where(F.col("opcode").isin(*TERMINATORS)).select(
         "module", "func", F.col("bb").alias("src"),
@@ -135,6 +139,12 @@ def settled(m: Module) -> Module:
     return Module(*[materialize(table, "ir") for table in m])
 
 
+def read_settled(lines: DataFrame) -> Module:
+    """settled(read_ir(lines)), with the lines split and the instructions read once, not for each table made of them."""
+    m = read_ir(lines, lambda table: materialize(table, "ir"))
+    return Module(*[table if table is m.instructions else materialize(table, "ir") for table in m])
+
+
 def call_sites(m: Module) -> DataFrame:
     """(module, used, caller, bb, ord): functions named anywhere in a call, as callee or as an argument."""
     used = m.instructions.where("opcode = 'call'").select(

@@ -217,3 +217,13 @@ def test_watched_folder(spark, tmp_path):
     run()
     both = spark.read.parquet(str(tmp_path / "out"))
     assert first == 5 and both.count() == 6 and both.select("batch").distinct().count() == 2
+
+
+def test_straight_functions_need_no_python(spark):
+    """Functions without edges stay out of the tables that go to Python, and the others keep their loops; texts are read once."""
+    code = "define void @a() {\nx:\n  br label %y\ny:\n  br label %y\n}\ndefine void @b() {\nx:\n  ret void\n}\n"
+    plain, m = ir.read_ir(lines(spark, code)), ir.read_settled(lines(spark, code))
+    assert cfg._branching(m.instructions, m.edges).select("func").distinct().collect() == [("a",)]
+    assert cfg.loops(m.instructions, m.edges).select("func", "bb", "headers").collect() == [("a", "y", ["y"])]
+    for one, other in zip(plain, m):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
