@@ -64,15 +64,16 @@ def longest_path(edges: DataFrame, costs: DataFrame) -> DataFrame:
 
     Relaxation by rounds; a round aggregates before it joins. A cycle is an error.
     """
-    best = _settled(costs.select("node", F.col("cost").alias("total")))
+    # Nodes pack so tightly in files that Spark would take millions of them for few bytes and broadcast them.
+    best = _settled(costs.select("node", "cost", F.col("cost").alias("total")))
     for _ in range(best.count() + 1):  # no path of a DAG has more edges
-        into = edges.join(best, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("total").alias("before"))
-        new = _settled(costs.join(into, F.col("node") == F.col("dst"), "left").select(
-            "node", (F.col("cost") + F.greatest(F.coalesce("before", F.lit(0)), F.lit(0))).alias("total")))
-        same = new.join(best.withColumnRenamed("total", "old"), "node").where("total <> old").isEmpty()
-        best = new
-        if same:
-            return best
+        into = edges.join(best.hint("merge"), F.col("src") == F.col("node")).groupBy("dst").agg(F.max("total").alias("before"))
+        new = best.withColumnRenamed("total", "old").join(into, F.col("node") == F.col("dst"), "left").withColumn(
+            "total", F.col("cost") + F.greatest(F.coalesce("before", F.lit(0)), F.lit(0)))
+        new = _settled(new.select("node", "cost", "total", (F.col("total") != F.col("old")).alias("moved")))
+        best = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return best.drop("cost")
     raise RuntimeError("the graph has a cycle or too long a path")
 
 

@@ -165,6 +165,26 @@ def test_graphs(spark):
     assert {r["node"]: r["total"] for r in graph.longest_path(dag, cost).collect()} == {1: 1, 2: 6, 3: 3, 4: 7}
 
 
+def test_longest_path_sends_no_large_table(spark):
+    """400,000 nodes are below the threshold of broadcasts in files, but far over it in memory."""
+    n = 400_000
+    nodes = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node"), (F.col("id") % 3 - 1).alias("cost"))
+    edges = spark.range(n).where("id % 4 < 3").select(
+        F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), F.col("id") + 1).alias("dst"))
+    want = [0] * n
+    for i in range(n):
+        want[i] = i % 3 - 1 + (max(0, want[i - 1]) if i % 4 else 0)
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "4m", "spark.sql.maxBroadcastTableSize": str(10 << 20)}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = graph.longest_path(edges, nodes).select(F.expr("int(substr(node, 2))"), "total").toPandas()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert dict(got.itertuples(index=False, name=None)) == dict(enumerate(want))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
