@@ -12,7 +12,9 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ MIN_LINES = 2
 MIN_CHARS = 100
 #: Document frequency up to which a line is rare; such lines also pair each holder with the one before.
 RARE = 8
+#: Lines of the pairs that a worker holds as Python objects at a time, one pair at least.
+HELD = 1 << 16
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -71,6 +75,18 @@ def deletable(a: list[int], b: list[int], chars: list[int]) -> list[int]:
     return out
 
 
+def aligned(batches):
+    """Positions to delete, gone, for each row (o, k, before, lines, chars); a batch is taken HELD lines at a time."""
+    for b in batches:
+        lists = [b.column(c) for c in ("before", "lines", "chars")]
+        ends = np.cumsum(pc.add(pc.list_value_length(lists[0]), pc.list_value_length(lists[1])).to_numpy().astype(np.int64))
+        cuts = (np.flatnonzero(np.diff(ends // HELD)) + 1).tolist()
+        for i, e in zip([0, *cuts], [*cuts, len(ends)]):
+            gone = [deletable(x, y, c) for x, y, c in zip(*[x.slice(i, e - i).to_pylist() for x in lists])]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).slice(i, e - i) for c in ("o", "k")], pa.array(gone, pa.list_(pa.int32()))], ["o", "k", "gone"])
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(o, k, lines, chars) per document: hash of each line without its outer spaces, zero if blank.
 
@@ -111,14 +127,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     left = table.select(F.col("o").alias("ao"), F.col("k").alias("ak"), F.col("lines").alias("before"))
     both = pairs.join(left, ["ao", "ak"]).join(table, ["o", "k"]).select("o", "k", "before", "lines", "chars")
 
-    def run(batches):
-        for b in batches:
-            gone = [deletable(x, y, c) for x, y, c in zip(
-                b.column("before").to_pylist(), b.column("lines").to_pylist(), b.column("chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("o"), b.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["o", "k", "gone"])
-
-    hits = both.mapInArrow(run, "o long, k long, gone array<int>").where("size(gone) > 0")
+    hits = both.mapInArrow(aligned, "o long, k long, gone array<int>").where("size(gone) > 0")
     # One row for each line of a document at most, however many partners found it.
     lines = hits.select("o", "k", F.explode("gone").alias("at")).distinct()
     return lines.groupBy("o", "k").agg(F.array_sort(F.collect_list("at")).alias("gone"))

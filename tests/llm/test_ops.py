@@ -2,9 +2,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -132,6 +134,25 @@ def test_blocks_whose_lines_come_apart_first(spark):
         assert {i: n for i, n in got.items() if n} == {7: 2, 99: 2}
 
 
+def test_pairs_of_long_documents_are_not_held_at_once():
+    first = [[r.randint(1, 1 << 60) for _ in range(2000)] for r in map(random.Random, range(3))]
+    pairs = [(first[i % 3], [*first[i % 3][i:i + 3], *range(-2000, -i), 0]) for i in range(200)] + [([], [1]), (first[0], first[0])]
+    chars = [[7] * len(b) for _, b in pairs]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(pairs))), pa.array(range(len(pairs))), *[pa.array(x, pa.list_(pa.int64())) for x in zip(*pairs)],
+         pa.array(chars, pa.list_(pa.int32()))], ["o", "k", "before", "lines", "chars"])
+    tracemalloc.start()
+    got, most = [], 0
+    for b in line_dedup.aligned([batch, batch.slice(0, 0)]):
+        got += zip(b.column("o").to_pylist(), b.column("k").to_pylist(), b.column("gone").to_pylist())
+        most = max(most, b.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(i, i, line_dedup.deletable(a, b, c)) for i, ((a, b), c) in enumerate(zip(pairs, chars))]
+    assert [len(x) for _, _, x in got[:200]] == [3] * 200 and most < 40
+    assert peak < 12e6  # all pairs at once: 35 MB
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([1, 1], [1, 1]) == [(0, 0), (1, 1)]
